@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trivalent.llm import byte_bpe, packing, token_store
+from trivalent.llm import byte_bpe, ngram_jaccard, packing, token_store
 from trivalent.llm.shared import new_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-store")
     root = token_store.write_store(table(spark, sf_dir, "documents"), folder, WORDS)
@@ -34,6 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op6_token_store": op6_token_store,
     "op10_packing": op10_packing,
 }
