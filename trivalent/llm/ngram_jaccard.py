@@ -68,26 +68,43 @@ def cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def count_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """The sketch: SKETCH counters over the whole corpus; what comes to the driver is of that size whatever the input's."""
+SURVEY = "doc_id long, n long, digest long, segment int, kind string, counts binary"
+
+
+def _survey(size: int):
+    """Per document its set's size and digest; per task what it adds to the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
         for whole in batches:
             for batch in batch_rows(whole, "text"):
-                counts += np.bincount(cell(shingle_sets(batch.column("text"), size)[0]), minlength=SKETCH)
+                h, first = shingle_sets(batch.column("text"), size)
+                counts += np.bincount(cell(h), minlength=SKETCH)
+                at = first.tolist()
+                sets = [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
+                none = [pa.nulls(len(sets), kind) for kind in (pa.int32(), pa.string(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([digest_of(s) if len(s) else None for s in sets], pa.int64()), *none], SURVEY_NAMES)
         if counts.any():
             kind = np.uint8 if counts.max() < 256 else np.uint32 if counts.max() < 1 << 32 else np.int64
             parts = [zlib.compress(counts[i : i + SEGMENT].astype(kind).tobytes(), 1) for i in range(0, SKETCH, SEGMENT)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([np.dtype(kind).str] * len(parts)), pa.array(parts, pa.binary())], ["segment", "kind", "counts"])
+            none = [pa.nulls(len(parts), pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(parts)), pa.int32()), pa.array([np.dtype(kind).str] * len(parts)), pa.array(parts, pa.binary())], SURVEY_NAMES)
+
+    return run
 
-    def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(c), k).astype(np.int64) for c, k in zip(part["counts"].to_pylist(), part["kind"].to_pylist()))
-        return pa.table({"segment": part["segment"].slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes())], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(run, "segment int, kind string, counts binary").groupBy("segment").applyInArrow(add, "segment int, counts binary")
+SURVEY_NAMES = [field.split()[0] for field in SURVEY.split(", ")]
+
+
+def _add_counts(part: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zlib.decompress(c), k).astype(np.int64) for c, k in zip(part["counts"].to_pylist(), part["kind"].to_pylist()))
+    return pa.table({"segment": part["segment"].slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes())], pa.binary())})
+
+
+def sketch_of(survey: DataFrame) -> np.ndarray:
+    """The sketch: SKETCH counters over the whole corpus; what comes to the driver is of that size whatever the input's."""
     sketch = np.zeros(SKETCH, np.int64)
-    for row in parts.collect():
+    for row in survey.where("segment is not null").select("segment", "kind", "counts").groupBy("segment").applyInArrow(_add_counts, "segment int, counts binary").collect():
         sketch[row["segment"] * SEGMENT : (row["segment"] + 1) * SEGMENT] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     return sketch
 
@@ -116,23 +133,21 @@ class Order:
         return keys[: base - 1 + shared], shared
 
 
-def _scan(order, size: int, threshold: int, buckets: int):
+def _prefixes(order, size: int, threshold: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, held, count = order.value, set(), [], 0
         for whole in batches:
             for batch in batch_rows(whole, "text"):
                 h, first = shingle_sets(batch.column("text"), size)
-                at, sizes, digests = first.tolist(), [], []
+                at = first.tolist()
                 for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                     u = np.unique(h[at[i] : at[i + 1]])
-                    digest = digest_of(u) if len(u) else None
-                    sizes.append(len(u)), digests.append(digest)
-                    if digest is not None and doc is not None and digest not in seen:
+                    digest = digest_of(u) if len(u) and doc is not None else None
+                    if digest is not None and digest not in seen:
                         seen.add(digest)
                         keys, shared = own.prefix(np.sort(own.keys(u)), threshold)
                         held.append((keys, digest, doc, len(u), shared))
                         count += len(keys)
-                yield _docs(batch.column("doc_id"), sizes, digests)
                 if count > HELD:
                     yield _blocks(held, buckets)
                     held, count = [], 0
@@ -142,14 +157,6 @@ def _scan(order, size: int, threshold: int, buckets: int):
     return run
 
 
-SCAN = "doc_id long, n long, digest long, bucket int, block binary"
-
-
-def _docs(ids: pa.Array, sizes: list, digests: list) -> pa.RecordBatch:
-    none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
-    return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), *none], ["doc_id", "n", "digest", "bucket", "block"])
-
-
 def _blocks(held: list, buckets: int) -> pa.RecordBatch:
     keys = np.concatenate([x[0] for x in held])
     lengths = [len(x[0]) for x in held]
@@ -163,8 +170,7 @@ def _blocks(held: list, buckets: int) -> pa.RecordBatch:
     entries, ends = entries[by], np.cumsum(np.bincount(bucket, minlength=buckets))
     used = np.flatnonzero(np.diff(ends, prepend=0))
     parts = [entries[(ends[b - 1] if b else 0) : ends[b]].tobytes() for b in used.tolist()]
-    none = pa.nulls(len(parts), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, pa.array(used, pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "digest", "bucket", "block"])
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "block"])
 
 
 GROUPS = "gid long, c long, d long, n long, hub_c long, hub_d long, hub_n long"
@@ -222,6 +228,33 @@ def _runs(rows: np.ndarray, *columns: np.ndarray) -> Iterator[np.ndarray]:
     yield from np.split(by, np.flatnonzero(new))
 
 
+MEETINGS = "p long, q long, label long, c long"
+#: Members of one group that are compared in one piece.
+PIECE = 2048
+
+
+def _meetings(threshold: int, part: pa.Table) -> pa.Table:
+    """Which classes have to be brought together: rows gid, lo, hi, side, c, n, component, label.
+
+    Within each group, every pair of different components and of sizes that can link is a
+    meeting of the pair's labels; a class is named once per pair of labels.
+    """
+    gid, lo, hi, side, c, n, component, label = (np.asarray(part[x]) for x in ("gid", "lo", "hi", "side", "c", "n", "component", "label"))
+    found = [np.zeros((0, 4), np.int64)]
+    for rows in _runs(np.arange(len(gid)), gid, lo, hi):
+        left, right = rows[side[rows] == lo[rows[0]]], rows[side[rows] == hi[rows[0]]]
+        for piece in np.array_split(left, -(-len(left) // PIECE) or 1):
+            x, y = piece[:, None], right[None, :]
+            i, j = np.nonzero((component[x] != component[y]) & (100 * n[x] >= threshold * n[y]) & (100 * n[y] >= threshold * n[x]))
+            if len(i):
+                a, b = piece[i], right[j]
+                p, q = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+                both = np.concatenate([np.stack([p, q, label[a], c[a]], 1), np.stack([p, q, label[b], c[b]], 1)])
+                found.append(np.unique(both, axis=0))
+    every = np.unique(np.concatenate(found), axis=0)
+    return pa.table({name: pa.array(np.ascontiguousarray(every[:, i])) for i, name in enumerate(("p", "q", "label", "c"))})
+
+
 LINKS = "a long, b long"
 
 
@@ -286,16 +319,20 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
     """A row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     texts = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    order = spark.sparkContext.broadcast(Order(count_shingles(texts, size)))
+    survey = materialize(texts.mapInArrow(_survey(size), SURVEY), "survey")
+    order = spark.sparkContext.broadcast(Order(sketch_of(survey)))
+    sets = survey.where("segment is null").select("doc_id", "n", "digest")
     buckets = 2 * shuffle_partitions(spark)
-    scanned = materialize(texts.mapInArrow(_scan(order, size, threshold, buckets), SCAN), "shingles", "uncompressed")
-    sets = scanned.where("bucket is null").select("doc_id", "n", "digest")
-    groups = materialize(scanned.where("bucket is not null").select("bucket", "block").groupBy("bucket").applyInArrow(_groups, GROUPS), "groups")
+    packed = texts.mapInArrow(_prefixes(order, size, threshold, buckets), "bucket int, block binary")
+    groups = materialize(packed.groupBy("bucket").applyInArrow(_groups, GROUPS), "groups")
     blocks = 4 * shuffle_partitions(spark)
 
     def check_hubs(part: pa.Table) -> pa.Table:
         return _verify_hubs(size, threshold, part)
 
+    def meet(part: pa.Table) -> pa.Table:
+        return _meetings(threshold, part)
+
     def check_blocks(part: pa.Table) -> pa.Table:
         return _verify_blocks(order, size, threshold, part)
 
@@ -313,8 +350,8 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
     joined = connected_components(links)
 
     # Step 5: groups that still hold several components.
-    member = groups.select("gid", "c", "d").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    open_groups = member.groupBy("gid").agg(F.min("d").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid", "least")
+    member = groups.select("gid", "c", "d", "n").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    open_groups = member.groupBy("gid").agg(F.min("d").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).where("lo <> hi").select("gid", "least", "pieces")
     member = materialize(member.join(open_groups, "gid"), "open")
     cluster = member.groupBy("c", "d", "component").agg(F.min("least").alias("cluster"))
     big = cluster.groupBy("cluster", "component").agg(F.count("*").alias("alike"))
@@ -325,11 +362,11 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
         cluster.join(big, ["cluster", "component"]).join(rest, "cluster").select("c", "d", "component", tag.alias("tag"), F.xxhash64("cluster", F.coalesce(tag, F.lit(0)), F.pmod(F.xxhash64("c"), chunks)).alias("label")),
         "labels",
     )
-    placed = member.select("gid", "c").join(labels.select("c", "label", "tag"), "c")
-    at = placed.select("gid", "label", "tag").distinct()
-    meets = at.alias("x").join(at.alias("y"), "gid").where("x.label <= y.label and not (x.tag <=> y.tag and x.tag is not null)").select(F.col("x.label").alias("p"), F.col("y.label").alias("q")).distinct()
-    ends = meets.select("p", "q", F.col("p").alias("label")).unionByName(meets.where("p <> q").select("p", "q", F.col("q").alias("label")))
-    checked = with_text(ends.join(labels.drop("tag"), "label"), "p", "q").groupBy("part").applyInArrow(check_blocks, LINKS)
+    placed = member.join(labels.select("c", "label"), "c").withColumn("side", F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
+    placed = placed.select("gid", "lo", "hi", "side", "c", "n", "component", "label", F.pmod(F.xxhash64("gid", "lo", "hi"), F.lit(blocks)).cast("int").alias("part"))
+    ends = placed.groupBy("part").applyInArrow(meet, MEETINGS).distinct()
+    checked = with_text(ends.join(labels.select("c", "d", "component"), "c"), "p", "q").groupBy("part").applyInArrow(check_blocks, LINKS)
     more = materialize(checked, "links")
     joined = connected_components(links.unionByName(more))
 

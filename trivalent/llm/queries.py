@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trivalent.llm import byte_bpe, ngram_jaccard, packing, token_store
+from trivalent.llm import byte_bpe, ngram_jaccard, packing, secret_scan, token_store
 from trivalent.llm.shared import new_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.document_digests(spark, folder)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORDS)
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op6_token_store": op6_token_store,
+    "op8_secret_scan": op8_secret_scan,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
