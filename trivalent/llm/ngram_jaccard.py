@@ -15,7 +15,7 @@ Steps, all of them Spark jobs over the whole table:
 2. per document its set's size and digest, and once per task and distinct set its prefix,
    packed by bucket of shingle; copies have one digest and are one class from here on;
 3. per bucket the classes that share a prefix shingle; each such group has the class
-   of the smallest document as its hub;
+   of the smallest document as its hub, and groups of the same classes are merged;
 4. verify every class against its groups' hubs, and take components of the links found;
 5. in groups that still hold several components, bring classes of different components
    together in blocks of at most about 2 * BLOCK texts, and there verify every pair that
@@ -50,9 +50,9 @@ SKETCH = 1 << SKETCH_BITS
 SEGMENT = 1 << 16
 #: Classes of one cluster that a block holds.
 BLOCK = 256
-#: Expected candidates of a prefix from which it is lengthened, and the most that shared shingles are asked for.
-COST, MOST_SHARED = 64, 8
-ENTRY = np.dtype([("k", "<u4"), ("c", "<i8"), ("d", "<i8"), ("n", "<u4"), ("l", "u1")])
+#: Expected candidates of a prefix for each shingle that a pair must share, and the most of them, as a share of the set.
+COST, MOST_SHARED = 64, 10
+ENTRY = np.dtype([("k", "<u4"), ("c", "<i8"), ("l", "<u2")])
 #: Prefix entries that a task holds before it sends them on.
 HELD = 2_000_000
 
@@ -128,8 +128,8 @@ class Order:
         needed = -(-threshold * n // 100)
         base = n - needed + 1
         top = (keys[:base] >> np.uint64(56)).astype(np.float64)
-        cost = float(np.sum(np.where(top > 0, self.floor * 2 ** (top / 4), 0)))
-        shared = 1 if cost <= COST else int(min(MOST_SHARED, needed, 2 + np.log2(cost / COST)))
+        cost = float(np.sum(np.where(top > 0, self.floor * 2 ** (top / 4), self.mean)))
+        shared = int(min(max(1, cost / COST), max(1, n // MOST_SHARED), needed, 65_535))
         return keys[: base - 1 + shared], shared
 
 
@@ -146,7 +146,7 @@ def _prefixes(order, size: int, threshold: int, buckets: int):
                     if digest is not None and digest not in seen:
                         seen.add(digest)
                         keys, shared = own.prefix(np.sort(own.keys(u)), threshold)
-                        held.append((keys, digest, doc, len(u), shared))
+                        held.append((keys, digest, shared))
                         count += len(keys)
                 if count > HELD:
                     yield _blocks(held, buckets)
@@ -163,8 +163,8 @@ def _blocks(held: list, buckets: int) -> pa.RecordBatch:
     entries = np.zeros(len(keys), ENTRY)
     spread = mix(keys * np.uint64(0x9E3779B97F4A7C15))
     entries["k"] = spread.astype(np.uint32)
-    for name, place, kind in (("c", 1, np.int64), ("d", 2, np.int64), ("n", 3, np.uint32), ("l", 4, np.uint8)):
-        entries[name] = np.repeat(np.array([x[place] for x in held], kind), lengths)
+    entries["c"] = np.repeat(np.array([x[1] for x in held], np.int64), lengths)
+    entries["l"] = np.repeat(np.array([x[2] for x in held], np.uint16), lengths)
     bucket = ((spread >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     entries, ends = entries[by], np.cumsum(np.bincount(bucket, minlength=buckets))
@@ -173,29 +173,27 @@ def _blocks(held: list, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "block"])
 
 
-GROUPS = "gid long, c long, d long, n long, hub_c long, hub_d long, hub_n long"
+GROUPS = "gid long, sign long, weight long, c long, l long"
 
 
 def _groups(part: pa.Table) -> pa.Table:
-    """Groups of classes that share a prefix shingle of this bucket. Groups of the same members are one."""
+    """Groups of classes that share a prefix shingle of this bucket. Groups of the same members are one, with their number as weight."""
     bucket = part["bucket"][0].as_py()
     e = np.concatenate([np.frombuffer(b, ENTRY) for b in part["block"].to_pylist()])
-    e = e[np.lexsort((e["d"], e["c"], e["k"]))]
+    e = e[np.lexsort((e["c"], e["k"]))]
     new = np.ones(len(e), bool)
     new[1:] = (e["k"][1:] != e["k"][:-1]) | (e["c"][1:] != e["c"][:-1])
     e = e[new]
     starts = np.flatnonzero(np.r_[True, e["k"][1:] != e["k"][:-1]])
     sizes = np.diff(np.r_[starts, len(e)])
-    signs = np.add.reduceat(mix(e["c"].astype(np.uint64)), starts)
-    _, once = np.unique(signs, return_index=True)
+    signs = np.add.reduceat(mix(e["c"].astype(np.uint64)), starts).view(np.int64)
+    _, once, of, merged = np.unique(signs, return_index=True, return_inverse=True, return_counts=True)
     chosen = np.zeros(len(starts), bool)
     chosen[once] = True
-    e = e[np.repeat(chosen & (sizes > 1), sizes)]
-    e = e[np.lexsort((e["d"], e["k"]))]
-    starts = np.flatnonzero(np.r_[True, e["k"][1:] != e["k"][:-1]]) if len(e) else np.zeros(0, np.int64)
-    hub = np.repeat(starts, np.diff(np.r_[starts, len(e)]))
-    columns = [e["k"].astype(np.int64) | bucket << 32, e["c"], e["d"], e["n"].astype(np.int64), e["c"][hub], e["d"][hub], e["n"][hub].astype(np.int64)]
-    return pa.table({name: pa.array(np.ascontiguousarray(x)) for name, x in zip(("gid", "c", "d", "n", "hub_c", "hub_d", "hub_n"), columns)})
+    kept = np.repeat(chosen & (sizes > 1), sizes)
+    e, sign, weight = e[kept], np.repeat(signs, sizes)[kept], np.repeat(merged[of], sizes)[kept]
+    columns = [e["k"].astype(np.int64) | bucket << 32, sign, weight, e["c"], e["l"].astype(np.int64)]
+    return pa.table({name.split()[0]: pa.array(np.ascontiguousarray(x)) for name, x in zip(GROUPS.split(", "), columns)})
 
 
 def linked(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
@@ -228,31 +226,64 @@ def _runs(rows: np.ndarray, *columns: np.ndarray) -> Iterator[np.ndarray]:
     yield from np.split(by, np.flatnonzero(new))
 
 
-MEETINGS = "p long, q long, label long, c long"
 #: Members of one group that are compared in one piece.
 PIECE = 2048
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("p", "<i8"), ("q", "<i8"), ("w", "<u4"), ("l", "<u4")])
+MEETINGS = "bucket int, block binary"
 
 
-def _meetings(threshold: int, part: pa.Table) -> pa.Table:
-    """Which classes have to be brought together: rows gid, lo, hi, side, c, n, component, label.
+def _meetings(threshold: int, buckets: int, part: pa.Table) -> pa.Table:
+    """Pairs of a group's classes that are of different components and of sizes that can link, packed by bucket of pair.
 
-    Within each group, every pair of different components and of sizes that can link is a
-    meeting of the pair's labels; a class is named once per pair of labels.
+    Rows: gid, lo, hi, side, weight, c, n, l, component, label.
     """
-    gid, lo, hi, side, c, n, component, label = (np.asarray(part[x]) for x in ("gid", "lo", "hi", "side", "c", "n", "component", "label"))
-    found = [np.zeros((0, 4), np.int64)]
+    gid, lo, hi, side, weight, c, n, shared, component, label = (np.asarray(part[x]) for x in ("gid", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label"))
+    found = [np.zeros(0, PAIR)]
     for rows in _runs(np.arange(len(gid)), gid, lo, hi):
         left, right = rows[side[rows] == lo[rows[0]]], rows[side[rows] == hi[rows[0]]]
-        for piece in np.array_split(left, -(-len(left) // PIECE) or 1):
+        for piece in np.array_split(left, -(-len(left) // 512) or 1):
             x, y = piece[:, None], right[None, :]
-            i, j = np.nonzero((component[x] != component[y]) & (100 * n[x] >= threshold * n[y]) & (100 * n[y] >= threshold * n[x]))
+            meet = (component[x] != component[y]) & (100 * n[x] >= threshold * n[y]) & (100 * n[y] >= threshold * n[x])
+            if lo[rows[0]] == hi[rows[0]]:
+                meet &= c[x] < c[y]
+            i, j = np.nonzero(meet)
             if len(i):
-                a, b = piece[i], right[j]
-                p, q = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-                both = np.concatenate([np.stack([p, q, label[a], c[a]], 1), np.stack([p, q, label[b], c[b]], 1)])
-                found.append(np.unique(both, axis=0))
-    every = np.unique(np.concatenate(found), axis=0)
-    return pa.table({name: pa.array(np.ascontiguousarray(every[:, i])) for i, name in enumerate(("p", "q", "label", "c"))})
+                u, v = piece[i], right[j]
+                swap = c[u] > c[v]
+                u, v = np.where(swap, v, u), np.where(swap, u, v)
+                pairs = np.zeros(len(u), PAIR)
+                pairs["a"], pairs["b"], pairs["p"], pairs["q"] = c[u], c[v], label[u], label[v]
+                pairs["w"], pairs["l"] = weight[u], np.minimum(shared[u], shared[v])
+                found.append(pairs)
+    pairs = _summed(np.concatenate(found))
+    bucket = (mix((pairs["a"] ^ (pairs["b"] << 1)).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    pairs, ends = pairs[by], np.cumsum(np.bincount(bucket, minlength=buckets))
+    used = np.flatnonzero(np.diff(ends, prepend=0)).tolist()
+    return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([pairs[(ends[b - 1] if b else 0) : ends[b]].tobytes() for b in used], pa.binary())})
+
+
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    """One row per pair, weights added up."""
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    starts = np.flatnonzero(np.r_[True, (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1])])
+    out = pairs[starts]
+    out["w"] = np.add.reduceat(pairs["w"], starts)
+    return out
+
+
+ENDS = "p long, q long, label long, c long"
+
+
+def _participants(part: pa.Table) -> pa.Table:
+    """Of the pairs that share enough prefix shingles, each class once per pair of labels."""
+    pairs = _summed(np.concatenate([np.frombuffer(b, PAIR) for b in part["block"].to_pylist()]))
+    pairs = pairs[pairs["w"] + 1 >= pairs["l"]]  # one less: two shingles of a bucket may share their 32 bits
+    p, q = np.minimum(pairs["p"], pairs["q"]), np.maximum(pairs["p"], pairs["q"])
+    every = np.unique(np.concatenate([np.stack([p, q, pairs["p"], pairs["a"]], 1), np.stack([p, q, pairs["q"], pairs["b"]], 1)]), axis=0)
+    return pa.table({name.split()[0]: pa.array(np.ascontiguousarray(every[:, i])) for i, name in enumerate(ENDS.split(", "))})
 
 
 LINKS = "a long, b long"
@@ -324,14 +355,15 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
     sets = survey.where("segment is null").select("doc_id", "n", "digest")
     buckets = 2 * shuffle_partitions(spark)
     packed = texts.mapInArrow(_prefixes(order, size, threshold, buckets), "bucket int, block binary")
-    groups = materialize(packed.groupBy("bucket").applyInArrow(_groups, GROUPS), "groups")
+    classes = sets.where("digest is not null and doc_id is not null").groupBy(F.col("digest").alias("c")).agg(F.min("doc_id").alias("d"), F.min("n").alias("n"))
+    groups = materialize(packed.groupBy("bucket").applyInArrow(_groups, GROUPS).join(classes, "c"), "groups")
     blocks = 4 * shuffle_partitions(spark)
 
     def check_hubs(part: pa.Table) -> pa.Table:
         return _verify_hubs(size, threshold, part)
 
     def meet(part: pa.Table) -> pa.Table:
-        return _meetings(threshold, part)
+        return _meetings(threshold, blocks, part)
 
     def check_blocks(part: pa.Table) -> pa.Table:
         return _verify_blocks(order, size, threshold, part)
@@ -341,7 +373,8 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
         return dealt.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
 
     # Step 4: hubs.
-    near = groups.where(f"d <> hub_d and 100 * n >= {threshold} * hub_n and 100 * hub_n >= {threshold} * n").select("hub_c", "hub_d", "c", "d").distinct()
+    hub = groups.groupBy("gid").agg(F.min(F.struct("d", "c", "n")).alias("hub")).select("gid", F.col("hub.c").alias("hub_c"), F.col("hub.d").alias("hub_d"), F.col("hub.n").alias("hub_n"))
+    near = groups.join(hub, "gid").where(f"d <> hub_d and 100 * n >= {threshold} * hub_n and 100 * hub_n >= {threshold} * n").select("hub_c", "hub_d", "c", "d").distinct()
     loads = near.groupBy("hub_c", "hub_d").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("salts"))
     others = near.join(loads.select("hub_c", "salts"), "hub_c").select(F.col("hub_c").alias("hub"), F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), "c", "d")
     hubs = loads.select(F.col("hub_c").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub_c").alias("c"), F.col("hub_d").alias("d"))
@@ -350,9 +383,11 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
     joined = connected_components(links)
 
     # Step 5: groups that still hold several components.
-    member = groups.select("gid", "c", "d", "n").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    open_groups = member.groupBy("gid").agg(F.min("d").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).where("lo <> hi").select("gid", "least", "pieces")
-    member = materialize(member.join(open_groups, "gid"), "open")
+    member = groups.select("gid", "sign", "weight", "c", "d", "n", "l").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    open_groups = member.groupBy("gid").agg(F.min("d").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"), F.first("sign").alias("sign"), F.first("weight").alias("weight")).where("lo <> hi")
+    # Groups of the same members are one across buckets too; their weights add up.
+    open_groups = open_groups.groupBy("sign").agg(F.min("gid").alias("gid"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.max("pieces").alias("pieces")).drop("sign")
+    member = materialize(member.drop("sign", "weight").join(open_groups, "gid"), "open")
     cluster = member.groupBy("c", "d", "component").agg(F.min("least").alias("cluster"))
     big = cluster.groupBy("cluster", "component").agg(F.count("*").alias("alike"))
     rest = big.groupBy("cluster").agg(F.coalesce(F.sum(F.when(F.col("alike") < BLOCK // 2, F.col("alike"))), F.lit(0)).alias("mixed"))
@@ -364,8 +399,8 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
     )
     placed = member.join(labels.select("c", "label"), "c").withColumn("side", F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    placed = placed.select("gid", "lo", "hi", "side", "c", "n", "component", "label", F.pmod(F.xxhash64("gid", "lo", "hi"), F.lit(blocks)).cast("int").alias("part"))
-    ends = placed.groupBy("part").applyInArrow(meet, MEETINGS).distinct()
+    placed = placed.select("gid", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label", F.pmod(F.xxhash64("gid", "lo", "hi"), F.lit(blocks)).cast("int").alias("part"))
+    ends = placed.groupBy("part").applyInArrow(meet, MEETINGS).groupBy("bucket").applyInArrow(_participants, ENDS).distinct()
     checked = with_text(ends.join(labels.select("c", "d", "component"), "c"), "p", "q").groupBy("part").applyInArrow(check_blocks, LINKS)
     more = materialize(checked, "links")
     joined = connected_components(links.unionByName(more))
