@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def canonical(value: object) -> str:
@@ -30,13 +31,13 @@ def parse_object(text: str) -> dict:
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(values: pd.Series) -> pd.Series:
     """Canonical form of a JSON object's text. Spark's to_json keeps insertion order, and VARIANT rewrites numbers."""
     return values.map(lambda x: canonical(parse_object(x)), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_sha256(values: pd.Series) -> pd.Series:
     return values.map(lambda x: hashlib.sha256(canonical(parse_object(x)).encode()).hexdigest(), na_action="ignore")
 

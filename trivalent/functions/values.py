@@ -7,6 +7,7 @@ from urllib.parse import quote, unquote_to_bytes, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def milli_points(points: Column) -> Column:
@@ -93,7 +94,7 @@ def _transport(url: str) -> str | None:
     return urlunsplit((scheme, host if own else f"{host}:{port}", again(parts.path or "/", "/:@!$&'()*+,;=-._~"), again(parts.query, "/:@!$&'()*+,;=-._~?"), ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def transport_url(values: pd.Series) -> pd.Series:
     """A URL as it is requested: quoted alike, without default port and fragment; null when it can't be."""
     return values.map(_transport, na_action="ignore")

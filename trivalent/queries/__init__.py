@@ -1,0 +1 @@
+"""Queries of the catalogue, by subject."""

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from trivalent.queries import corpus, records, rules
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**rules.QUERIES, **corpus.QUERIES, **records.QUERIES}
+ORACLES: dict[str, str] = {**rules.ORACLES, **corpus.ORACLES, **records.ORACLES}
