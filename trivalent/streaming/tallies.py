@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def tallies(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """window_start, event_type, n, total of a batch or streaming DataFrame with ts, event_type and value."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     grouped = rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(20,4)")).alias("total"))
     return grouped.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
