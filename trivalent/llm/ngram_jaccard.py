@@ -52,6 +52,9 @@ SEGMENT = 1 << 16
 BLOCK = 256
 #: Expected candidates of a prefix for each shingle that a pair must share, and the most of them, as a share of the set.
 COST, MOST_SHARED = 64, 10
+#: Bits of the filter that says which documents' texts a step needs; a fixed 8 MiB when broadcast.
+FILTER_BITS = 26
+FILTER_SEGMENT = 1 << 19
 ENTRY = np.dtype([("k", "<u4"), ("c", "<i8"), ("l", "<u2")])
 #: Prefix entries that a task holds before it sends them on.
 HELD = 2_000_000
@@ -286,6 +289,49 @@ def _participants(part: pa.Table) -> pa.Table:
     return pa.table({name.split()[0]: pa.array(np.ascontiguousarray(every[:, i])) for i, name in enumerate(ENDS.split(", "))})
 
 
+def _bit_places(ids: np.ndarray) -> np.ndarray:
+    h = mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    low = np.uint64((1 << FILTER_BITS) - 1)
+    return np.stack([h & low, (h >> np.uint64(32)) & low]).astype(np.int64)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for batch in batches:
+        places = np.unique(_bit_places(np.asarray(batch.column("d"))))
+        np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+    parts = bits.reshape(-1, FILTER_SEGMENT)
+    used = np.flatnonzero(parts.any(1)).tolist()
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary())], ["segment", "bits"])
+
+
+def _join_marks(part: pa.Table) -> pa.Table:
+    total = np.zeros(FILTER_SEGMENT, np.uint8)
+    for bits in part["bits"].to_pylist():
+        total |= np.frombuffer(zlib.decompress(bits), np.uint8)
+    return pa.table({"segment": part["segment"].slice(0, 1), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def only_needed(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows of texts (doc_id, text) whose doc_id needed (d) may hold, so that few others are shuffled for the join that follows.
+
+    The filter is of fixed size: with very many needed documents it lets more of the
+    others pass, which costs a longer shuffle and no row.
+    """
+    bits = np.zeros((1 << (FILTER_BITS - 3)) // FILTER_SEGMENT * FILTER_SEGMENT, np.uint8)
+    for row in needed.select("d").mapInArrow(_mark, "segment int, bits binary").groupBy("segment").applyInArrow(_join_marks, "segment int, bits binary").collect():
+        bits[row["segment"] * FILTER_SEGMENT : (row["segment"] + 1) * FILTER_SEGMENT] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    known = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = known.value
+        for batch in batches:
+            places = _bit_places(np.asarray(batch.column("doc_id")))
+            yield batch.filter(pa.array(((own[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(0)))
+
+    return texts.where("doc_id is not null").mapInArrow(keep, texts.schema)
+
+
 LINKS = "a long, b long"
 
 
@@ -369,7 +415,8 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
         return _verify_blocks(order, size, threshold, part)
 
     def with_text(members: DataFrame, *keys: str) -> DataFrame:
-        dealt = members.join(texts.withColumnRenamed("doc_id", "d"), "d")
+        members = materialize(members, "members")
+        dealt = members.join(only_needed(texts, members.select("d").distinct()).withColumnRenamed("doc_id", "d"), "d")
         return dealt.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
 
     # Step 4: hubs.
