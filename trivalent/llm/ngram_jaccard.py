@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zlib
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -231,6 +232,8 @@ def _runs(rows: np.ndarray, *columns: np.ndarray) -> Iterator[np.ndarray]:
 
 #: Members of one group that are compared in one piece.
 PIECE = 2048
+#: Buckets over which the pairs of two labels are spread.
+SPREAD = 4
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("p", "<i8"), ("q", "<i8"), ("w", "<u4"), ("l", "<u4")])
 MEETINGS = "bucket int, block binary"
 
@@ -259,11 +262,27 @@ def _meetings(threshold: int, buckets: int, part: pa.Table) -> pa.Table:
                 pairs["w"], pairs["l"] = weight[u], np.minimum(shared[u], shared[v])
                 found.append(pairs)
     pairs = _summed(np.concatenate(found))
-    bucket = (mix((pairs["a"] ^ (pairs["b"] << 1)).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    # All rows of a pair of labels meet in SPREAD buckets, so that a class leaves each of them once however many pairs it has.
+    lo, hi = np.minimum(pairs["p"], pairs["q"]).astype(np.uint64), np.maximum(pairs["p"], pairs["q"]).astype(np.uint64)
+    bucket = ((mix(lo ^ (hi << np.uint64(1))) + mix(pairs["a"].astype(np.uint64)) % np.uint64(SPREAD)) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     pairs, ends = pairs[by], np.cumsum(np.bincount(bucket, minlength=buckets))
     used = np.flatnonzero(np.diff(ends, prepend=0)).tolist()
-    return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([pairs[(ends[b - 1] if b else 0) : ends[b]].tobytes() for b in used], pa.binary())})
+    return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([_packed_pairs(pairs[(ends[b - 1] if b else 0) : ends[b]]) for b in used], pa.binary())})
+
+
+def _packed_pairs(pairs: np.ndarray) -> bytes:
+    """Pairs a column at a time, which compresses better than row by row."""
+    return zstandard.compress(b"".join(pairs[name].tobytes() for name in PAIR.names), 1)
+
+
+def _unpacked_pairs(data: bytes) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    pairs, at = np.zeros(len(raw) // PAIR.itemsize, PAIR), 0
+    for name in PAIR.names:
+        pairs[name] = np.frombuffer(raw, PAIR[name], len(pairs), at)
+        at += len(pairs) * PAIR[name].itemsize
+    return pairs
 
 
 def _summed(pairs: np.ndarray) -> np.ndarray:
@@ -282,7 +301,7 @@ ENDS = "p long, q long, label long, c long"
 
 def _participants(part: pa.Table) -> pa.Table:
     """Of the pairs that share enough prefix shingles, each class once per pair of labels."""
-    pairs = _summed(np.concatenate([np.frombuffer(b, PAIR) for b in part["block"].to_pylist()]))
+    pairs = _summed(np.concatenate([_unpacked_pairs(b) for b in part["block"].to_pylist()]))
     pairs = pairs[pairs["w"] + 1 >= pairs["l"]]  # one less: two shingles of a bucket may share their 32 bits
     p, q = np.minimum(pairs["p"], pairs["q"]), np.maximum(pairs["p"], pairs["q"])
     every = np.unique(np.concatenate([np.stack([p, q, pairs["p"], pairs["a"]], 1), np.stack([p, q, pairs["q"], pairs["b"]], 1)]), axis=0)
