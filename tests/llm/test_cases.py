@@ -60,6 +60,19 @@ def test_licences(spark):
     assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: (None, "none"), 4: (None, "none"), 5: ("MIT", "own"), 6: ("CC-BY-NC-4.0", "own")}
 
 
+def scan_one(spark, texts):
+    rows = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "doc_id int, path string, text string")
+    return {r.id: r for r in licences.scan_licences(rows).collect()}
+
+
+def test_licence_beside_ordinary_words(spark):
+    """Words that most files hold weigh little, however many files there are."""
+    for files in (50, 2000):
+        got = scan_one(spark, ["This software is released under the MIT License.", *["this software is about other things"] * files])
+        assert got[0].licence == "MIT" and got[0].cosine > 0.95, (files, got[0])
+        assert got[1].licence is None
+
+
 def test_store(spark, tmp_path, repeated, odd):
     folder = str(tmp_path / "store")
     root = token_store.write_store(repeated, folder, WORDS)

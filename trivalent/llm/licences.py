@@ -1,14 +1,16 @@
 """Licence scans: TF-IDF cosine to templates, and inheritance from the nearest directory above.
 
 A file's candidates are its lines, as headers, and all of it when it is short, as a licence
-file. A candidate and the templates are sparse TF-IDF vectors over words; the weights come
-from the document frequencies, over all files, of the templates' words (a word that no
-template has weighs as much as one that no file has). A file's licence is the template of
-the greatest cosine, if that reaches the threshold.
+file. A candidate and the templates are sparse TF-IDF vectors over words;
+a word weighs log((1 + files) / (1 + files that hold it)) + 1, counted over all files. A file's
+licence is that of the template of the greatest cosine, if that reaches the threshold.
 
-Most lines need no cosine: per template, words are left out from the most common one on as
+Most texts need no cosine: per template, words are left out from the most common one on as
 long as those left out could not reach the threshold by themselves, by Cauchy and Schwarz;
-a line that has none of the words that remain can't match.
+a text that has none of the words that remain can't match. The scan knows the weights of the
+templates' words; other words weigh between 1 and what a word of a single file does, which
+bounds each cosine from both sides. Candidates that can still be the best one go on with
+their other words, and a join with the counted words gives the exact cosine.
 
 A licence file (a name like LICENSE or COPYING, or a text that is mostly the notice) speaks
 for its directory. A file without a licence inherits that of the nearest directory above
@@ -31,62 +33,98 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trivalent.llm.shared import text_or_empty
+from trivalent.llm.shared import materialize, text_or_empty
 
 # Short notices of common licences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0, the Creative Commons Attribution License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+NOTICES = {
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0, the Creative Commons Attribution License.",),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
+    "MIT": ("Released under the MIT License.",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
 WORD = re.compile(r"[a-z0-9]+")
-THRESHOLD, SHORT_WORDS, FILE_SHARE = 0.8, 60, 0.5
+THRESHOLD, SHORT_WORDS, FILE_SHARE, SLACK = 0.8, 60, 0.5, 1e-9
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
+#: Distinct words that a task counts before it hands them on.
+COUNT_WORDS = 200_000
+#: A common word's document frequency is joined in this many places.
+SPREAD = 32
+FOUND = "array<struct<name: string, dot: double, known: double, size: int, words: array<string>, counts: array<int>>>"
+CANDIDATES = pa.list_(pa.struct([("name", pa.string()), ("dot", pa.float64()), ("known", pa.float64()), ("size", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))]))
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def templates() -> list[tuple[str, list[str]]]:
+    """Licence and words of every template."""
+    found = [(name, text) for name, texts in NOTICES.items() for text in texts]
+    return sorted((name, words(text)) for name, text in found)
+
+
 class Scanner:
-    def __init__(self, frequencies: dict[str, int], files: int, threshold: float):
-        self.idf = {w: math.log((1 + files) / (1 + n)) + 1 for w, n in frequencies.items()}
-        self.unknown, self.threshold = math.log(1 + files) + 1, threshold
-        self.templates, self.triggers = {}, set()
-        for name, text in sorted(TEMPLATES.items()):
-            vector = self.vector(words(text))
-            self.templates[name] = vector
+    def __init__(self, texts: list[tuple[str, list[str]]], frequencies: dict[str, int], files: int, threshold: float):
+        self.threshold = threshold
+        self.idf = {w: math.log((1 + files) / (1 + frequencies.get(w, 0))) + 1 for _, t in texts for w in t}
+        self.rarest = math.log((1 + files) / 2) + 1  # a word of this file is in one file at least
+        #: Licence, number of words and unit vector of each template.
+        self.templates, self.triggers, self.of_word = [], set(), {}
+        for name, text in texts:
+            weights = {w: n * self.idf[w] for w, n in Counter(text).items()}
+            norm = math.sqrt(sum(x * x for x in weights.values()))
+            vector = {w: x / norm for w, x in weights.items()}
+            for w, x in vector.items():
+                self.of_word.setdefault(w, []).append((len(self.templates), x * x))
+            self.templates.append((name, len(text), vector))
             left_out = 0.0
-            for w in sorted(vector, key=lambda w: (self.idf.get(w, self.unknown), w)):
+            for w in sorted(vector, key=lambda w: (self.idf[w], w)):
                 left_out += vector[w] ** 2
-                if math.sqrt(left_out) >= threshold - 1e-9:
+                if math.sqrt(left_out) >= threshold - SLACK:
                     self.triggers.add(w)
 
-    def vector(self, found: list[str]) -> dict[str, float]:
-        weights = {w: n * self.idf.get(w, self.unknown) for w, n in Counter(found).items()}
-        norm = math.sqrt(sum(x * x for x in weights.values())) or 1.0
-        return {w: x / norm for w, x in weights.items()}
-
-    def best(self, found: list[str]) -> tuple[float, str]:
-        """Greatest cosine, negated for sorting, and its template."""
-        vector = self.vector(found)
-        return min((-sum(x * vector.get(w, 0.0) for w, x in t.items()), name) for name, t in self.templates.items())
-
-    def scan(self, text: str) -> tuple[str | None, float, float]:
-        """Licence, cosine, and the matched candidate's share of the file's words."""
+    def live(self, found: set[str]) -> list[int]:
+        """Templates that a bag of these words can match, by the part of their vector that the words cover."""
+        covered: dict[int, float] = {}
+        for w in found:
+            for t, x in self.of_word.get(w, ()):
+                covered[t] = covered.get(t, 0.0) + x
+        return sorted(t for t, x in covered.items() if math.sqrt(x) >= self.threshold - SLACK)
+
+    def candidate(self, found: list[str], live: list[int]) -> tuple[float, float, tuple]:
+        """Least and greatest cosine that a bag of words can have, and what its exact cosine needs."""
+        bag = Counter(found)
+        dot, name = min((-sum(n * self.idf[w] * self.templates[t][2].get(w, 0.0) for w, n in bag.items() if w in self.idf), self.templates[t][0]) for t in live)
+        known = sum((n * self.idf[w]) ** 2 for w, n in bag.items() if w in self.idf)
+        rest = sorted((w, n) for w, n in bag.items() if w not in self.idf)
+        squares = sum(n * n for _, n in rest)
+        least, most = (-dot / math.sqrt(known + squares * x * x) for x in (self.rarest, 1.0))
+        return least, most, (name, -dot, known, len(found), tuple(w for w, _ in rest), tuple(n for _, n in rest))
+
+    def scan(self, text: str) -> tuple[int, list[tuple]]:
+        """Number of words, and the candidates that can have the file's greatest cosine."""
         every = words(text)
         if self.triggers.isdisjoint(every):
-            return None, 0.0, 0.0
-        candidates = [line for line in (words(x) for x in text.split("\n")) if not self.triggers.isdisjoint(line)]
+            return len(every), []
+        live = self.live(set(every))
+        if not live:
+            return len(every), []
+        ends, at = [], 0
+        for line in text.split("\n"):
+            if found := words(line):
+                at += len(found)
+                ends.append(at)
+        spans = {(a, b) for a, b in zip([0, *ends], ends) if not self.triggers.isdisjoint(every[a:b])}
         if len(every) <= SHORT_WORDS:
-            candidates.append(every)
-        cosine, name, size = min((*self.best(c), -len(c)) for c in candidates)
-        return (name, -cosine, -size / len(every)) if -cosine >= self.threshold else (None, 0.0, 0.0)
+            spans.add((0, len(every)))
+        bags = {tuple(sorted(every[a:b])) for a, b in spans}
+        found = [self.candidate(bag, live) for bag in bags]
+        floor = max([self.threshold, *(least for least, _, _ in found)]) - SLACK
+        return len(every), sorted(c for _, most, c in found if most >= floor)
 
 
 def _parent(path: Column) -> Column:
@@ -96,29 +134,48 @@ def _parent(path: Column) -> Column:
 def scan_licences(files: DataFrame, id_column: str = "doc_id", path_column: str = "path", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, path, licence, cosine, origin (own, inherited, none) and the directory that an inherited licence comes from."""
     own = files.select(files[id_column].alias("id"), files[path_column].cast("string").alias("path"), files[text_column].cast("string").alias("text"))
-    vocabulary = sorted({w for t in TEMPLATES.values() for w in words(t)})
+    texts = templates()
+    vocabulary = sorted({w for _, t in texts for w in t})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, totals, files = set(vocabulary), Counter(), 0
+        totals, files = Counter(), 0
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([*totals, ""], pa.string()), pa.array([*totals.values(), files], pa.int64())], ["word", "n"])
+
         for batch in batches:
             for text in text_or_empty(batch.column("text")):
-                totals.update(wanted.intersection(words(text)))
+                totals.update(set(words(text)))
                 files += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*totals, ""]), pa.array([*totals.values(), files], pa.int64())], ["word", "n"])
+                if len(totals) > COUNT_WORDS:
+                    yield counted()
+                    totals, files = Counter(), 0
+        yield counted()
 
+    counted = materialize(own.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "licence-words")
     # As many rows as the templates have words come to the driver.
-    frequencies = {r["word"]: r["n"] for r in own.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    frequencies = {r["word"]: r["n"] for r in counted.where(F.col("word").isin(["", *vocabulary])).collect()}
     number = frequencies.pop("", 0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(frequencies, number, threshold)
+        scanner, fields = Scanner(texts, frequencies, number, threshold), [f.name for f in CANDIDATES.value_type]
         for batch in batches:
-            found = [scanner.scan(t) for t in text_or_empty(batch.column("text"))]
-            licence, cosine, share = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), pa.array(licence, pa.string()), pa.array(cosine, pa.float64()), pa.array(share, pa.float64())], ["id", "path", "licence", "cosine", "share"])
+            done = [scanner.scan(t) for t in text_or_empty(batch.column("text"))]
+            found = pa.array([[dict(zip(fields, c)) for c in x] for _, x in done], CANDIDATES)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), pa.array([n for n, _ in done], pa.int64()), found], ["id", "path", "size", "found"])
 
     kind = own.schema["id"].dataType.simpleString()
-    scanned = own.mapInArrow(scan, f"id {kind}, path string, licence string, cosine double, share double").withColumn("directory", _parent(F.col("path")))
+    rows = materialize(own.mapInArrow(scan, f"id {kind}, path string, size long, found {FOUND}").withColumn("row", F.monotonically_increasing_id()), "licence-candidates")
+    candidates = rows.select("row", F.posexplode("found").alias("at", "c")).select("row", "at", "c.*")
+    others = candidates.select("row", "at", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", "at", "w.words", "w.counts", F.pmod("row", F.lit(SPREAD)).alias("part")).withColumnRenamed("words", "word")
+    weights = others.select("word", "part").distinct().join(counted, "word").select("word", "part", (F.log(F.lit(1.0 + number) / (1 + F.col("n"))) + 1).alias("idf"))
+    squares = others.join(weights, ["word", "part"]).groupBy("row", "at").agg(F.array_sort(F.collect_list(F.pow(F.col("counts") * F.col("idf"), F.lit(2.0)))).alias("squares"))
+    exact = candidates.join(squares, ["row", "at"], "left").withColumn("square", F.aggregate(F.coalesce("squares", F.array().cast("array<double>")), F.lit(0.0), lambda x, y: x + y))
+    cosines = exact.select("row", "name", F.col("size").alias("length"), F.round(F.col("dot") / F.sqrt(F.col("known") + F.col("square")), 12).alias("cosine")).where(F.col("cosine") >= threshold)
+    best = cosines.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("cosine"), "name", (-F.col("length")).alias("length"))).alias("best"))
+    scanned = rows.select("row", "id", "path", "size").join(best, "row", "left").select(
+        "id", "path", F.col("best.name").alias("licence"), F.coalesce(-F.col("best.cosine"), F.lit(0.0)).alias("cosine"), F.coalesce(-F.col("best.length") / F.col("size"), F.lit(0.0)).alias("share"), _parent(F.col("path")).alias("directory")
+    )
     speaks = scanned.where(F.col("licence").isNotNull() & F.col("path").isNotNull() & ((F.col("share") >= FILE_SHARE) | F.col("path").rlike(FILE_NAME)))
     by_directory = speaks.groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("cosine"), "path", "licence"))["licence"].alias("licence"))
     directories = scanned.where("directory is not null").select("directory").distinct()
