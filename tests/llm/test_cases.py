@@ -1,5 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
+import math
+import textwrap
+from collections import Counter
+from importlib import resources
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +78,29 @@ def test_licence_beside_ordinary_words(spark):
         assert got[1].licence is None
 
 
+def plain_cosine(text, template, texts):
+    files = [set(licences.words(t)) for t in texts]
+    idf = lambda w: math.log((1 + len(files)) / (1 + sum(w in f for f in files))) + 1
+    x, y = ({w: n * idf(w) for w, n in Counter(licences.words(t)).items()} for t in (text, template))
+    return sum(v * y.get(w, 0) for w, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+
+def test_licence_texts(spark):
+    """Whole texts of any length, wrapped headers and tags, each with the cosine counted in full."""
+    folder = resources.files("trivalent.llm").joinpath("licence_texts")
+    whole = {name: folder.joinpath(f"{name}.txt").read_text("utf-8") for name in licences.TEXTS}
+    texts = ["Copyright 2020 A Person\n\n" + t for t in whole.values()]
+    wrapped = "#!/usr/bin/env python\n" + "\n".join("# " + x for x in textwrap.wrap(licences.NOTICES["GPL-3.0"][1], 60)) + "\nimport os\n" + "x = os.getpid()\n" * 300
+    inside = "int a;\n" * 200 + whole["MIT"] + "int b;\n" * 900
+    texts += [wrapped, inside, "// SPDX-License-Identifier: Apache-2.0\nint main;\n" + "int a;\n" * 90, "plain words\n" * 50, "general words of the library\nin public software"]
+    got = scan_one(spark, texts)
+    assert [got[i].licence for i in range(len(texts))] == [*whole, "GPL-3.0", "MIT", "Apache-2.0", None, None]
+    for i, (name, text) in enumerate(whole.items()):
+        assert got[i].cosine >= round(plain_cosine(texts[i], text, texts), 12) - 1e-9
+    alone = "Notice: Released under the MIT License by Somebody"
+    assert scan_one(spark, [alone, "notice", "by"])[0].cosine == pytest.approx(max(plain_cosine(alone, t, [alone, "notice", "by"]) for t in licences.NOTICES["MIT"]))
+
+
 def test_store(spark, tmp_path, repeated, odd):
     folder = str(tmp_path / "store")
     root = token_store.write_store(repeated, folder, WORDS)

@@ -1,7 +1,9 @@
 """Licence scans: TF-IDF cosine to templates, and inheritance from the nearest directory above.
 
-A file's candidates are its lines, as headers, and all of it when it is short, as a licence
-file. A candidate and the templates are sparse TF-IDF vectors over words;
+Templates are whole licence texts (licence_texts), standard headers, short notices and SPDX
+tags. A file's candidates are its lines, all of it, and for each template of m words the runs
+of whole lines from every line on that hold m words: up to the last line that fits and up to
+the first that fills them. A candidate and the templates are sparse TF-IDF vectors over words;
 a word weighs log((1 + files) / (1 + files that hold it)) + 1, counted over all files. A file's
 licence is that of the template of the greatest cosine, if that reaches the threshold.
 
@@ -26,8 +28,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,19 +39,40 @@ from pyspark.sql import functions as F
 
 from trivalent.llm.shared import materialize, text_or_empty
 
-# Short notices of common licences.
+# Notices and headers of common licences; whole texts are in licence_texts.
 NOTICES = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0, the Creative Commons Attribution License.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
-    "MIT": ("Released under the MIT License.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    ),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.", "Licensed under the BSD 3-Clause License.", "BSD 3-Clause License"),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0, the Creative Commons Attribution License.", "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Creative Commons Attribution 4.0 International Public License"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "LGPL-3.0": (
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "The MIT License (MIT)", "MIT License"),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0",
+    ),
 }
+TEXTS = ("Apache-2.0", "BSD-3-Clause", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0")
+TAGS = {
+    "Apache-2.0": ("Apache-2.0",), "BSD-3-Clause": ("BSD-3-Clause",), "CC-BY-4.0": ("CC-BY-4.0",), "CC-BY-NC-4.0": ("CC-BY-NC-4.0",), "GPL-3.0": ("GPL-3.0-only", "GPL-3.0-or-later"), "LGPL-3.0": ("LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "MIT": ("MIT",), "MPL-2.0": ("MPL-2.0",),
+}
 WORD = re.compile(r"[a-z0-9]+")
-THRESHOLD, SHORT_WORDS, FILE_SHARE, SLACK = 0.8, 60, 0.5, 1e-9
+THRESHOLD, FILE_SHARE, SLACK = 0.8, 0.5, 1e-9
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 #: Distinct words that a task counts before it hands them on.
 COUNT_WORDS = 200_000
@@ -64,6 +89,8 @@ def words(text: str) -> list[str]:
 def templates() -> list[tuple[str, list[str]]]:
     """Licence and words of every template."""
     found = [(name, text) for name, texts in NOTICES.items() for text in texts]
+    found += [(name, f"SPDX-License-Identifier: {tag}") for name, tags in TAGS.items() for tag in tags]
+    found += [(name, resources.files("trivalent.llm").joinpath("licence_texts", f"{name}.txt").read_text("utf-8")) for name in TEXTS]
     return sorted((name, words(text)) for name, text in found)
 
 
@@ -95,6 +122,32 @@ class Scanner:
                 covered[t] = covered.get(t, 0.0) + x
         return sorted(t for t, x in covered.items() if math.sqrt(x) >= self.threshold - SLACK)
 
+    def runs(self, every: list[str], ends: list[int], t: int) -> set[tuple[int, int]]:
+        """Runs of lines, of about a template's number of words, whose cosine can reach the threshold."""
+        _, size, vector = self.templates[t]
+        starts, out = [0, *ends[:-1]], set()
+        weight = {w: self.idf.get(w, 1.0) for w in set(every)}
+        for filled in (False, True):
+            counts: dict[str, int] = {}
+            a = b = 0
+            dot = norm = 0.0
+            for line, start in enumerate(starts):
+                at = bisect_left(ends, start + size) if filled else bisect_right(ends, start + size) - 1
+                end = ends[min(max(at, line), len(ends) - 1)]
+                while a < start:
+                    w = every[a]
+                    n, x = counts[w], weight[w]
+                    counts[w], norm, a = n - 1, norm - (2 * n - 1) * x * x, a + 1
+                    dot -= x * vector.get(w, 0.0)
+                while b < end:
+                    w = every[b]
+                    n, x = counts.get(w, 0), weight[w]
+                    counts[w], norm, b = n + 1, norm + (2 * n + 1) * x * x, b + 1
+                    dot += x * vector.get(w, 0.0)
+                if dot >= (self.threshold - 1e-6) * math.sqrt(max(norm, 0.0)):
+                    out.add((start, end))
+        return out
+
     def candidate(self, found: list[str], live: list[int]) -> tuple[float, float, tuple]:
         """Least and greatest cosine that a bag of words can have, and what its exact cosine needs."""
         bag = Counter(found)
@@ -118,12 +171,12 @@ class Scanner:
             if found := words(line):
                 at += len(found)
                 ends.append(at)
-        spans = {(a, b) for a, b in zip([0, *ends], ends) if not self.triggers.isdisjoint(every[a:b])}
-        if len(every) <= SHORT_WORDS:
-            spans.add((0, len(every)))
+        spans = {(a, b) for a, b in zip([0, *ends], ends) if not self.triggers.isdisjoint(every[a:b])} | {(0, len(every))}
+        for t in live:
+            spans |= self.runs(every, ends, t)
         bags = {tuple(sorted(every[a:b])) for a, b in spans}
         found = [self.candidate(bag, live) for bag in bags]
-        floor = max([self.threshold, *(least for least, _, _ in found)]) - SLACK
+        floor = max(self.threshold, max(least for least, _, _ in found)) - SLACK
         return len(every), sorted(c for _, most, c in found if most >= floor)
 
 
