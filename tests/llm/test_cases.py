@@ -172,3 +172,15 @@ def test_pipeline(spark, sf, documents):
     assert all(not brute.secrets(t)[4] for t in redacted.values())
     assert all(redacted[d] == texts[d] for d in kept if "[secret]" not in redacted[d])
     check_packing(rows, redacted)
+
+
+def test_few_toxic_labels(spark, sf):
+    """A handful of toxic labels is evidence enough: the pipeline's stage rejects planted toxic rows at any size."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, sf).select("doc_id").collect()}
+    toxic = {r.doc_id for r in labels.where("toxic = 1").collect()}
+    clean = {r.doc_id for r in labels.where("toxic = 0").collect()}
+    assert 2 * len(toxic - kept) > len(toxic) and clean <= kept
+    rows, per_toxic, per_clean = toxicity.labelled_sample(docs, labels, 40)
+    learnt = rows.collect()
+    assert len(learnt) == 40 and sum(r.toxic for r in learnt) == 10 and per_toxic == 1.0 and per_clean > 1

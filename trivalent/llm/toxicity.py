@@ -7,9 +7,15 @@ being met in a toxic text. A match inside an exception phrase doesn't count. A t
 weight, the sum over its matches, is divided by the logarithm of its length in words, and
 a logistic curve turns it into a score.
 
-Learning uses at most `sample` labelled rows (a parameter; those of least hash), whatever
-the corpus' size; entries are counted in Spark, and at most `entries` of them come to the
-driver. Scoring reads every text whole.
+An entry's evidence is judged against the labels there are: chance alone, at the toxic share
+of the rows learnt from, would give it as many toxic ones with a probability of LEAST_CHANCE
+at most (a Chernoff bound, exact if all of its texts are toxic), and LEAST_TOXIC toxic texts
+hold it at least.
+
+Learning uses at most `sample` labelled rows (a parameter; of each label those of least hash),
+whatever the corpus' size: all toxic ones up to half of them, or more if clean ones are few.
+Shares and the curve's offset are set right for rows left out. Entries are counted in Spark,
+and at most `entries` of them come to the driver. Scoring reads every text whole.
 
 Cases: null and empty texts score as a text without matches; without any toxic label the
 lexicon is empty and every score is 0; labels of one doc_id that differ count as toxic;
@@ -43,7 +49,7 @@ EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pathetic fallacy", "stupi
 FOLD = {ord(a): b for a, b in LOOKALIKES.items()} | {0xFF41 + i: chr(97 + i) for i in range(26)} | {0x200B: None, 0x200D: None, 0xAD: None}
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = range(4, 9)
-LEAST_TOXIC, LEAST_SHARE = 8, 0.85
+LEAST_TOXIC, LEAST_SHARE, LEAST_CHANCE = 3, 0.85, 0.005
 
 
 def fold(text: str) -> str:
@@ -102,16 +108,24 @@ class Matcher:
         return 1 / (1 + math.exp(-min(40.0, max(-40.0, self.model.slope * weight + self.model.offset))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """text, toxic of at most `sample` rows whose crc32(doc_id) mod 5 is not 0."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, float, float]:
+    """text, toxic of at most `sample` rows whose crc32(doc_id) mod 5 is not 0, and how many labels a toxic and a clean one of them stand for."""
     usable = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = usable.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    fold = usable.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    # Two rows come to the driver.
+    numbers = {bool(r["toxic"]): r["count"] for r in fold.groupBy((F.col("toxic") != 0).alias("toxic")).count().collect()}
+    toxic, clean = numbers.get(True, 0), numbers.get(False, 0)
+    some = min(toxic, max(sample // 2, sample - clean))
+    rest = min(clean, sample - some)
+    first, second = (fold.where(which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(number) for which, number in ((F.col("toxic") != 0, some), (F.col("toxic") == 0, rest)))
+    chosen = first.unionAll(second)
     # At most `sample` rows of two numbers are broadcast.
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return rows, toxic / max(1, some), clean / max(1, rest)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int = 2_000) -> Model:
-    rows = labelled_sample(docs, labels, sample)
+    rows, per_toxic, per_clean = labelled_sample(docs, labels, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, all_ = Counter(), Counter()
@@ -130,7 +144,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int
     if not totals["toxic"]:
         return Model({})
     counted = rows.mapInArrow(count, "entry string, toxic long, total long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
-    telling = counted.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") >= LEAST_SHARE * F.col("total"))).orderBy(F.desc("toxic"), "entry").limit(entries).collect()
+    base = totals["toxic"] / totals["total"]
+    share, standing, others = F.col("toxic") / F.col("total"), F.col("toxic") * per_toxic, (F.col("total") - F.col("toxic")) * per_clean
+    divergence = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / max(1 - base, 1e-300))).otherwise(0.0)
+    unlikely = (share > base) & (F.col("total") * divergence >= -math.log(LEAST_CHANCE))
+    telling = counted.where((F.col("toxic") >= LEAST_TOXIC) & (standing >= LEAST_SHARE * (standing + others)) & unlikely).orderBy(F.desc("toxic"), "entry").limit(entries).collect()
     weights: dict[str, float] = {}
     clean = totals["total"] - totals["toxic"]
     for row in sorted(telling, key=lambda r: (len(r["entry"].rstrip("$")), r["entry"])):
@@ -147,6 +165,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int
     # Two numbers for each of at most `sample` rows.
     pairs = rows.mapInArrow(weigh, "weight double, toxic int").toPandas()
     model.slope, model.offset = logistic(pairs["weight"].to_numpy(), pairs["toxic"].to_numpy(float))
+    if clean:
+        model.offset += math.log(per_toxic / per_clean)
     return model
 
 
