@@ -184,3 +184,10 @@ def test_few_toxic_labels(spark, sf):
     rows, per_toxic, per_clean = toxicity.labelled_sample(docs, labels, 40)
     learnt = rows.collect()
     assert len(learnt) == 40 and sum(r.toxic for r in learnt) == 10 and per_toxic == 1.0 and per_clean > 1
+
+
+def test_search_of_many_equal_words(spark):
+    rows = [(1, "x " * 600_000 + "z"), (2, "x z z"), (3, "z " * 250), (20, "x z")]
+    want = brute.bm25(rows)
+    got = sorted((r["rank"], r.doc_id, r.score) for r in bm25.top_k(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(d, pytest.approx(s, rel=1e-12)) for _, d, s in got] == want[20]
