@@ -8,6 +8,7 @@ from importlib import resources
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm import brute
@@ -191,3 +192,15 @@ def test_search_of_many_equal_words(spark):
     want = brute.bm25(rows)
     got = sorted((r["rank"], r.doc_id, r.score) for r in bm25.top_k(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert [(d, pytest.approx(s, rel=1e-12)) for _, d, s in got] == want[20]
+
+
+def test_special_tokens_in_texts(spark, tmp_path):
+    """The file as the library loads it: literals of its added tokens are those tokens."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    texts = ["x <|endoftext|> y", "a<|startoftext|>b <|endoftext|>, c", "<|endoftext|><|endoftext|>", "plain <|endof text|>"]
+    want = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = str(tmp_path / "store")
+    token_store.write_store(docs, folder, WORDS)
+    assert {r.doc_id: r.ids for r in token_store.read_documents(spark, folder).collect()} == {i: [*ids, 1] for i, ids in want.items()}
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(docs, WORDS).collect()} == {i: (len(ids) + 1, brute.crc([*ids, 0])) for i, ids in want.items()}
