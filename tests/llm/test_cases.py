@@ -204,3 +204,10 @@ def test_special_tokens_in_texts(spark, tmp_path):
     token_store.write_store(docs, folder, WORDS)
     assert {r.doc_id: r.ids for r in token_store.read_documents(spark, folder).collect()} == {i: [*ids, 1] for i, ids in want.items()}
     assert {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(docs, WORDS).collect()} == {i: (len(ids) + 1, brute.crc([*ids, 0])) for i, ids in want.items()}
+
+
+def test_search_of_copies_in_many_shards(spark):
+    rows = [(i, "one two three four five six seven eight nine ten") for i in range(1, 61)] + [(100 + 20 * i + 1, " ".join(["one two three four five six seven eight nine ten".split()[(i * j) % 10] for j in range(1 + i % 7)] * (1 + i % 3))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    found = bm25.top_k(docs).where("query_id = 20").collect()
+    assert sorted((r["rank"], r.doc_id) for r in found) == [(i, i) for i in range(1, 11)] and len({r.score for r in found}) == 1
