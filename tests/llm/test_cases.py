@@ -5,6 +5,7 @@ import textwrap
 from collections import Counter
 from importlib import resources
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,19 @@ def test_vectors(spark):
     assert cover_tree.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_vectors_in_many_blocks(spark, monkeypatch):
+    """Cells, shells and hash cuts: blocks far smaller than the data, clusters of a third of all rows, equal vectors and null ids."""
+    monkeypatch.setattr(cover_tree, "BLOCK_BYTES", 8 * 6 * 40)
+    random = np.random.default_rng(5)
+    heart = random.normal(size=6)
+    vectors = [*(heart + 0.25 * random.normal(size=(150, 6))), *random.normal(size=(150, 6)), *np.repeat(random.normal(size=(2, 6)), 75, 0)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute.near(rows)
+    unnamed = cover_tree.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (None, None)], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id is None, r.n_links, r.component_id, r.kept) for r in unnamed) == [(False, 0, 1, True), (True, 0, None, True), (True, 0, None, True)]
+
+
 def test_licences(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License.", 0), (2, "a/b/c.py", "code without notice\n" * 50, 0), (3, "x/y.py", None, 0), (4, "x/z.py", "", 0), (5, None, "Released under the MIT License.", 0),

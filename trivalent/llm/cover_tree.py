@@ -2,27 +2,32 @@
 
 Distances are chords of the unit sphere, for which the triangle inequality holds:
 cosine >= c is a chord of at most sqrt(2 - 2c). Equal vectors are one class first. Classes
-are dealt into blocks (around pivots of a bounded sample, split where a cell is large), and
-each block gets a cover tree: nested sets of centres with radii RADII, halving from level to
-level, every node with the true radius of what lies below it. For each pair of blocks the
-two trees are traversed together: a pair of nodes is dropped when its centres are farther
-apart than both radii and the threshold, counted whole when all below them must link, and
-opened otherwise. Single precision serves only to drop pairs, with a margin; links are
-decided in double precision.
+are dealt into blocks by space: each goes to the nearest pivot (pivots are farthest-first
+centres of a bounded sample), and a cell of more than a block's vectors is cut into shells by
+the distance from its pivot. Each block gets a cover tree, built once and stored: nested
+sets of centres with radii RADII, halving from level to level, every node with the true
+radius of what lies below it. Pairs of blocks whose centres are farther apart than both
+covering radii and the threshold are never brought together. The trees of the others are
+traversed together: a pair of nodes is dropped when its centres are farther apart than both
+radii and the threshold, counted whole when all below them must link, and opened otherwise.
+Single precision serves only to drop pairs, with a margin; links are decided in double precision.
 
 A pair of blocks yields link counts and a spanning forest of its links, not the links
-themselves, so dense groups don't multiply rows. The number of block pairs grows with the
-square of the number of blocks: exact search in many dimensions prunes whole blocks only
-where the data are clustered. BLOCK bounds what one task holds.
+themselves, so dense groups don't multiply rows. Where the data are not clustered, few pairs
+of blocks can be dropped, and their number grows with the square of the number of blocks.
+A block holds at most about BLOCK_BYTES of vectors, and a task two of them; what the driver
+and a broadcast hold is a centre and a radius a block.
 
 Cases: a null vector, one with a null or non-finite component, or of length zero links
 with nothing (n_links 0, its own component, kept); vectors of different dimension don't
-link; rows that repeat a vec_id are separate vectors that share one result row each; an
-empty table gives no rows; label and other columns are not read.
+link; rows that repeat a vec_id are separate vectors that share one result row each; a null
+vec_id links with nothing; an empty table gives no rows; label and other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivalent.llm.components import connected_components
-from trivalent.llm.shared import materialize
+from trivalent.llm.shared import join_unique, materialize
 from trivalent.llm.words import ragged
 
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
-BLOCK = 8192
-SAMPLE, PIVOTS = 2048, 8
+#: Bytes of vectors (in double precision) of a block.
+BLOCK_BYTES = 8 << 20
+#: Rows of the sample that pivots come from, and the most pivots, for each dimension of more than a block's vectors.
+SAMPLE, PIVOTS = 4096, 1024
 MARGIN = 1e-3
 #: Node pairs that are opened at a time.
 FRONTIER = 1 << 20
@@ -53,66 +60,88 @@ def pivots_of(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
+def cover(small: np.ndarray, radius: float) -> np.ndarray:
+    """For each point the number of a ball that holds it; the balls' centres are farther apart than radius."""
+    least = np.float32(1 - radius * radius / 2)
+    owner, centres = np.empty(len(small), np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(small), 1024):
+        part = np.arange(at, min(at + 1024, len(small)))
+        best, which = np.full(len(part), -2, np.float32), np.zeros(len(part), np.int64)
+        for c in range(0, len(centres), 4096):
+            near = small[part] @ small[centres[c : c + 4096]].T
+            top = near.argmax(1)
+            value = near[np.arange(len(part)), top]
+            better = value > best
+            best[better], which[better] = value[better], c + top[better]
+        owner[part] = which
+        rest = part[best < least]
+        near = small[rest] @ small[rest].T >= least
+        free, new = np.ones(len(rest), bool), []
+        for i in range(len(rest)):
+            if free[i]:
+                taken = free & near[i]
+                taken[i] = True
+                owner[rest[taken]] = len(centres) + len(new)
+                new.append(rest[i])
+                free &= ~taken
+        centres = np.concatenate([centres, np.array(new, np.int64)])
+    return owner
+
+
 class Tree:
     """A cover tree over unit vectors, points in the order of its leaves; level k's nodes cover ranges of points."""
 
     def __init__(self, units: np.ndarray, ids: np.ndarray, weights: np.ndarray):
-        small = units.astype(np.float32)
-        levels, centres = [], np.zeros(0, np.int64)
-        for radius in RADII:
-            centres = self._cover(small, centres, radius)
-            levels.append(centres)
-        nearest = self._nearest(small, np.arange(len(units)), levels[-1])
-        above = [nearest]
-        for k in range(len(levels) - 1, 0, -1):
-            parent = np.empty(len(levels[k]), np.int64)
-            parent[:] = self._nearest(small, levels[k], levels[k - 1])
-            above.append(parent[above[-1]])
-        above = above[::-1]  # for each level the node above each point
-        order = np.lexsort(above[::-1])
-        self.units, self.ids, self.weights = units[order], ids[order], weights[order]
-        self.small = small[order]
-        self.total = np.concatenate([[0], np.cumsum(self.weights)])
+        node = cover(units.astype(np.float32), RADII[0])
+        order = np.argsort(node, kind="stable")
+        self.units, self.ids, self.weights, node = units[order], ids[order], weights[order], node[order]
         self.lo, self.hi, self.centre, self.radius = [], [], [], []
-        for centres, node in zip(levels, above):
-            node = node[order]
-            lo = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            hi = np.r_[lo[1:], len(node)]
-            middle = units[centres[node[lo]]]
-            gaps = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", self.units, np.repeat(middle, hi - lo, 0))))
-            self.lo.append(lo), self.hi.append(hi), self.centre.append(middle), self.radius.append(np.maximum.reduceat(gaps, lo) + 1e-9)
+        self._level(node)
+        for radius in RADII[1:]:
+            node = self._split(node, radius)
+            self._level(node)
         points = np.arange(len(units))
-        self.lo.append(points), self.hi.append(points + 1), self.centre.append(self.units), self.radius.append(np.zeros(len(units)))
+        self.lo.append(points), self.hi.append(points + 1), self.radius.append(np.zeros(len(units)))
         self.first = [np.searchsorted(self.lo[k + 1], self.lo[k]) for k in range(len(RADII))]
         self.count = [np.diff(np.r_[f, len(self.lo[k + 1])]) for k, f in enumerate(self.first)]
+        self.total = np.concatenate([[0], np.cumsum(self.weights)])
 
-    @staticmethod
-    def _cover(units: np.ndarray, centres: np.ndarray, radius: float) -> np.ndarray:
-        least = 1 - radius * radius / 2
-        open_ = np.ones(len(units), bool)
-        open_[centres] = False
-        left = np.flatnonzero(open_)
-        for at in range(0, len(left), 1024):
-            part = left[at : at + 1024]
-            if len(centres):
-                for c in range(0, len(centres), 4096):
-                    part = part[(units[part] @ units[centres[c : c + 4096]].T).max(1) < least] if len(part) else part
-            near = units[part] @ units[part].T >= least
-            new = []
-            free = np.ones(len(part), bool)
-            for i in range(len(part)):
-                if free[i]:
-                    new.append(part[i])
-                    free &= ~near[i]
-            centres = np.concatenate([centres, np.array(new, np.int64)])
-        return centres
-
-    @staticmethod
-    def _nearest(units: np.ndarray, points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-        out = np.empty(len(points), np.int64)
-        for at in range(0, len(points), 1024):
-            out[at : at + 1024] = (units[points[at : at + 1024]] @ units[centres].T).argmax(1)
-        return out
+    def _level(self, node: np.ndarray) -> None:
+        """A level whose nodes are runs of equal numbers; a node's centre is its first point."""
+        lo = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        hi = np.r_[lo[1:], len(node)]
+        gaps = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", self.units, np.repeat(self.units[lo], hi - lo, 0))))
+        self.lo.append(lo), self.hi.append(hi), self.centre.append(lo), self.radius.append(np.maximum.reduceat(gaps, lo) + 1e-9)
+
+    def _split(self, node: np.ndarray, radius: float) -> np.ndarray:
+        """The next level: nodes wider than radius are covered anew by balls of it, their points put in that order."""
+        inner = np.zeros(len(node), np.int64)
+        for i in np.flatnonzero(self.radius[-1] > radius).tolist():
+            a, b = self.lo[-1][i], self.hi[-1][i]
+            own = cover(self.units[a:b].astype(np.float32), radius)
+            order = np.argsort(own, kind="stable")
+            self.units[a:b], self.ids[a:b], self.weights[a:b], inner[a:b] = self.units[a:b][order], self.ids[a:b][order], self.weights[a:b][order], own[order]
+            self._tighten(a, b)
+        number = np.repeat(np.arange(len(self.lo[-1])), self.hi[-1] - self.lo[-1])
+        return np.cumsum(np.r_[0, (number[1:] != number[:-1]) | (inner[1:] != inner[:-1])])
+
+    def _tighten(self, a: int, b: int) -> None:
+        """The first points of the nodes above that hold points a to b may be others now: their radii are taken again."""
+        for lo, hi, radius in zip(self.lo, self.hi, self.radius):
+            i = int(np.searchsorted(lo, a, "right")) - 1
+            if lo[i] == a:
+                gaps = 2 - 2 * self.units[lo[i] : hi[i]] @ self.units[lo[i]]
+                radius[i] = np.sqrt(max(0.0, float(gaps.max()))) + 1e-9
+
+    def centre_of(self, k: int, nodes: np.ndarray) -> np.ndarray:
+        return self.units[self.lo[k][nodes]]
+
+    def ball(self) -> tuple[np.ndarray, float]:
+        """A centre (of length one, or less if the points' mean has none) and the radius about it that holds all points."""
+        middle = self.units.mean(0)
+        size = np.sqrt(middle @ middle)
+        middle = middle / size if size > 1e-6 else self.units[0]
+        return middle, float(np.sqrt(np.maximum(0, 2 - 2 * self.units @ middle).max())) + 1e-9
 
 
 class Links:
@@ -158,7 +187,7 @@ class Links:
             if hit.any():
                 self.whole(k, i[hit], j[hit])
             return
-        gap = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.centre[k][i], b.centre[k][j])))
+        gap = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", a.centre_of(k, i), b.centre_of(k, j))))
         reach = a.radius[k][i] + b.radius[k][j]
         inside = np.where(self.same & (i == j), 2 * a.radius[k][i], gap + reach) <= chord - 1e-9
         if inside.any():
@@ -179,9 +208,11 @@ class Links:
             self.open(k + 1, x, y, chord, cosine)
 
     def run(self, cosine: float) -> None:
+        """The traversal, from the deepest level that has few more nodes than the top: its balls are smaller at no more cost."""
         a, b, chord = self.a, self.b, float(np.sqrt(2 - 2 * cosine))
-        ra, rb = a.radius[0].astype(np.float32), b.radius[0].astype(np.float32)
-        ca, cb = a.centre[0].astype(np.float32), b.centre[0].astype(np.float32)
+        k = max(k for k in range(len(RADII)) if all(4 * len(t.lo[k]) <= 5 * len(t.lo[0]) for t in (a, b)))
+        ra, rb = a.radius[k].astype(np.float32), b.radius[k].astype(np.float32)
+        ca, cb = a.units[a.lo[k]].astype(np.float32), b.units[b.lo[k]].astype(np.float32)
         for at in range(0, len(ca), 512):
             near = ca[at : at + 512] @ cb.T
             least = 1 - (ra[at : at + 512, None] + rb[None, :] + np.float32(chord + MARGIN)) ** 2 / 2
@@ -190,7 +221,7 @@ class Links:
             if self.same:
                 i, j = i[i <= j], j[i <= j]
             if len(i):
-                self.open(0, i, j, chord, cosine)
+                self.open(k, i, j, chord, cosine)
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, links counted here (a class's own weight too, within one block), least id joined here."""
@@ -212,66 +243,88 @@ def units_of(column: pa.Array) -> np.ndarray:
     return flat / np.sqrt(np.einsum("ij,ij->i", flat, flat))[:, None]
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors with a digest of their bytes, by which equal ones meet; none for those that can't link."""
+    for batch in batches:
+        column = batch.column("v")
+        raw, at = np.asarray(column.values, np.float64) if column.values.null_count == 0 else np.asarray(column.values.fill_null(0), np.float64), np.asarray(column.offsets)
+        known = np.asarray(column.is_valid()) & np.asarray(batch.column("vec_id").is_valid())
+        digests = [hashlib.blake2b(raw[a:b].tobytes(), digest_size=16).digest() if k else None for a, b, k in zip(at[:-1].tolist(), at[1:].tolist(), known.tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), column, pa.array(digests, pa.binary())], ["vec_id", "v", "digest"])
+
+
+def _flat(column: pa.Array) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
+    spark, chord = vectors.sparkSession, float(np.sqrt(2 - 2 * cosine))
     every = vectors.select(vectors[id_column].cast("long").alias("vec_id"), vectors[vector_column].cast("array<double>").alias("v"))
-    every = every.withColumn("v", F.when(_valid("v"), F.col("v")))
-    valid = every.where("v is not null and vec_id is not null")
-    classes = materialize(valid.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).withColumn("size", F.size("v")), "vectors")
+    every = materialize(every.withColumn("v", F.when(_valid("v"), F.col("v"))).mapInArrow(_digests, "vec_id long, v array<double>, digest binary"), "vectors")
+    valid = every.where("digest is not null")
+    classes = materialize(valid.groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("v").alias("v")).withColumn("size", F.size("v")), "classes")
+
+    # Dimensions of more than a block's vectors get pivots; there is at most one such dimension for each block of vectors.
+    room = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("size"))))
+    wide = classes.groupBy("size").agg(F.count("*").alias("n")).where(F.col("n") > room).collect()
     pivots = {}
-    for (size,) in classes.select("size").distinct().limit(1000).collect():
-        rows = classes.where(F.col("size") == size).orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
-        pivots[size] = pivots_of(units_of(rows), PIVOTS)
+    for size, n in wide:
+        rows = classes.where(F.col("size") == size).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+        pivots[size] = pivots_of(units_of(rows), min(PIVOTS, -(-2 * n * 8 * size // BLOCK_BYTES)))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.asarray(batch.column("size"))
-            cell = np.zeros(len(sizes), np.int32)
-            for size in np.unique(sizes).tolist():
+            cell, gap = np.zeros(len(sizes), np.int32), np.zeros(len(sizes))
+            for size in set(np.unique(sizes).tolist()) & set(pivots):
                 rows = np.flatnonzero(sizes == size)
-                cell[rows] = (units_of(batch.column("v").take(pa.array(rows))) @ pivots[size].T).argmax(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
-
-    dealt = classes.mapInArrow(cells, "v array<double>, id long, weight long, size int, cell int")
-    loads = dealt.groupBy("size", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).collect()  # PIVOTS rows for each dimension
-    first, total = {}, 0
-    for row in sorted(loads, key=lambda r: (r["size"], r["cell"])):
-        first[row["size"], row["cell"]] = (total, row["parts"])
-        total += row["parts"]
-    if not total:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    table = spark.createDataFrame([(s, c, f, int(p)) for (s, c), (f, p) in first.items()], "size int, cell int, first int, parts int")
-    blocks = dealt.join(F.broadcast(table), ["size", "cell"]).select("size", "id", "weight", "v", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block"))
-
-    def pack(part: pa.Table) -> pa.Table:
-        raw = np.asarray(part["v"].combine_chunks().flatten(), np.float64)
-        kind = "<f4" if (raw.astype("<f4") == raw).all() else "<f8"
-        return pa.table({"block": part["block"].slice(0, 1), "size": part["size"].slice(0, 1), "kind": [kind], "v": pa.array([raw.astype(kind).tobytes()], pa.binary()), "ids": pa.array([np.asarray(part["id"]).tobytes()], pa.binary()), "weights": pa.array([np.asarray(part["weight"]).tobytes()], pa.binary())})
-
-    packed = materialize(blocks.groupBy("block").applyInArrow(pack, "block int, size int, kind string, v binary, ids binary, weights binary"), "blocks", "uncompressed")
-    pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(int(total) - 1)))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+                near = units_of(batch.column("v").take(pa.array(rows))) @ pivots[size].T
+                cell[rows], gap[rows] = near.argmax(1), np.sqrt(np.maximum(0, 2 - 2 * near.max(1)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("v", "id", "weight", "size")), pa.array(cell), pa.array(gap)], ["v", "id", "weight", "size", "cell", "gap"])
+
+    dealt = classes.mapInArrow(cells, "v array<double>, id long, weight long, size int, cell int, gap double")
+    dealt = materialize(dealt, "cells")
+    # Shells of a full cell: bounds of equal shares of its distances, a number for each block.
+    shares = F.ceil(F.count("*") / room)
+    loads = dealt.groupBy("size", "cell").agg(shares.cast("int").alias("parts"))
+    bounds = dealt.join(F.broadcast(loads.where("parts > 1")), ["size", "cell"]).groupBy("size", "cell", "parts").agg(F.percentile_approx("gap", F.lit([i / 64 for i in range(1, 64)]), 10_000).alias("marks"))
+    shell = F.when(F.col("marks").isNull(), 0).otherwise(F.floor(F.size(F.filter("marks", lambda m: m < F.col("gap"))) * F.least(F.col("parts"), F.lit(64)) / 64))
+    shelled = dealt.join(F.broadcast(bounds), ["size", "cell"], "left").select("v", "id", "weight", "size", "cell", shell.cast("int").alias("shell"))
+    # What equal distances or very many vectors leave too large is cut by a hash of the id.
+    sub = shelled.groupBy("size", "cell", "shell").agg(shares.cast("int").alias("subs"))
+    blocks = shelled.join(F.broadcast(sub), ["size", "cell", "shell"]).select("size", "id", "weight", "v", F.xxhash64("size", "cell", "shell", F.pmod(F.xxhash64("id"), F.col("subs"))).alias("block"))
+
+    def plant(part: pa.Table) -> pa.Table:
+        tree = Tree(units_of(_flat(part["v"])), np.asarray(part["id"]), np.asarray(part["weight"]))
+        middle, radius = tree.ball()
+        return pa.table({"block": part["block"].slice(0, 1), "size": part["size"].slice(0, 1), "centre": pa.array([middle.tobytes()], pa.binary()), "radius": [radius], "tree": pa.array([pickle.dumps(tree, 5)], pa.binary())})
+
+    trees = materialize(blocks.groupBy("block").applyInArrow(plant, "block long, size int, centre binary, radius double, tree binary"), "trees")
+    known = sorted((r["block"], r["size"], r["centre"], r["radius"]) for r in trees.select("block", "size", "centre", "radius").collect())  # a row a block
+    partners: dict[int, list[int]] = {}
+    for size in {k[1] for k in known}:
+        own = [k for k in known if k[1] == size]
+        middles, radii = np.stack([np.frombuffer(k[2]) for k in own]), np.array([k[3] for k in own])
+        for i, k in enumerate(own):
+            gap = np.sqrt(np.maximum(0, 2 - 2 * middles[i:] @ middles[i]))
+            partners[k[0]] = [own[i + j][0] for j in np.flatnonzero(gap <= radii[i:] + radii[i] + chord + 1e-9).tolist()]
+    ends = [(p, q, at) for p, some in partners.items() for q in some for at in {p, q}]
+    pairs = spark.createDataFrame(pa.table({name: pa.array([e[i] for e in ends], pa.int64()) for i, name in enumerate(("p", "q", "block"))}))
 
     def meet(part: pa.Table) -> pa.Table:
-        rows = sorted(part.to_pylist(), key=lambda r: r["block"])
-        if rows[0]["size"] != rows[-1]["size"] or rows[0]["p"] != rows[0]["q"] and len(rows) < 2:
-            return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})
-        trees = []
-        for r in rows[:1] if rows[0]["p"] == rows[0]["q"] else rows:
-            flat = np.frombuffer(r["v"], r["kind"]).astype(np.float64)
-            trees.append(Tree(units_of(pa.FixedSizeListArray.from_arrays(pa.array(flat), r["size"])), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["weights"], np.int64)))
-        links = Links(trees[0], trees[-1])
+        own = {b: pickle.loads(t) for b, t in zip(part["block"].to_pylist(), part["tree"].to_pylist())}
+        links = Links(own[part["p"][0].as_py()], own[part["q"][0].as_py()])
         links.run(cosine)
         ids, counts, least = links.result()
         told = (counts > 0) | (least != ids)
         return pa.table({"id": ids[told], "links": counts[told], "least": least[told]})
 
-    met = materialize(pairs.groupBy("p", "q").applyInArrow(meet, "id long, links long, least long"), "met")
+    met = materialize(trees.select("block", "tree").join(pairs, "block").groupBy("p", "q").applyInArrow(meet, "id long, links long, least long"), "met")
     joined = connected_components(met.select(F.col("id").alias("a"), F.col("least").alias("b")))
     found = met.groupBy("id").agg(F.sum("links").alias("links"))
-    facts = classes.select("v", "id").join(found, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    facts = facts.select("v", F.coalesce("links", F.lit(1)).alias("links"), F.coalesce("component", "id").alias("component"))
-    result = every.join(facts, "v", "left")
-    alone = F.col("links").isNull() | F.col("vec_id").isNull()
-    component = F.when(alone, F.col("vec_id")).otherwise(F.col("component"))
-    return result.select("vec_id", F.when(alone, 0).otherwise(F.col("links") - 1).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    facts = classes.select("digest", "id", "weight").join(found, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    facts = facts.select("digest", "weight", F.coalesce("links", F.lit(1)).alias("links"), F.coalesce("component", "id").alias("component"))
+    linked = join_unique(valid.select("vec_id", "digest"), facts, "digest", "weight").select("vec_id", (F.col("links") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    alone = every.where("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

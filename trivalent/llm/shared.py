@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +43,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_unique(rows: DataFrame, facts: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
+    """Inner join of rows with facts, which hold each key once and, as weight, about how many rows have it.
+
+    Keys of more than a share-th of all rows, fewer than `share` of them, are broadcast with
+    their facts, so that no key is one task's load; the others meet in a shuffle.
+    """
+    facts = materialize(facts, "facts")
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = facts.where(F.col(weight) * share > total)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col(weight) * share <= total), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def text_or_empty(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
