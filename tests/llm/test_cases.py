@@ -40,6 +40,43 @@ def test_jaccard_of_nothing(odd):
     assert ngram_jaccard.jaccard_components(odd.limit(0)).count() == 0
 
 
+def near_copies(number, seed=3):
+    """Texts in families of near copies around the threshold, with a passage that a third of all texts share."""
+    random = np.random.default_rng(seed)
+    passage, texts = " ".join(f"p{i}" for i in range(60)), []
+    while len(texts) < number:
+        words = [f"w{x}" for x in random.integers(0, 5000, int(random.integers(6, 120)))]
+        for _ in range(int(random.integers(1, 12))):
+            own = list(words)
+            for _ in range(int(random.integers(0, 4))):
+                own[int(random.integers(0, len(own)))] = f"e{random.integers(0, 10**6)}"
+            texts.append(" ".join(own) + (" " + passage if random.random() < 0.33 else ""))
+    return list(enumerate(texts[:number]))
+
+
+def test_jaccard_of_frequent_shingles_in_parts(spark, monkeypatch):
+    """Every limit of a task far below the data: frequent shingles over several buckets, groups in pieces, blocks of few classes."""
+    for name, value in (("HOT", 20), ("BUCKET", 300), ("PIECE", 16), ("BLOCK", 8), ("PART", 4000), ("HELD", 2000)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    rows = near_copies(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(docs).collect()} == brute.jaccard(rows)
+
+
+def test_prefixes_stay_adaptive():
+    """The number of shared shingles asked for follows a set's frequent shingles, not the corpus' size."""
+    random = np.random.default_rng(1)
+    for scale in (1, 20):
+        sketch = random.poisson(80 * scale, 1 << ngram_jaccard.SKETCH_BITS)
+        sketch[:1000] += 40_000
+        order = ngram_jaccard.Order(sketch)
+        rare = np.unique(random.integers(1000 << 44, 1 << 63, 300).astype(np.uint64))
+        often = np.unique(np.r_[rare[:150], random.integers(0, 1000 << 44, 150).astype(np.uint64)])
+        few, many = (order.prefix(np.sort(order.keys(x)), 80)[1] for x in (rare, often[:200]))
+        assert few < len(rare) // ngram_jaccard.MOST_SHARED and few <= 1 + 61 // ngram_jaccard.COST
+        assert (order.classes[:1000] > 0).all() and many <= 20
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/ b", "same", 0), (2, None, "same", 0), (3, "u", None, 0), (4, "u", "", 0), (5, "u", "é\r\n\r\nWARC/1.1\r\n\r\nx", 0)], "page_id long, url string, html string, digest int")
     warc.write_archive(pages, str(tmp_path / "w"))

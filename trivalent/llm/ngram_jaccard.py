@@ -2,32 +2,36 @@
 
 Documents are sets of word shingles; two link when 100 * |A and B| >= threshold * |A or B|.
 All order their shingles alike: by a frequency class, then by hash. The class comes from a
-table of SKETCH counters over all shingles of the corpus (a fixed SKETCH bytes when
-broadcast), so shingles that many documents share come last. If A and B link, the first
-n - t + l shingles of each (n the set's size, t the least overlap it needs) have l in
-common. l is 1 where the prefix is expected to meet few candidates and grows, with the
-prefix, by the estimated number of candidates; a pair must share min(l, l') of its
-prefixes' shingles before it is verified.
+table of 2**SKETCH_BITS counters over all shingles of the corpus (a fixed 1 MiB when
+broadcast), so shingles that many documents share come last. If
+A and B link, the first n - t + l shingles of each (n the set's size, t the least overlap it
+needs) have l in common. l is 1 where the prefix is expected to meet few candidates and grows,
+with the prefix, by the estimated number of candidates, which is what its shingles' counters
+hold beyond the mean; a pair must share min(l, l') of its prefixes' shingles before it is verified.
 
 Steps, all of them Spark jobs over the whole table:
 
 1. count shingles into the sketch;
 2. per document its set's size and digest, and once per task and distinct set its prefix,
-   packed by bucket of shingle; copies have one digest and are one class from here on;
-3. per bucket the classes that share a prefix shingle; each such group has the class
-   of the smallest document as its hub, and groups of the same classes are merged;
-4. verify every class against its groups' hubs, and take components of the links found;
+   packed by bucket of shingle; copies have one digest and are one class from here on. What
+   the counters show as very frequent is dealt over several buckets by class;
+3. per bucket the classes that share a prefix shingle; each such group has the class of least
+   digest as its hub, and groups of the same classes are merged;
+4. verify every class against the one hub with which it shares most, and take components of
+   the links found;
 5. in groups that still hold several components, bring classes of different components
    together in blocks of at most about 2 * BLOCK texts, and there verify every pair that
    shares enough prefix shingles.
 
 So no pair is left out unless links already join it, and a group of k near copies costs
-about k verifications instead of k * k. Sets are compared by 64-bit shingle hashes.
+about k verifications instead of k * k. Sets are compared by 64-bit shingle hashes. The number
+of buckets and of parts follows from counted shingles, so that a task holds a bounded share.
 
 Cases: null text, empty text and text without words have an empty set and link with
 nothing (component_id = doc_id); with fewer words than a shingle takes, the whole sequence
 is the only shingle; rows that repeat a doc_id are kept and each has the component of its
-own text; an empty table gives no rows; other columns are not read.
+own text; rows of a null doc_id link with nothing; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -43,22 +47,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivalent.llm.components import connected_components
-from trivalent.llm.shared import batch_rows, materialize, shuffle_partitions
+from trivalent.llm.shared import batch_rows, materialize, release_memory, shuffle_partitions
 from trivalent.llm.words import buffer_of, hash_shingles, hash_words, mix, words_of
 
+#: Counters of the sketch, as a power of two.
 SKETCH_BITS = 20
-SKETCH = 1 << SKETCH_BITS
 SEGMENT = 1 << 16
 #: Classes of one cluster that a block holds.
 BLOCK = 256
 #: Expected candidates of a prefix for each shingle that a pair must share, and the most of them, as a share of the set.
-COST, MOST_SHARED = 64, 10
+COST, MOST_SHARED = 4, 10
 #: Bits of the filter that says which documents' texts a step needs; a fixed 8 MiB when broadcast.
 FILTER_BITS = 26
 FILTER_SEGMENT = 1 << 19
-ENTRY = np.dtype([("k", "<u4"), ("c", "<i8"), ("l", "<u2")])
-#: Prefix entries that a task holds before it sends them on.
-HELD = 2_000_000
+#: Prefix entries that a task holds before it sends them on, that a bucket gets, and that a frequent shingle has in one bucket.
+HELD, BUCKET, HOT = 2_000_000, 1_500_000, 500_000
+#: Shingles of the texts that a part verifies, about.
+PART = 1_500_000
+#: Bits of a shingle's hash that name it in a prefix.
+NAME_BITS = 48
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,46 +75,46 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hash_shingles(hash_words(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64), first, size)
 
 
-def cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def distinct_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+    h, first = shingle_sets(column, size)
+    at = first.tolist()
+    return [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
 
 
 SURVEY = "doc_id long, n long, digest long, segment int, kind string, counts binary"
+SURVEY_NAMES = [field.split()[0] for field in SURVEY.split(", ")]
 
 
-def _survey(size: int):
+def _survey(size: int, bits: int = SKETCH_BITS):
     """Per document its set's size and digest; per task what it adds to the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         for whole in batches:
             for batch in batch_rows(whole, "text"):
-                h, first = shingle_sets(batch.column("text"), size)
-                counts += np.bincount(cell(h), minlength=SKETCH)
-                at = first.tolist()
-                sets = [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
+                sets = distinct_sets(batch.column("text"), size)
+                cells, times = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True) if sets else (np.zeros(0, np.uint64), 0)
+                counts[cells.astype(np.int64)] += times
                 none = [pa.nulls(len(sets), kind) for kind in (pa.int32(), pa.string(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([digest_of(s) if len(s) else None for s in sets], pa.int64()), *none], SURVEY_NAMES)
         if counts.any():
             kind = np.uint8 if counts.max() < 256 else np.uint32 if counts.max() < 1 << 32 else np.int64
-            parts = [zlib.compress(counts[i : i + SEGMENT].astype(kind).tobytes(), 1) for i in range(0, SKETCH, SEGMENT)]
+            parts = [zlib.compress(counts[i : i + SEGMENT].astype(kind).tobytes(), 1) for i in range(0, len(counts), SEGMENT)]
             none = [pa.nulls(len(parts), pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(parts)), pa.int32()), pa.array([np.dtype(kind).str] * len(parts)), pa.array(parts, pa.binary())], SURVEY_NAMES)
+        release_memory()
 
     return run
 
 
-SURVEY_NAMES = [field.split()[0] for field in SURVEY.split(", ")]
-
-
 def _add_counts(part: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(zlib.decompress(c), k).astype(np.int64) for c, k in zip(part["counts"].to_pylist(), part["kind"].to_pylist()))
     return pa.table({"segment": part["segment"].slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes())], pa.binary())})
 
 
-def sketch_of(survey: DataFrame) -> np.ndarray:
-    """The sketch: SKETCH counters over the whole corpus; what comes to the driver is of that size whatever the input's."""
-    sketch = np.zeros(SKETCH, np.int64)
+def sketch_of(survey: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """The sketch over the whole corpus; what comes to the driver is 2**bits counters whatever the input's size."""
+    sketch = np.zeros(1 << bits, np.int64)
     for row in survey.where("segment is not null").select("segment", "kind", "counts").groupBy("segment").applyInArrow(_add_counts, "segment int, counts binary").collect():
         sketch[row["segment"] * SEGMENT : (row["segment"] + 1) * SEGMENT] = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
     return sketch
@@ -117,100 +124,182 @@ class Order:
     """Frequency classes of the sketch's cells, a byte each: a class is a quarter of a doubling; what can't be told from a mean cell is class 0."""
 
     def __init__(self, sketch: np.ndarray):
+        self.bits, self.hot = int(len(sketch)).bit_length() - 1, HOT
         self.mean = float(sketch.mean())
-        floor = self.mean + 6 * np.sqrt(self.mean) + 1
-        self.classes = np.clip(np.ceil(4 * np.log2(np.maximum(sketch / floor, 1))), 0, 255).astype(np.uint8)
-        self.floor = floor
+        self.floor = self.mean + 6 * np.sqrt(self.mean) + 1
+        self.classes = np.clip(np.ceil(4 * np.log2(np.maximum(sketch / self.floor, 1))), 0, 255).astype(np.uint8)
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         """Order and identity of shingles in one number."""
-        return (self.classes[cell(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+        cell = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.classes[cell].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+
+    def often(self, classes: np.ndarray) -> np.ndarray:
+        """About how many documents hold a shingle of a class: what its cell has beyond the mean, 1 where that is noise."""
+        return np.where(classes > 0, self.floor * 2 ** (classes / 4.0) - self.mean, 1.0)
 
     def prefix(self, keys: np.ndarray, threshold: int) -> tuple[np.ndarray, int]:
         """The prefix of a set given by its ascending keys, and the number of its shingles that a candidate must share."""
         n = len(keys)
         needed = -(-threshold * n // 100)
         base = n - needed + 1
-        top = (keys[:base] >> np.uint64(56)).astype(np.float64)
-        cost = float(np.sum(np.where(top > 0, self.floor * 2 ** (top / 4), self.mean)))
+        cost = float(self.often((keys[:base] >> np.uint64(56)).astype(np.int64)).sum())
         shared = int(min(max(1, cost / COST), max(1, n // MOST_SHARED), needed, 65_535))
         return keys[: base - 1 + shared], shared
 
+    def salts(self, names: np.ndarray) -> np.ndarray:
+        """Over how many buckets the entries of a shingle are dealt."""
+        classes = self.classes[(names >> np.uint64(NAME_BITS - self.bits)).astype(np.int64)]
+        return np.where(classes > 0, np.ceil(self.often(classes) / self.hot), 1).astype(np.int64)
+
+
+def name_of(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64((1 << 56) - 1)) >> np.uint64(56 - NAME_BITS)
+
 
 def _prefixes(order, size: int, threshold: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, held, count = order.value, set(), [], 0
         for whole in batches:
             for batch in batch_rows(whole, "text"):
-                h, first = shingle_sets(batch.column("text"), size)
-                at = first.tolist()
-                for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                    u = np.unique(h[at[i] : at[i + 1]])
+                for u, doc in zip(distinct_sets(batch.column("text"), size), batch.column("doc_id").to_pylist()):
                     digest = digest_of(u) if len(u) and doc is not None else None
                     if digest is not None and digest not in seen:
                         seen.add(digest)
                         keys, shared = own.prefix(np.sort(own.keys(u)), threshold)
-                        held.append((keys, digest, shared))
+                        held.append((keys, digest, shared, len(u)))
                         count += len(keys)
                 if count > HELD:
-                    yield _blocks(held, buckets)
+                    yield _blocks(held, buckets, own)
                     held, count = [], 0
         if held:
-            yield _blocks(held, buckets)
+            yield _blocks(held, buckets, own)
+        del seen, held
+        release_memory()
 
     return run
 
 
-def _blocks(held: list, buckets: int) -> pa.RecordBatch:
-    keys = np.concatenate([x[0] for x in held])
-    lengths = [len(x[0]) for x in held]
-    entries = np.zeros(len(keys), ENTRY)
-    spread = mix(keys * np.uint64(0x9E3779B97F4A7C15))
-    entries["k"] = spread.astype(np.uint32)
-    entries["c"] = np.repeat(np.array([x[1] for x in held], np.int64), lengths)
-    entries["l"] = np.repeat(np.array([x[2] for x in held], np.uint16), lengths)
-    bucket = ((spread >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    entries, ends = entries[by], np.cumsum(np.bincount(bucket, minlength=buckets))
-    used = np.flatnonzero(np.diff(ends, prepend=0))
-    parts = [entries[(ends[b - 1] if b else 0) : ends[b]].tobytes() for b in used.tolist()]
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "block"])
-
-
-GROUPS = "gid long, sign long, weight long, c long, l long"
-
-
-def _groups(part: pa.Table) -> pa.Table:
-    """Groups of classes that share a prefix shingle of this bucket. Groups of the same members are one, with their number as weight."""
-    bucket = part["bucket"][0].as_py()
-    e = np.concatenate([np.frombuffer(b, ENTRY) for b in part["block"].to_pylist()])
-    e = e[np.lexsort((e["c"], e["k"]))]
-    new = np.ones(len(e), bool)
-    new[1:] = (e["k"][1:] != e["k"][:-1]) | (e["c"][1:] != e["c"][:-1])
-    e = e[new]
-    starts = np.flatnonzero(np.r_[True, e["k"][1:] != e["k"][:-1]])
-    sizes = np.diff(np.r_[starts, len(e)])
-    signs = np.add.reduceat(mix(e["c"].astype(np.uint64)), starts).view(np.int64)
-    _, once, of, merged = np.unique(signs, return_index=True, return_inverse=True, return_counts=True)
-    chosen = np.zeros(len(starts), bool)
-    chosen[once] = True
-    kept = np.repeat(chosen & (sizes > 1), sizes)
-    e, sign, weight = e[kept], np.repeat(signs, sizes)[kept], np.repeat(merged[of], sizes)[kept]
-    columns = [e["k"].astype(np.int64) | bucket << 32, sign, weight, e["c"], e["l"].astype(np.int64)]
-    return pa.table({name.split()[0]: pa.array(np.ascontiguousarray(x)) for name, x in zip(GROUPS.split(", "), columns)})
+def _blocks(held: list, buckets: int, own: Order) -> pa.RecordBatch:
+    """Prefix entries by bucket; in a bucket each class once, with its size and its number of shingles to share, then its shingles' names."""
+    lengths = np.array([len(x[0]) for x in held])
+    names = name_of(np.concatenate([x[0] for x in held]))
+    c = np.array([x[1] for x in held], np.int64)
+    who = np.repeat(np.arange(len(held)), lengths)
+    salt = mix(c.astype(np.uint64))[who] % own.salts(names).astype(np.uint64)
+    bucket = ((mix(names * np.uint64(0x9E3779B97F4A7C15)) + salt) % np.uint64(buckets)).astype(np.int64)
+    by = np.lexsort((who, bucket))
+    names, who, bucket = names[by], who[by], bucket[by]
+    run = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (who[1:] != who[:-1])])
+    sizes, of, home = np.diff(np.r_[run, len(names)]), who[run], bucket[run]
+    shared, n = np.array([x[2] for x in held], np.uint16), np.array([x[3] for x in held], np.uint32)
+    six = names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    first = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
+    parts = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(run)]):
+        x, y = run[a], run[b] if b < len(run) else len(names)
+        parts.append(b"".join([(b - a).to_bytes(8, "little"), c[of[a:b]].tobytes(), n[of[a:b]].tobytes(), sizes[a:b].astype(np.uint32).tobytes(), shared[of[a:b]].tobytes(), six[x:y].tobytes()]))
+    return pa.RecordBatch.from_arrays([pa.array(home[first], pa.int32()), pa.array(parts, pa.binary())], ["bucket", "block"])
+
+
+def _entries(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Name, class, size and number to share of every entry of a block."""
+    m, at, columns = int.from_bytes(block[:8], "little"), 8, []
+    for kind in (np.int64, np.uint32, np.uint32, np.uint16):
+        columns.append(np.frombuffer(block, kind, m, at))
+        at += m * np.dtype(kind).itemsize
+    c, n, sizes, shared = columns
+    names = np.zeros((int(sizes.sum()), 8), np.uint8)
+    names[:, :6] = np.frombuffer(block, np.uint8, 6 * len(names), at).reshape(-1, 6)
+    return names.view("<u8")[:, 0], *(np.repeat(x, sizes) for x in (c, n, shared))
+
+
+GROUPS = "gid long, sign long, weight long, hub long, many int, members binary"
+MEMBER = np.dtype([("c", "<i8"), ("n", "<u4"), ("l", "<u2")])
+
+
+def _groups(order):
+    """Groups of classes that share a prefix shingle of this bucket, packed. Groups of the same members are one, with their number as weight."""
+
+    def run(part: pa.Table) -> pa.Table:
+        names, c, n, shared = (np.concatenate(x) for x in zip(*(_entries(b) for b in part["block"].to_pylist())))
+        by = np.lexsort((c, names))
+        names, c = names[by], c[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (names[1:] != names[:-1]) | (c[1:] != c[:-1])
+        by, names = by[new], names[new]
+        members = np.zeros(len(by), MEMBER)
+        members["c"], members["n"], members["l"] = c[new], n[by], shared[by]
+        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        sizes = np.diff(np.r_[starts, len(names)])
+        signs = np.add.reduceat(mix(members["c"].astype(np.uint64)), starts).view(np.int64)
+        salts = order.value.salts(names[starts])
+        # A frequent shingle's parts, one in each of its buckets, keep their own name.
+        alike = signs.view(np.uint64) ^ np.where(salts > 1, mix(names[starts] + np.uint64(1)), np.uint64(0))
+        _, once, of, merged = np.unique(alike, return_index=True, return_inverse=True, return_counts=True)
+        rows = np.sort(once[(sizes[once] > 1) | (salts[once] > 1)])
+        at = rows.tolist()
+        packed = [members[starts[i] : starts[i] + sizes[i]].tobytes() for i in at]
+        first = members["c"][starts[rows]]
+        columns = [pa.array(names[starts[rows]].astype(np.int64)), pa.array(signs[rows]), pa.array(merged[of[rows]].astype(np.int64)), pa.array(first), pa.array(salts[rows].astype(np.int32)), pa.array(packed, pa.binary())]
+        return pa.table(columns, [f.split()[0] for f in GROUPS.split(", ")])
+
+    return run
 
 
 def linked(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
     return 100 * overlap >= threshold * (a + b - overlap)
 
 
+NEAR = "c long, hub long, weight long, least long"
+
+
+def _near(threshold: int):
+    """Of each group its members of a size that can link with the hub; rows of one class and hub are added up as far as a batch holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for weight, data in zip(batch.column("weight").to_pylist(), batch.column("members").to_pylist()):
+                m = np.frombuffer(data, MEMBER)
+                n, own = m["n"].astype(np.int64), int(m["n"][0])
+                near = np.flatnonzero((100 * n >= threshold * own) & (100 * own >= threshold * n))[1:]
+                found.append(np.stack([m["c"][near], np.full(len(near), m["c"][0]), np.full(len(near), weight), np.minimum(m["l"][near], m["l"][0]).astype(np.int64)]))
+            if found:
+                c, hub, weight, least = np.concatenate(found, axis=1)
+                by = np.lexsort((hub, c))
+                c, hub, weight, least = c[by], hub[by], weight[by], least[by]
+                if len(c):
+                    starts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (hub[1:] != hub[:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[starts]), pa.array(hub[starts]), pa.array(np.add.reduceat(weight, starts)), pa.array(least[starts])], ["c", "hub", "weight", "least"])
+
+    return run
+
+
+MEMBERS = "gid long, hub long, weight long, c long, n long, l long"
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each member of a group."""
+    for batch in batches:
+        for row in range(0, batch.num_rows, 256):
+            part = batch.slice(row, 256)
+            members = [np.frombuffer(data, MEMBER) for data in part.column("members").to_pylist()]
+            sizes, every = [len(m) for m in members], np.concatenate(members)
+            columns = [np.repeat(np.asarray(part.column(name)), sizes) for name in ("gid", "hub", "weight")]
+            for at in range(0, len(every), 1 << 18):
+                stop = at + (1 << 18)
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:stop]) for x in columns] + [pa.array(every[name][at:stop].astype(np.int64)) for name in ("c", "n", "l")], [f.split()[0] for f in MEMBERS.split(", ")])
+
+
 class _Texts:
-    """Shingle sets of a table's texts, one after the other."""
+    """Shingle sets of a table's texts."""
 
     def __init__(self, column: pa.ChunkedArray, size: int):
-        h, first = shingle_sets(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, size)
-        at = first.tolist()
-        self.sets = [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
+        unpack, self.sets = zstandard.ZstdDecompressor().decompress, []
+        texts = column.to_pylist()
+        for at in range(0, len(texts), 256):
+            self.sets += distinct_sets(pa.array([unpack(t).decode() for t in texts[at : at + 256]], pa.large_string()), size)
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.digests = np.array([digest_of(s) if len(s) else 0 for s in self.sets], np.int64)
 
@@ -241,6 +330,7 @@ MEETINGS = "bucket int, block binary"
 def _meetings(threshold: int, buckets: int, part: pa.Table) -> pa.Table:
     """Pairs of a group's classes that are of different components and of sizes that can link, packed by bucket of pair.
 
+    Groups of one hub are in one part, so that most of what a pair shares is added up here.
     Rows: gid, lo, hi, side, weight, c, n, l, component, label.
     """
     gid, lo, hi, side, weight, c, n, shared, component, label = (np.asarray(part[x]) for x in ("gid", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label"))
@@ -302,7 +392,7 @@ ENDS = "p long, q long, label long, c long"
 def _participants(part: pa.Table) -> pa.Table:
     """Of the pairs that share enough prefix shingles, each class once per pair of labels."""
     pairs = _summed(np.concatenate([_unpacked_pairs(b) for b in part["block"].to_pylist()]))
-    pairs = pairs[pairs["w"] + 1 >= pairs["l"]]  # one less: two shingles of a bucket may share their 32 bits
+    pairs = pairs[pairs["w"] + 1 >= pairs["l"]]  # one less: two shingles may share their name
     p, q = np.minimum(pairs["p"], pairs["q"]), np.maximum(pairs["p"], pairs["q"])
     every = np.unique(np.concatenate([np.stack([p, q, pairs["p"], pairs["a"]], 1), np.stack([p, q, pairs["q"], pairs["b"]], 1)]), axis=0)
     return pa.table({name.split()[0]: pa.array(np.ascontiguousarray(every[:, i])) for i, name in enumerate(ENDS.split(", "))})
@@ -331,8 +421,9 @@ def _join_marks(part: pa.Table) -> pa.Table:
     return pa.table({"segment": part["segment"].slice(0, 1), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def only_needed(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """Rows of texts (doc_id, text) whose doc_id needed (d) may hold, so that few others are shuffled for the join that follows.
+def only_needed(texts: DataFrame, needed: DataFrame) -> tuple[DataFrame, object]:
+    """Rows of texts (doc_id, text) whose doc_id needed (d) may hold, texts compressed, so that few others are shuffled
+    for the join that follows; and the broadcast filter, to be destroyed when that is done.
 
     The filter is of fixed size: with very many needed documents it lets more of the
     others pass, which costs a longer shuffle and no row.
@@ -343,12 +434,14 @@ def only_needed(texts: DataFrame, needed: DataFrame) -> DataFrame:
     known = texts.sparkSession.sparkContext.broadcast(bits)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = known.value
+        own, pack = known.value, zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             places = _bit_places(np.asarray(batch.column("doc_id")))
-            yield batch.filter(pa.array(((own[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(0)))
+            some = batch.filter(pa.array(((own[places >> 3] >> (places & 7).astype(np.uint8)) & 1).all(0)))
+            for part in batch_rows(some, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([pack((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())], ["d", "text"])
 
-    return texts.where("doc_id is not null").mapInArrow(keep, texts.schema)
+    return texts.where("doc_id is not null").mapInArrow(keep, "d long, text binary"), known
 
 
 LINKS = "a long, b long"
@@ -418,61 +511,84 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
     survey = materialize(texts.mapInArrow(_survey(size), SURVEY), "survey")
     order = spark.sparkContext.broadcast(Order(sketch_of(survey)))
     sets = survey.where("segment is null").select("doc_id", "n", "digest")
-    buckets = 2 * shuffle_partitions(spark)
+    classes = materialize(sets.where("digest is not null and doc_id is not null").groupBy(F.col("digest").alias("c")).agg(F.min("doc_id").alias("d"), F.min("n").alias("n")), "classes")
+    # A prefix is 100 - threshold to 110 - threshold of a hundred shingles, and one.
+    entries = classes.agg(F.sum(F.col("n") * (100 - threshold + 100 // MOST_SHARED) / 100 + 1)).first()[0] or 0
+    buckets = max(12, int(entries // BUCKET) + 1)
     packed = texts.mapInArrow(_prefixes(order, size, threshold, buckets), "bucket int, block binary")
-    classes = sets.where("digest is not null and doc_id is not null").groupBy(F.col("digest").alias("c")).agg(F.min("doc_id").alias("d"), F.min("n").alias("n"))
-    groups = materialize(packed.groupBy("bucket").applyInArrow(_groups, GROUPS).join(classes, "c"), "groups")
-    blocks = 4 * shuffle_partitions(spark)
+    # Groups of the same members are one across buckets too; their weights add up.
+    whole = packed.groupBy("bucket").applyInArrow(_groups(order), GROUPS)
+    key = F.when(F.col("many") > 1, F.col("gid")).otherwise(0)
+    groups = materialize(whole.groupBy("sign", key.alias("own")).agg(F.min("gid").alias("gid"), F.sum("weight").alias("weight"), F.min("hub").alias("hub"), F.max("many").alias("many"), F.first("members").alias("members")).drop("own", "sign"), "groups")
+
+    def parts_of(members: DataFrame) -> int:
+        """Parts, so that one holds about PART shingles."""
+        return max(shuffle_partitions(spark), int((members.agg(F.sum("n")).first()[0] or 0) // PART) + 1)
+
+    def verified(members: DataFrame, check, *keys: str) -> DataFrame:
+        """Links that check finds in the texts of members (c and other columns), dealt by keys."""
+        members = materialize(members.join(classes, "c"), "members")
+        filtered, known = only_needed(texts, members.select("d").distinct())
+        dealt = members.join(filtered, "d").withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts_of(members))).cast("int"))
+        links = materialize(dealt.groupBy("part").applyInArrow(check, LINKS), "links")
+        known.destroy()
+        return links
 
     def check_hubs(part: pa.Table) -> pa.Table:
         return _verify_hubs(size, threshold, part)
 
-    def meet(part: pa.Table) -> pa.Table:
-        return _meetings(threshold, blocks, part)
-
     def check_blocks(part: pa.Table) -> pa.Table:
         return _verify_blocks(order, size, threshold, part)
 
-    def with_text(members: DataFrame, *keys: str) -> DataFrame:
-        members = materialize(members, "members")
-        dealt = members.join(only_needed(texts, members.select("d").distinct()).withColumnRenamed("doc_id", "d"), "d")
-        return dealt.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-
-    # Step 4: hubs.
-    hub = groups.groupBy("gid").agg(F.min(F.struct("d", "c", "n")).alias("hub")).select("gid", F.col("hub.c").alias("hub_c"), F.col("hub.d").alias("hub_d"), F.col("hub.n").alias("hub_n"))
-    near = groups.join(hub, "gid").where(f"d <> hub_d and 100 * n >= {threshold} * hub_n and 100 * hub_n >= {threshold} * n").select("hub_c", "hub_d", "c", "d").distinct()
-    loads = near.groupBy("hub_c", "hub_d").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("salts"))
-    others = near.join(loads.select("hub_c", "salts"), "hub_c").select(F.col("hub_c").alias("hub"), F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), "c", "d")
-    hubs = loads.select(F.col("hub_c").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub_c").alias("c"), F.col("hub_d").alias("d"))
-    checked = with_text(others.unionByName(hubs), "hub", "salt").groupBy("part").applyInArrow(check_hubs, LINKS)
-    links = materialize(checked, "links")
+    # Step 4: every class and the hub with which it shares most; the hubs of a frequent shingle's parts and the least of them.
+    frequent = groups.where("many > 1").select("gid", "hub")
+    tops = frequent.groupBy("gid").agg(F.min("hub").alias("top"))
+    bridges = frequent.join(tops, "gid").where("hub <> top").groupBy(F.col("hub").alias("c"), F.col("top").alias("hub")).agg(F.count("*").alias("weight"))
+    near = groups.select("weight", "members").mapInArrow(_near(threshold), NEAR).groupBy("c", "hub").agg(F.sum("weight").alias("weight"), F.min("least").alias("least"))
+    # What a class shares with a hub is counted only where that is the group's hub: half of what a pair must share is enough here.
+    near = near.where("2 * weight >= least")
+    best = near.groupBy("c").agg(F.max(F.struct("weight", "hub")).alias("best")).select("c", "best.hub")
+    near = materialize(best.union(bridges.select("c", "hub")).distinct(), "near")
+    loads = near.groupBy("hub").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("salts"))
+    others = near.join(loads, "hub").select("hub", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), "c")
+    hubs = loads.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("c"))
+    links = verified(others.unionByName(hubs), check_hubs, "hub", "salt")
     joined = connected_components(links)
 
     # Step 5: groups that still hold several components.
-    member = groups.select("gid", "sign", "weight", "c", "d", "n", "l").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    open_groups = member.groupBy("gid").agg(F.min("d").alias("least"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"), F.first("sign").alias("sign"), F.first("weight").alias("weight")).where("lo <> hi")
-    # Groups of the same members are one across buckets too; their weights add up.
-    open_groups = open_groups.groupBy("sign").agg(F.min("gid").alias("gid"), F.sum("weight").alias("weight"), F.min("least").alias("least"), F.max("pieces").alias("pieces")).drop("sign")
-    member = materialize(member.drop("sign", "weight").join(open_groups, "gid"), "open")
-    cluster = member.groupBy("c", "d", "component").agg(F.min("least").alias("cluster"))
+    def placed_in(members: DataFrame) -> DataFrame:
+        return members.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+    wanted = placed_in(groups.select("gid", "hub", "weight", "members").mapInArrow(_unpacked, MEMBERS).select("gid", "c"))
+    mixed = wanted.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("gid", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"))
+    still = materialize(groups.join(mixed, "gid"), "open")
+    tops = still.groupBy("gid").agg(F.min("hub").alias("top"))
+    pieces = still.join(tops, "gid").groupBy("top").agg(F.max("pieces").alias("pieces"))
+    member = placed_in(still.join(tops, "gid").select("gid", F.col("top").alias("hub"), "weight", "members").mapInArrow(_unpacked, MEMBERS))
+    member = materialize(member, "open")
+    cluster = member.groupBy("c", "component").agg(F.min("hub").alias("cluster"))
     big = cluster.groupBy("cluster", "component").agg(F.count("*").alias("alike"))
     rest = big.groupBy("cluster").agg(F.coalesce(F.sum(F.when(F.col("alike") < BLOCK // 2, F.col("alike"))), F.lit(0)).alias("mixed"))
     tag = F.when(F.col("alike") >= BLOCK // 2, F.col("component"))
     chunks = F.ceil(F.when(tag.isNotNull(), F.col("alike")).otherwise(F.col("mixed")) / BLOCK)
     labels = materialize(
-        cluster.join(big, ["cluster", "component"]).join(rest, "cluster").select("c", "d", "component", tag.alias("tag"), F.xxhash64("cluster", F.coalesce(tag, F.lit(0)), F.pmod(F.xxhash64("c"), chunks)).alias("label")),
+        cluster.join(big, ["cluster", "component"]).join(rest, "cluster").select("c", "component", tag.alias("tag"), F.xxhash64("cluster", F.coalesce(tag, F.lit(0)), F.pmod(F.xxhash64("c"), chunks)).alias("label")),
         "labels",
     )
-    placed = member.join(labels.select("c", "label"), "c").withColumn("side", F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int"))
+    blocks = max(shuffle_partitions(spark), int(member.count() // BUCKET) + 1)
+
+    def meet(part: pa.Table) -> pa.Table:
+        return _meetings(threshold, blocks, part)
+
+    placed = member.join(labels.select("c", "label"), "c").join(pieces.withColumnRenamed("top", "hub"), "hub").withColumn("side", F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    placed = placed.select("gid", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label", F.pmod(F.xxhash64("gid", "lo", "hi"), F.lit(blocks)).cast("int").alias("part"))
+    placed = placed.select("gid", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label", F.pmod(F.xxhash64("hub", "lo", "hi"), F.lit(blocks)).cast("int").alias("part"))
     ends = placed.groupBy("part").applyInArrow(meet, MEETINGS).groupBy("bucket").applyInArrow(_participants, ENDS).distinct()
-    checked = with_text(ends.join(labels.select("c", "d", "component"), "c"), "p", "q").groupBy("part").applyInArrow(check_blocks, LINKS)
-    more = materialize(checked, "links")
+    more = verified(ends.join(labels.select("c", "component"), "c"), check_blocks, "p", "q")
+    order.destroy()
     joined = connected_components(links.unionByName(more))
 
-    named = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least")).join(joined.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    named = classes.select(F.col("c").alias("digest"), F.col("d").alias("least")).join(joined.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = named.join(names, "component").select("digest", "component_id")
-    return sets.join(of_set, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
+    return sets.join(of_set, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import getpass
 import uuid
 from collections.abc import Iterator
@@ -56,11 +57,19 @@ def join_unique(rows: DataFrame, facts: DataFrame, key: str, weight: str, share:
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def release_memory() -> None:
+    """Gives what a finished task has freed back to the system: workers are used again and would keep it."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_or_empty(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
-def batch_rows(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batch_rows(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text column holds about max_bytes at most, one row at least."""
     array = batch.column(column)
     sizes = np.asarray(pc.fill_null(pc.binary_length(array), 0), dtype=np.int64)
