@@ -15,8 +15,8 @@ Steps, all of them Spark jobs over the whole table:
 2. per document its set's size and digest, and once per task and distinct set its prefix,
    packed by bucket of shingle; copies have one digest and are one class from here on. What
    the counters show as very frequent is dealt over several buckets by class;
-3. per bucket the classes that share a prefix shingle; each such group has the class of least
-   digest as its hub, and groups of the same classes are merged;
+3. per bucket the classes that share a prefix shingle; each such group has the class of the
+   smallest document as its hub, and groups of the same classes are merged;
 4. verify every class against the one hub with which it shares most, and take components of
    the links found;
 5. in groups that still hold several components, bring classes of different components
@@ -167,7 +167,7 @@ def _prefixes(order, size: int, threshold: int, buckets: int):
                     if digest is not None and digest not in seen:
                         seen.add(digest)
                         keys, shared = own.prefix(np.sort(own.keys(u)), threshold)
-                        held.append((keys, digest, shared, len(u)))
+                        held.append((keys, digest, shared, len(u), doc))
                         count += len(keys)
                 if count > HELD:
                     yield _blocks(held, buckets, own)
@@ -181,7 +181,7 @@ def _prefixes(order, size: int, threshold: int, buckets: int):
 
 
 def _blocks(held: list, buckets: int, own: Order) -> pa.RecordBatch:
-    """Prefix entries by bucket; in a bucket each class once, with its size and its number of shingles to share, then its shingles' names."""
+    """Prefix entries by bucket; in a bucket each class once, with a document, its size and its number of shingles to share, then its shingles' names."""
     lengths = np.array([len(x[0]) for x in held])
     names = name_of(np.concatenate([x[0] for x in held]))
     c = np.array([x[1] for x in held], np.int64)
@@ -192,26 +192,26 @@ def _blocks(held: list, buckets: int, own: Order) -> pa.RecordBatch:
     names, who, bucket = names[by], who[by], bucket[by]
     run = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (who[1:] != who[:-1])])
     sizes, of, home = np.diff(np.r_[run, len(names)]), who[run], bucket[run]
-    shared, n = np.array([x[2] for x in held], np.uint16), np.array([x[3] for x in held], np.uint32)
+    shared, n, d = np.array([x[2] for x in held], np.uint16), np.array([x[3] for x in held], np.uint32), np.array([x[4] for x in held], np.int64)
     six = names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     first = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
     parts = []
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(run)]):
         x, y = run[a], run[b] if b < len(run) else len(names)
-        parts.append(b"".join([(b - a).to_bytes(8, "little"), c[of[a:b]].tobytes(), n[of[a:b]].tobytes(), sizes[a:b].astype(np.uint32).tobytes(), shared[of[a:b]].tobytes(), six[x:y].tobytes()]))
+        parts.append(b"".join([(b - a).to_bytes(8, "little"), c[of[a:b]].tobytes(), d[of[a:b]].tobytes(), n[of[a:b]].tobytes(), sizes[a:b].astype(np.uint32).tobytes(), shared[of[a:b]].tobytes(), six[x:y].tobytes()]))
     return pa.RecordBatch.from_arrays([pa.array(home[first], pa.int32()), pa.array(parts, pa.binary())], ["bucket", "block"])
 
 
-def _entries(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Name, class, size and number to share of every entry of a block."""
+def _entries(block: bytes) -> tuple[np.ndarray, ...]:
+    """Name, class, document, size and number to share of every entry of a block."""
     m, at, columns = int.from_bytes(block[:8], "little"), 8, []
-    for kind in (np.int64, np.uint32, np.uint32, np.uint16):
+    for kind in (np.int64, np.int64, np.uint32, np.uint32, np.uint16):
         columns.append(np.frombuffer(block, kind, m, at))
         at += m * np.dtype(kind).itemsize
-    c, n, sizes, shared = columns
+    c, d, n, sizes, shared = columns
     names = np.zeros((int(sizes.sum()), 8), np.uint8)
     names[:, :6] = np.frombuffer(block, np.uint8, 6 * len(names), at).reshape(-1, 6)
-    return names.view("<u8")[:, 0], *(np.repeat(x, sizes) for x in (c, n, shared))
+    return names.view("<u8")[:, 0], *(np.repeat(x, sizes) for x in (c, d, n, shared))
 
 
 GROUPS = "gid long, sign long, weight long, hub long, many int, members binary"
@@ -222,14 +222,13 @@ def _groups(order):
     """Groups of classes that share a prefix shingle of this bucket, packed. Groups of the same members are one, with their number as weight."""
 
     def run(part: pa.Table) -> pa.Table:
-        names, c, n, shared = (np.concatenate(x) for x in zip(*(_entries(b) for b in part["block"].to_pylist())))
-        by = np.lexsort((c, names))
-        names, c = names[by], c[by]
-        new = np.ones(len(by), bool)
-        new[1:] = (names[1:] != names[:-1]) | (c[1:] != c[:-1])
-        by, names = by[new], names[new]
+        names, c, d, n, shared = (np.concatenate(x) for x in zip(*(_entries(b) for b in part["block"].to_pylist())))
+        by = np.lexsort((d, c, names))
+        by = by[np.r_[True, (names[by][1:] != names[by][:-1]) | (c[by][1:] != c[by][:-1])]]
+        by = by[np.lexsort((d[by], names[by]))]
+        names = names[by]
         members = np.zeros(len(by), MEMBER)
-        members["c"], members["n"], members["l"] = c[new], n[by], shared[by]
+        members["c"], members["n"], members["l"] = c[by], n[by], shared[by]
         starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
         sizes = np.diff(np.r_[starts, len(names)])
         signs = np.add.reduceat(mix(members["c"].astype(np.uint64)), starts).view(np.int64)
@@ -257,21 +256,28 @@ NEAR = "c long, hub long, weight long, least long"
 def _near(threshold: int):
     """Of each group its members of a size that can link with the hub; rows of one class and hub are added up as far as a batch holds them."""
 
+    def summed(found: list) -> pa.RecordBatch:
+        c, hub, weight, least = np.concatenate(found, axis=1)
+        by = np.lexsort((hub, c))
+        c, hub, weight, least = c[by], hub[by], weight[by], least[by]
+        starts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (hub[1:] != hub[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (c[starts], hub[starts], np.add.reduceat(weight, starts), least[starts])], ["c", "hub", "weight", "least"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, count = [], 0
         for batch in batches:
-            found = []
             for weight, data in zip(batch.column("weight").to_pylist(), batch.column("members").to_pylist()):
                 m = np.frombuffer(data, MEMBER)
                 n, own = m["n"].astype(np.int64), int(m["n"][0])
                 near = np.flatnonzero((100 * n >= threshold * own) & (100 * own >= threshold * n))[1:]
                 found.append(np.stack([m["c"][near], np.full(len(near), m["c"][0]), np.full(len(near), weight), np.minimum(m["l"][near], m["l"][0]).astype(np.int64)]))
-            if found:
-                c, hub, weight, least = np.concatenate(found, axis=1)
-                by = np.lexsort((hub, c))
-                c, hub, weight, least = c[by], hub[by], weight[by], least[by]
-                if len(c):
-                    starts = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (hub[1:] != hub[:-1])])
-                    yield pa.RecordBatch.from_arrays([pa.array(c[starts]), pa.array(hub[starts]), pa.array(np.add.reduceat(weight, starts)), pa.array(least[starts])], ["c", "hub", "weight", "least"])
+                count += len(near)
+                if count > HELD // 4:
+                    yield summed(found)
+                    found, count = [], 0
+        if count:
+            yield summed(found)
+        release_memory()
 
     return run
 
@@ -281,15 +287,15 @@ MEMBERS = "gid long, hub long, weight long, c long, n long, l long"
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each member of a group."""
-    for batch in batches:
-        for row in range(0, batch.num_rows, 256):
-            part = batch.slice(row, 256)
+    for whole in batches:
+        for part in batch_rows(whole, "members"):
             members = [np.frombuffer(data, MEMBER) for data in part.column("members").to_pylist()]
             sizes, every = [len(m) for m in members], np.concatenate(members)
             columns = [np.repeat(np.asarray(part.column(name)), sizes) for name in ("gid", "hub", "weight")]
-            for at in range(0, len(every), 1 << 18):
-                stop = at + (1 << 18)
+            for at in range(0, len(every), 1 << 17):
+                stop = at + (1 << 17)
                 yield pa.RecordBatch.from_arrays([pa.array(x[at:stop]) for x in columns] + [pa.array(every[name][at:stop].astype(np.int64)) for name in ("c", "n", "l")], [f.split()[0] for f in MEMBERS.split(", ")])
+    release_memory()
 
 
 class _Texts:
@@ -320,7 +326,7 @@ def _runs(rows: np.ndarray, *columns: np.ndarray) -> Iterator[np.ndarray]:
 
 
 #: Members of one group that are compared in one piece.
-PIECE = 2048
+PIECE = 1024
 #: Buckets over which the pairs of two labels are spread.
 SPREAD = 4
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("p", "<i8"), ("q", "<i8"), ("w", "<u4"), ("l", "<u4")])
@@ -330,35 +336,62 @@ MEETINGS = "bucket int, block binary"
 def _meetings(threshold: int, buckets: int, part: pa.Table) -> pa.Table:
     """Pairs of a group's classes that are of different components and of sizes that can link, packed by bucket of pair.
 
-    Groups of one hub are in one part, so that most of what a pair shares is added up here.
-    Rows: gid, lo, hi, side, weight, c, n, l, component, label.
+    All groups of one hub and one pair of pieces are in one part, where what two classes share
+    is added up in a table of PIECE * PIECE places. Rows: gid, hub, lo, hi, side, weight, c, n, l, component, label.
     """
-    gid, lo, hi, side, weight, c, n, shared, component, label = (np.asarray(part[x]) for x in ("gid", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label"))
-    found = [np.zeros(0, PAIR)]
-    for rows in _runs(np.arange(len(gid)), gid, lo, hi):
+    gid, hub, lo, hi, side, weight, c, n, shared, component, label = (np.asarray(part[x]) for x in ("gid", "hub", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label"))
+    out: dict[str, list] = {"bucket": [], "block": []}
+    for rows in _runs(np.arange(len(gid)), hub, lo, hi):
+        same = lo[rows[0]] == hi[rows[0]]
         left, right = rows[side[rows] == lo[rows[0]]], rows[side[rows] == hi[rows[0]]]
-        for piece in np.array_split(left, -(-len(left) // 512) or 1):
-            x, y = piece[:, None], right[None, :]
-            meet = (component[x] != component[y]) & (100 * n[x] >= threshold * n[y]) & (100 * n[y] >= threshold * n[x])
-            if lo[rows[0]] == hi[rows[0]]:
-                meet &= c[x] < c[y]
-            i, j = np.nonzero(meet)
-            if len(i):
-                u, v = piece[i], right[j]
-                swap = c[u] > c[v]
-                u, v = np.where(swap, v, u), np.where(swap, u, v)
-                pairs = np.zeros(len(u), PAIR)
-                pairs["a"], pairs["b"], pairs["p"], pairs["q"] = c[u], c[v], label[u], label[v]
-                pairs["w"], pairs["l"] = weight[u], np.minimum(shared[u], shared[v])
-                found.append(pairs)
-    pairs = _summed(np.concatenate(found))
-    # All rows of a pair of labels meet in SPREAD buckets, so that a class leaves each of them once however many pairs it has.
+        for x in _pieces(left, c):
+            for y in _pieces(right, c):
+                pairs = _counted(x, y, gid, weight, c)
+                if same:
+                    pairs = tuple(p[c[pairs[0]] < c[pairs[1]]] for p in pairs)
+                u, v, w = pairs
+                meet = (component[u] != component[v]) & (100 * n[u] >= threshold * n[v]) & (100 * n[v] >= threshold * n[u])
+                _deal(u[meet], v[meet], w[meet], c, label, shared, buckets, out)
+    return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), "block": pa.array(out["block"], pa.binary())})
+
+
+def _pieces(rows: np.ndarray, c: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows by at most 2 * PIECE classes each."""
+    if len(rows):
+        rows = rows[np.argsort(c[rows], kind="stable")]
+        number = np.cumsum(np.r_[0, c[rows][1:] != c[rows][:-1]])
+        yield from np.split(rows, np.flatnonzero(np.diff(number // (2 * PIECE))) + 1)
+
+
+def _counted(x: np.ndarray, y: np.ndarray, gid: np.ndarray, weight: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of each of two classes that share a group, and the weight of what they share."""
+    left, u, at = np.unique(c[x], return_index=True, return_inverse=True)
+    right, v, to = np.unique(c[y], return_index=True, return_inverse=True)
+    total = np.zeros((len(left), len(right)), np.uint32)
+    by, other = np.argsort(gid[x], kind="stable"), np.argsort(gid[y], kind="stable")
+    names, starts = np.unique(gid[x][by], return_index=True)
+    first, last = np.searchsorted(gid[y][other], names, "left"), np.searchsorted(gid[y][other], names, "right")
+    for a, b, s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(by)], first.tolist(), last.tolist()):
+        if e > s:
+            total[np.ix_(at[by[a:b]], to[other[s:e]])] += np.uint32(weight[x[by[a]]])
+    i, j = np.nonzero(total)
+    return x[u[i]], y[v[j]], total[i, j]
+
+
+def _deal(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray, label: np.ndarray, shared: np.ndarray, buckets: int, out: dict[str, list]) -> None:
+    """Packs pairs by bucket. All rows of a pair of labels meet in SPREAD buckets, so that a class leaves each of them once however many pairs it has."""
+    swap = c[u] > c[v]
+    u, v = np.where(swap, v, u), np.where(swap, u, v)
+    pairs = np.zeros(len(u), PAIR)
+    pairs["a"], pairs["b"], pairs["p"], pairs["q"], pairs["w"], pairs["l"] = c[u], c[v], label[u], label[v], w, np.minimum(shared[u], shared[v])
     lo, hi = np.minimum(pairs["p"], pairs["q"]).astype(np.uint64), np.maximum(pairs["p"], pairs["q"]).astype(np.uint64)
     bucket = ((mix(lo ^ (hi << np.uint64(1))) + mix(pairs["a"].astype(np.uint64)) % np.uint64(SPREAD)) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
-    pairs, ends = pairs[by], np.cumsum(np.bincount(bucket, minlength=buckets))
-    used = np.flatnonzero(np.diff(ends, prepend=0)).tolist()
-    return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([_packed_pairs(pairs[(ends[b - 1] if b else 0) : ends[b]]) for b in used], pa.binary())})
+    pairs, bucket = pairs[by], bucket[by]
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(by) else by
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(by)]):
+        out["bucket"].append(int(bucket[a]))
+        out["block"].append(_packed_pairs(pairs[a:b]))
 
 
 def _packed_pairs(pairs: np.ndarray) -> bytes:
@@ -582,7 +615,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
 
     placed = member.join(labels.select("c", "label"), "c").join(pieces.withColumnRenamed("top", "hub"), "hub").withColumn("side", F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    placed = placed.select("gid", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label", F.pmod(F.xxhash64("hub", "lo", "hi"), F.lit(blocks)).cast("int").alias("part"))
+    placed = placed.select("gid", "hub", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label", F.pmod(F.xxhash64("hub", "lo", "hi"), F.lit(blocks)).cast("int").alias("part"))
     ends = placed.groupBy("part").applyInArrow(meet, MEETINGS).groupBy("bucket").applyInArrow(_participants, ENDS).distinct()
     more = verified(ends.join(labels.select("c", "component"), "c"), check_blocks, "p", "q")
     order.destroy()
