@@ -26,13 +26,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from trivalent.llm.shared import batch_rows, text_or_empty
+from trivalent.llm.shared import batch_rows, release_memory, text_or_empty
 
 NONE = np.int32(2**31 - 1)
 #: Pieces of up to so many bytes are merged in numpy rows, longer ones one by one.
 LANE_BYTES = 64
 #: Distinct pieces that a Python worker keeps.
-CACHE_PIECES = 600_000
+CACHE_PIECES, CACHE_CHARS = 400_000, 8_000_000
 
 
 class Vocabulary:
@@ -175,12 +175,15 @@ class Codec:
         self.vocabulary = Vocabulary(path)
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, pieces: set[str]) -> None:
         fresh = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(fresh) > CACHE_PIECES:
+        coming = sum(map(len, fresh))
+        if len(self.cache) + len(fresh) > CACHE_PIECES or self.held + coming > CACHE_CHARS:
             self.cache.clear()
-            fresh = pieces
+            self.held, fresh, coming = 0, pieces, sum(map(len, pieces))
+        self.held += coming
         whole, short, long = self.vocabulary.ids, [], []
         for piece in fresh:
             data = piece.encode()
@@ -234,5 +237,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(p, "<i4") for p in packed], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+        release_memory()
 
     return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text")).mapInArrow(run, schema)

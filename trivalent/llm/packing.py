@@ -9,7 +9,8 @@ keeps the gaps varied, so that the many small pieces close them.
 
 A shard holds about `shard_pieces` pieces whatever the input's size, so a task's work
 is bounded; each shard can leave a few sequences open, which is the price of not passing
-all pieces through one task.
+all pieces through one task. A row's place in the written pieces takes part in the
+hash, so that repeated documents don't fill one shard.
 
 Cases: null or empty text is one piece of the end id alone; repeated rows are packed
 each on their own; an empty table gives no rows; other columns are not read.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivalent.llm.shared import batch_rows, materialize
+from trivalent.llm.shared import batch_rows, materialize, release_memory
 from trivalent.llm.word_ids import word_ids
 
 
@@ -54,6 +55,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_c
                     [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crcs, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        release_memory()
 
     return docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -102,5 +104,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         shard["offset"] = offset
         return shard.drop(columns="shard")
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    # A number of its own for each row of the written pieces, so that repeated rows are spread as well; which pieces share a shard is free.
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandas(pack, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

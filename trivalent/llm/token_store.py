@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trivalent.llm.shared import batch_rows, shuffle_partitions
+from trivalent.llm.shared import batch_rows, release_memory, shuffle_partitions
 from trivalent.llm.word_ids import word_ids
 
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
@@ -96,6 +96,7 @@ def _cut_batches(path: str, end_id: int):
                     [pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(counts, pa.int64()), pa.array(lists, pa.list_(pa.binary())), pa.array(payloads, pa.binary())],
                     ["key", "doc_id", "n", "digests", "payload"],
                 )
+        release_memory()
 
     return run
 

@@ -15,7 +15,8 @@ hold it at least.
 Learning uses at most `sample` labelled rows (a parameter; of each label those of least hash),
 whatever the corpus' size: all toxic ones up to half of them, or more if clean ones are few.
 Shares and the curve's offset are set right for rows left out. Entries are counted in Spark,
-and at most `entries` of them come to the driver. Scoring reads every text whole.
+and those with evidence come to the driver: no more than LEAST_TOXIC-th of the words and stems of
+the sample's toxic texts. Scoring reads every text whole.
 
 Cases: null and empty texts score as a text without matches; without any toxic label the
 lexicon is empty and every score is 0; labels of one doc_id that differ count as toxic;
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivalent.llm.shared import batch_rows, text_or_empty
+from trivalent.llm.shared import batch_rows, release_memory, text_or_empty
 
 # Characters that are drawn like, or stand for, Latin letters.
 LOOKALIKES = {
@@ -50,6 +51,8 @@ FOLD = {ord(a): b for a, b in LOOKALIKES.items()} | {0xFF41 + i: chr(97 + i) for
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = range(4, 9)
 LEAST_TOXIC, LEAST_SHARE, LEAST_CHANCE = 3, 0.85, 0.005
+#: Entries that a task counts before it sends them on.
+HELD = 500_000
 
 
 def fold(text: str) -> str:
@@ -100,7 +103,7 @@ class Matcher:
                     spans = [m.span() for m in self.exceptions.finditer(folded)]
                 if not any(a <= start and last < b for a, b in spans):
                     total += found
-        return total / math.log2(2 + folded.count(" ") / 64) if total else 0.0
+        return total / math.log2(1 + sum(1 for _ in WORD.finditer(folded))) if total else 0.0
 
     def score(self, weight: float) -> float:
         if self.model.offset == -math.inf:
@@ -124,21 +127,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[Da
     return rows, toxic / max(1, some), clean / max(1, rest)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int = 2_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
     rows, per_toxic, per_clean = labelled_sample(docs, labels, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, all_ = Counter(), Counter()
-        for batch in batches:
-            for text, label in zip(text_or_empty(batch.column("text")), batch.column("toxic").to_pylist()):
-                found = entries_of(text)
-                all_.update(found)
-                if label:
-                    toxic.update(found)
-        names = list(all_)
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[e] for e in part], pa.int64()), pa.array([all_[e] for e in part], pa.int64())], ["entry", "toxic", "total"])
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            names = list(all_)
+            for at in range(0, len(names), 50_000):
+                part = names[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[e] for e in part], pa.int64()), pa.array([all_[e] for e in part], pa.int64())], ["entry", "toxic", "total"])
+            toxic.clear(), all_.clear()
+
+        for whole in batches:
+            for batch in batch_rows(whole, "text"):
+                for text, label in zip(text_or_empty(batch.column("text")), batch.column("toxic").to_pylist()):
+                    found = entries_of(text)
+                    all_.update(found)
+                    if label:
+                        toxic.update(found)
+                if len(all_) > HELD:
+                    yield from counted()
+        yield from counted()
+        release_memory()
 
     totals = rows.groupBy().agg(F.sum("toxic").alias("toxic"), F.count("*").alias("total")).first()
     if not totals["toxic"]:
@@ -148,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int
     share, standing, others = F.col("toxic") / F.col("total"), F.col("toxic") * per_toxic, (F.col("total") - F.col("toxic")) * per_clean
     divergence = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / max(1 - base, 1e-300))).otherwise(0.0)
     unlikely = (share > base) & (F.col("total") * divergence >= -math.log(LEAST_CHANCE))
-    telling = counted.where((F.col("toxic") >= LEAST_TOXIC) & (standing >= LEAST_SHARE * (standing + others)) & unlikely).orderBy(F.desc("toxic"), "entry").limit(entries).collect()
+    telling = counted.where((F.col("toxic") >= LEAST_TOXIC) & (standing >= LEAST_SHARE * (standing + others)) & unlikely).select("entry", "toxic", "total").collect()
     weights: dict[str, float] = {}
     clean = totals["total"] - totals["toxic"]
     for row in sorted(telling, key=lambda r: (len(r["entry"].rstrip("$")), r["entry"])):
@@ -159,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_rows(whole, "text")):
             yield pa.RecordBatch.from_arrays([pa.array([matcher.weight(t) for t in text_or_empty(batch.column("text"))], pa.float64()), batch.column("toxic")], ["weight", "toxic"])
 
     # Two numbers for each of at most `sample` rows.
@@ -205,7 +217,9 @@ def keep_clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
-        for batch in batches:
-            yield batch.filter(pa.array([matcher.score(matcher.weight(t)) < least for t in text_or_empty(batch.column(text))], pa.bool_()))
+        for whole in batches:
+            for batch in batch_rows(whole, docs.columns[text]):
+                yield batch.filter(pa.array([matcher.score(matcher.weight(t)) < least for t in text_or_empty(batch.column(text))], pa.bool_()))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
