@@ -69,7 +69,7 @@ def text_or_empty(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
-def batch_rows(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def batch_rows(batch: pa.RecordBatch, column: str | int, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text column holds about max_bytes at most, one row at least."""
     array = batch.column(column)
     sizes = np.asarray(pc.fill_null(pc.binary_length(array), 0), dtype=np.int64)

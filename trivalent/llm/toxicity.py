@@ -213,13 +213,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs whose text scores below least, all columns as they are."""
-    text = docs.columns.index("text")
+    text, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
         for whole in batches:
-            for batch in batch_rows(whole, docs.columns[text]):
+            for batch in batch_rows(whole, text):
                 yield batch.filter(pa.array([matcher.score(matcher.weight(t)) < least for t in text_or_empty(batch.column(text))], pa.bool_()))
         release_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
