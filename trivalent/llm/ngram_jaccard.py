@@ -214,7 +214,7 @@ def _entries(block: bytes) -> tuple[np.ndarray, ...]:
     return names.view("<u8")[:, 0], *(np.repeat(x, sizes) for x in (c, d, n, shared))
 
 
-GROUPS = "gid long, sign long, weight long, hub long, many int, members binary"
+GROUPS = "gid long, sign long, weight long, hub long, least long, many int, members binary"
 MEMBER = np.dtype([("c", "<i8"), ("n", "<u4"), ("l", "<u2")])
 
 
@@ -239,8 +239,8 @@ def _groups(order):
         rows = np.sort(once[(sizes[once] > 1) | (salts[once] > 1)])
         at = rows.tolist()
         packed = [members[starts[i] : starts[i] + sizes[i]].tobytes() for i in at]
-        first = members["c"][starts[rows]]
-        columns = [pa.array(names[starts[rows]].astype(np.int64)), pa.array(signs[rows]), pa.array(merged[of[rows]].astype(np.int64)), pa.array(first), pa.array(salts[rows].astype(np.int32)), pa.array(packed, pa.binary())]
+        first, least = members["c"][starts[rows]], d[by][starts[rows]]
+        columns = [pa.array(names[starts[rows]].astype(np.int64)), pa.array(signs[rows]), pa.array(merged[of[rows]].astype(np.int64)), pa.array(first), pa.array(least), pa.array(salts[rows].astype(np.int32)), pa.array(packed, pa.binary())]
         return pa.table(columns, [f.split()[0] for f in GROUPS.split(", ")])
 
     return run
@@ -282,7 +282,7 @@ def _near(threshold: int):
     return run
 
 
-MEMBERS = "gid long, hub long, weight long, c long, n long, l long"
+MEMBERS = "gid long, least long, weight long, c long, n long, l long"
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +291,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batch_rows(whole, "members"):
             members = [np.frombuffer(data, MEMBER) for data in part.column("members").to_pylist()]
             sizes, every = [len(m) for m in members], np.concatenate(members)
-            columns = [np.repeat(np.asarray(part.column(name)), sizes) for name in ("gid", "hub", "weight")]
+            columns = [np.repeat(np.asarray(part.column(name)), sizes) for name in ("gid", "least", "weight")]
             for at in range(0, len(every), 1 << 17):
                 stop = at + (1 << 17)
                 yield pa.RecordBatch.from_arrays([pa.array(x[at:stop]) for x in columns] + [pa.array(every[name][at:stop].astype(np.int64)) for name in ("c", "n", "l")], [f.split()[0] for f in MEMBERS.split(", ")])
@@ -336,12 +336,12 @@ MEETINGS = "bucket int, block binary"
 def _meetings(threshold: int, buckets: int, part: pa.Table) -> pa.Table:
     """Pairs of a group's classes that are of different components and of sizes that can link, packed by bucket of pair.
 
-    All groups of one hub and one pair of pieces are in one part, where what two classes share
-    is added up in a table of PIECE * PIECE places. Rows: gid, hub, lo, hi, side, weight, c, n, l, component, label.
+    All groups of one smallest document and one pair of pieces are in one part, where what two
+    classes share is added up in a table of bounded size. Rows: gid, least, lo, hi, side, weight, c, n, l, component, label.
     """
-    gid, hub, lo, hi, side, weight, c, n, shared, component, label = (np.asarray(part[x]) for x in ("gid", "hub", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label"))
+    gid, least, lo, hi, side, weight, c, n, shared, component, label = (np.asarray(part[x]) for x in ("gid", "least", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label"))
     out: dict[str, list] = {"bucket": [], "block": []}
-    for rows in _runs(np.arange(len(gid)), hub, lo, hi):
+    for rows in _runs(np.arange(len(gid)), least, lo, hi):
         same = lo[rows[0]] == hi[rows[0]]
         left, right = rows[side[rows] == lo[rows[0]]], rows[side[rows] == hi[rows[0]]]
         for x in _pieces(left, c):
@@ -552,7 +552,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
     # Groups of the same members are one across buckets too; their weights add up.
     whole = packed.groupBy("bucket").applyInArrow(_groups(order), GROUPS)
     key = F.when(F.col("many") > 1, F.col("gid")).otherwise(0)
-    groups = materialize(whole.groupBy("sign", key.alias("own")).agg(F.min("gid").alias("gid"), F.sum("weight").alias("weight"), F.min("hub").alias("hub"), F.max("many").alias("many"), F.first("members").alias("members")).drop("own", "sign"), "groups")
+    groups = materialize(whole.groupBy("sign", key.alias("own")).agg(F.min("gid").alias("gid"), F.sum("weight").alias("weight"), F.first("hub").alias("hub"), F.min("least").alias("least"), F.max("many").alias("many"), F.first("members").alias("members")).drop("own", "sign"), "groups")
 
     def parts_of(members: DataFrame) -> int:
         """Parts, so that one holds about PART shingles."""
@@ -574,8 +574,8 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
         return _verify_blocks(order, size, threshold, part)
 
     # Step 4: every class and the hub with which it shares most; the hubs of a frequent shingle's parts and the least of them.
-    frequent = groups.where("many > 1").select("gid", "hub")
-    tops = frequent.groupBy("gid").agg(F.min("hub").alias("top"))
+    frequent = groups.where("many > 1").select("gid", "hub", "least")
+    tops = frequent.groupBy("gid").agg(F.min_by("hub", F.struct("least", "hub")).alias("top"))
     bridges = frequent.join(tops, "gid").where("hub <> top").groupBy(F.col("hub").alias("c"), F.col("top").alias("hub")).agg(F.count("*").alias("weight"))
     near = groups.select("weight", "members").mapInArrow(_near(threshold), NEAR).groupBy("c", "hub").agg(F.sum("weight").alias("weight"), F.min("least").alias("least"))
     # What a class shares with a hub is counted only where that is the group's hub: half of what a pair must share is enough here.
@@ -592,14 +592,14 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
     def placed_in(members: DataFrame) -> DataFrame:
         return members.join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
-    wanted = placed_in(groups.select("gid", "hub", "weight", "members").mapInArrow(_unpacked, MEMBERS).select("gid", "c"))
+    wanted = placed_in(groups.select("gid", "least", "weight", "members").mapInArrow(_unpacked, MEMBERS).select("gid", "c"))
     mixed = wanted.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("gid", F.ceil(F.col("size") / PIECE).cast("int").alias("pieces"))
     still = materialize(groups.join(mixed, "gid"), "open")
-    tops = still.groupBy("gid").agg(F.min("hub").alias("top"))
+    tops = still.groupBy("gid").agg(F.min("least").alias("top"))
     pieces = still.join(tops, "gid").groupBy("top").agg(F.max("pieces").alias("pieces"))
-    member = placed_in(still.join(tops, "gid").select("gid", F.col("top").alias("hub"), "weight", "members").mapInArrow(_unpacked, MEMBERS))
+    member = placed_in(still.join(tops, "gid").select("gid", F.col("top").alias("least"), "weight", "members").mapInArrow(_unpacked, MEMBERS))
     member = materialize(member, "open")
-    cluster = member.groupBy("c", "component").agg(F.min("hub").alias("cluster"))
+    cluster = member.groupBy("c", "component").agg(F.min("least").alias("cluster"))
     big = cluster.groupBy("cluster", "component").agg(F.count("*").alias("alike"))
     rest = big.groupBy("cluster").agg(F.coalesce(F.sum(F.when(F.col("alike") < BLOCK // 2, F.col("alike"))), F.lit(0)).alias("mixed"))
     tag = F.when(F.col("alike") >= BLOCK // 2, F.col("component"))
@@ -613,9 +613,9 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, size: int = 5, id_c
     def meet(part: pa.Table) -> pa.Table:
         return _meetings(threshold, blocks, part)
 
-    placed = member.join(labels.select("c", "label"), "c").join(pieces.withColumnRenamed("top", "hub"), "hub").withColumn("side", F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int"))
+    placed = member.join(labels.select("c", "label"), "c").join(pieces.withColumnRenamed("top", "least"), "least").withColumn("side", F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    placed = placed.select("gid", "hub", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label", F.pmod(F.xxhash64("hub", "lo", "hi"), F.lit(blocks)).cast("int").alias("part"))
+    placed = placed.select("gid", "least", "lo", "hi", "side", "weight", "c", "n", "l", "component", "label", F.pmod(F.xxhash64("least", "lo", "hi"), F.lit(blocks)).cast("int").alias("part"))
     ends = placed.groupBy("part").applyInArrow(meet, MEETINGS).groupBy("bucket").applyInArrow(_participants, ENDS).distinct()
     more = verified(ends.join(labels.select("c", "component"), "c"), check_blocks, "p", "q")
     order.destroy()
