@@ -20,9 +20,7 @@ def tiktoken_encoding():
 
 
 def word_tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def packed(ids) -> bytes:

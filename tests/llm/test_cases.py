@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
 import math
+import re
 import textwrap
 from collections import Counter
 from importlib import resources
@@ -187,6 +188,32 @@ def test_secrets(repeated, odd):
     assert done[9].text == "[secret] and [secret] [secret] é 🎉 token:abc"
 
 
+def plain_entropy_spans(text, base):
+    """Entropy spans by counting every window anew."""
+    out = []
+    for m in re.finditer(secret_scan.CANDIDATE, text):
+        value = m[0]
+        if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)) or any(a <= m.start() and b >= m.end() for a, _, b, _ in base) or any(re.search(r, value) for r in secret_scan.ALLOWED):
+            continue
+        windows = [Counter(value[i : i + secret_scan.WINDOW]) for i in range(len(value) - secret_scan.WINDOW + 1)]
+        best = max(-sum(n / secret_scan.WINDOW * math.log2(n / secret_scan.WINDOW) for n in w.values()) for w in windows)
+        if best >= next(least for _, shape, least in secret_scan.CLASSES if re.search(shape, value)):
+            out.append(f"entropy:{m.start()}:{m.end()}")
+    return out
+
+
+def test_entropy_spans(spark):
+    """Windows counted anew give the same spans; a candidate of 20,000 characters is judged whole."""
+    random = np.random.default_rng(11)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
+    some = lambda n, k=len(letters): "".join(random.choice(letters[:k], n))
+    texts = [f"key {some(40)} é {some(24)} x {'ab1' * 20} {some(23)}", f"{some(30, 5)}1 {some(60)}/example", "0123456789abcdef" * 3 + " " + some(300), "a1" * 10_000 + some(30), "", "plain words only"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan(rows).collect():
+        base = brute.secrets(texts[r.doc_id])[4]
+        assert [s for s in r.spans.split(",") if s.startswith("entropy")] == plain_entropy_spans(texts[r.doc_id], base)
+
+
 def test_toxicity(spark, odd):
     rows = [(i, ("you total dumbhead %d" if i % 4 == 0 else "a calm and friendly line %d") % i) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -4,7 +4,8 @@ Three fixed patterns give the base spans. Beside them, candidate strings (runs o
 least WINDOW key characters that mix digits and letters) are judged by the Shannon
 entropy of a window that slides over them. A window's sum of c * log2(c) over its
 counts c is kept by two updates a step: one for the character that enters, one for
-the one that leaves. A candidate whose best window reaches its character class's
+the one that leaves, each from that character's count alone, so that a candidate's cost is
+linear in its length. A candidate whose best window reaches its character class's
 threshold is a span of kind entropy, unless the allow list names it or a base span
 holds it.
 
@@ -40,10 +41,10 @@ PATTERNS = (
 )
 WINDOW = 24
 CANDIDATE = r"[A-Za-z0-9+/_-]{24,}"
-#: Character class, the characters themselves, and the least entropy in bits of a window of WINDOW characters.
+#: Character class, its characters, and the least entropy in bits of a window of WINDOW characters.
 CLASSES = (
-    ("hex", "^[0-9A-Fa-f]+$", "0123456789abcdefABCDEF", 3.0),
-    ("base64", "^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.9),
+    ("hex", "^[0-9A-Fa-f]+$", 3.0),
+    ("base64", "^[A-Za-z0-9+/_-]+$", 3.9),
 )
 #: Candidates that no secret is: identifiers in UUID form, dates and times, examples, alphabets and counting, paths of words.
 ALLOWED = (
@@ -85,24 +86,28 @@ def _weight(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(0.0)
 
 
-def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The greatest entropy, in bits, of any window of the string; null if it is shorter."""
-    place = lambda i: F.instr(F.lit(alphabet), F.substr(value, i, F.lit(1)))
+def window_entropy(value: Column, window: int = WINDOW) -> Column:
+    """The greatest entropy, in bits, of any window of the string; null if it is shorter.
 
-    def step(s: Column, i: Column) -> Column:
-        enters, leaves = place(i), F.when(i > window, place(i - window)).otherwise(0)
-        without = F.when(leaves > 0, F.transform(s["counts"], lambda c, k: c - (k == leaves - 1).cast("int"))).otherwise(s["counts"])
-        gone = F.when(leaves > 0, F.element_at(s["counts"], F.greatest(leaves, F.lit(1)))).otherwise(0)
-        came = F.element_at(without, enters)
-        total = s["sum"] - _weight(gone) + _weight(F.greatest(gone - 1, F.lit(0))) - _weight(came) + _weight(came + 1)
-        return F.struct(
-            F.transform(without, lambda c, k: c + (k == enters - 1).cast("int")).alias("counts"),
-            total.alias("sum"),
-            F.when(i >= window, F.least(s["best"], total)).otherwise(s["best"]).alias("best"),
-        )
+    The string is taken apart once. What a window's counts change by follows from how often
+    the character that enters stands in the window already, and the one that leaves still.
+    """
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda s: F.log2(F.lit(float(window))) - s["best"] / window)
+    def best(chars: Column) -> Column:
+        def times(first: Column, size: Column, char: Column) -> Column:
+            return F.size(F.filter(F.slice(chars, first, size), lambda c: c == char))
+
+        def step(s: Column, i: Column) -> Column:
+            full = i > window
+            gone = F.when(full, times(F.greatest(i - window, F.lit(1)), F.lit(window), F.element_at(chars, F.greatest(i - window, F.lit(1))))).otherwise(0)
+            came = times(F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window)), F.element_at(chars, i))
+            total = s["sum"] - _weight(gone) + _weight(F.greatest(gone - 1, F.lit(0))) - _weight(came - 1) + _weight(came)
+            return F.struct(total.alias("sum"), F.when(i >= window, F.least(s["best"], total)).otherwise(s["best"]).alias("best"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step, lambda s: F.log2(F.lit(float(window))) - s["best"] / window)
+
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(value, F.lit("."), F.lit(0))), best), 1)
 
 
 def _entropic(value: Column) -> Column:
@@ -110,8 +115,8 @@ def _entropic(value: Column) -> Column:
     for regex in ALLOWED:
         allowed = allowed | value.rlike(regex)
     judged = F.lit(False)
-    for _, shape, alphabet, least in reversed(CLASSES):
-        judged = F.when(value.rlike(shape), window_entropy(value, alphabet) >= least).otherwise(judged)
+    for _, shape, least in reversed(CLASSES):
+        judged = F.when(value.rlike(shape), window_entropy(value) >= least).otherwise(judged)
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~allowed & F.coalesce(judged, F.lit(False))
 
 
