@@ -30,7 +30,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
-    return warc.resolved(warc.assemble(warc.read_archive(spark, folder, with_payload=False)))
+    return warc.resolved(warc.assemble(warc.read_archive(spark, folder)))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
