@@ -71,3 +71,17 @@ def is_machine_identifier(value: Column) -> Column:
 
 def is_sha256(value: Column) -> Column:
     return F.coalesce(value.rlike("^[0-9a-f]{64}$"), F.lit(False))
+
+
+@F.pandas_udf(StringType())
+def json_object_error(values: pd.Series) -> pd.Series:
+    """Why a text isn't one JSON object without repeated keys; null if it is."""
+
+    def reason(text: str) -> str | None:
+        try:
+            parse_object(text)
+        except ValueError as error:
+            return str(error)
+        return None
+
+    return values.map(reason, na_action="ignore")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivalent.operators import audit, sets, store, windows
+from trivalent.operators import audit, sets, store, trees, windows
 from trivalent.queries.rules import table
 from trivalent.streaming.tallies import tallies
 
@@ -84,14 +84,15 @@ def range_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the tree region, nation, customer: identifier, parent's identifier, depth, and how many stand below."""
+    """Nodes of the tree region, nation, customer: identifier, parent's identifier, depth by walking to the root, and how many stand below."""
     name = lambda kind, column: F.concat(F.lit(kind + ":"), F.col(column).cast("string"))
-    customers = table(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("node"), name("n", "c_nationkey").alias("parent"), F.lit(3).alias("depth"))
-    nations = table(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("node"), name("r", "n_regionkey").alias("parent"), F.lit(2).alias("depth"))
-    regions = table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("depth"))
+    customers = table(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("node"), name("n", "c_nationkey").alias("parent"))
+    nations = table(spark, sf_dir, "nation").select(name("n", "n_nationkey").alias("node"), name("r", "n_regionkey").alias("parent"))
+    regions = table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"))
     nodes = regions.unionByName(nations).unionByName(customers)
     below = nodes.groupBy("parent").agg(F.count("*").alias("children")).where("parent is not null").withColumnRenamed("parent", "node")
-    return nodes.join(below, "node", "left").fillna(0, ["children"])
+    depths = trees.walked(nodes).select("node", F.col("depth").cast("int").alias("depth"))
+    return nodes.join(depths, "node").join(below, "node", "left").fillna(0, ["children"])
 
 
 def distinct_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
