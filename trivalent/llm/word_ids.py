@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from trivalent.llm.words import buffer_of, hash_words, ragged, words_of
 
 #: Distinct words that a Python worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Words that go to the library in one call.
 CALL_WORDS = 20_000
 
