@@ -84,6 +84,9 @@ def test_warc(spark, tmp_path):
     rows = warc.resolved(warc.assemble(warc.read_archive(spark, str(tmp_path / "w")))).collect()
     want = brute.archive([(r.page_id, r.html) for r in pages.collect()])
     assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows} == want
+    nested = warc.assemble(warc.read_archive(spark, str(tmp_path / "w"))).where("response.record_type = 'response'")
+    texts = {r.response.page_id: r.text for r in nested.withColumn("text", warc.payload_text("response.payload")).collect()}
+    assert texts == {p: h or "" for p, h in [(r.page_id, r.html) for r in pages.collect()] if want[p][2] == "response"}
     warc.write_archive(pages.limit(0), str(tmp_path / "none"))
     assert warc.captures(pages.limit(0)).count() == 0
 

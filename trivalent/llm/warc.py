@@ -24,7 +24,9 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,18 +107,23 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
-RECORDS = "record_type string, record_id string, capture string, refers_to string, uri string, page_id long, payload_digest string, payload_bytes long, http_headers string, payload string"
+RECORDS = "record_type string, record_id string, capture string, refers_to string, uri string, page_id long, payload_digest string, payload_bytes long, http_headers string, payload binary"
 
 
 def read_archive(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """A row per record. Digests and sizes are taken from the payloads, and an archive whose digests differ is refused."""
+    """A row per record. Digests and sizes are taken from the payloads, and an archive whose digests differ is refused.
+
+    Payloads of responses are kept as zstd frames, so that the shuffle of the assembly moves little; payload_text unpacks them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for content in batch.column("content").to_pylist():
                 rows = []
                 for h, block in parse(gzip.decompress(content)):
                     head, _, body = block.partition(b"\r\n\r\n")
+                    packed = pack(body) if with_payload and h["warc-type"] == "response" else None
                     kind, digest, size = h["warc-type"], None, None
                     if kind == "response":
                         digest, size = base32_sha1(body), len(body)
@@ -125,16 +132,23 @@ def read_archive(spark: SparkSession, folder: str, with_payload: bool = True) ->
                     elif kind == "revisit":
                         digest = h["warc-payload-digest"].removeprefix("sha1:")
                     page = h.get("x-page-id")
-                    rows.append((kind, h["warc-record-id"], h.get("warc-concurrent-to", h["warc-record-id"]), h.get("warc-refers-to"), h.get("warc-target-uri"), None if page is None else int(page), digest, size, head.decode(), body.decode() if with_payload else None))
+                    rows.append((kind, h["warc-record-id"], h.get("warc-concurrent-to", h["warc-record-id"]), h.get("warc-refers-to"), h.get("warc-target-uri"), None if page is None else int(page), digest, size, head.decode(), packed))
                 names = [field.split()[0] for field in RECORDS.split(", ")]
                 for start in range(0, len(rows), 2000):
                     columns = list(zip(*rows[start : start + 2000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("page_id", "payload_bytes") else pa.string()) for n, c in zip(names, columns)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("page_id", "payload_bytes") else pa.binary() if n == "payload" else pa.string()) for n, c in zip(names, columns)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(folder).select("content")
     return files.mapInArrow(run, RECORDS)
 
 
+@F.pandas_udf("string")
+def payload_text(payloads: pd.Series) -> pd.Series:
+    """The text of a record's payload; null stays null."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return payloads.map(lambda x: unpack(x).decode(), na_action="ignore")
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """A nested row per capture: capture (the response's id), response (or revisit), request and metadata."""
     parts = [n for n in records.columns if n != "capture"]
