@@ -22,10 +22,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays."""
-    found = ngram_jaccard.jaccard_components(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates one row stays, that of the smallest doc_id.
+
+    Groups are of rows, not of doc_ids: rows that repeat and rows without doc_id (which come
+    last) are judged by their own texts. Rows without words belong to no group and stay.
+    """
+    row = "row"
+    while row in {name.lower() for name in docs.columns}:
+        row += "_"
+    # Numbers are written with the rows, so that a task that runs again finds the same ones.
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = ngram_jaccard.jaccard_components(numbered, id_column=row).select(F.col("doc_id").alias(row), "component_id")
+    places = found.join(numbered.select(row, F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("place")), row)
+    kept = places.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place")[row].alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
