@@ -256,6 +256,18 @@ def test_pipeline(spark, sf, documents):
     check_packing(rows, redacted)
 
 
+def test_near_duplicates_by_row(spark):
+    one, other, third = ("one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g")
+    rows = [(3, one, 0), (2, one, 1), (3, other, 2), (3, other, 3), (None, third, 4), (None, third, 5), (None, one, 6), (9, "", 7), (9, None, 8), (None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = {r.row for r in kept.collect()}
+    assert len(got) == 6 and {1, 7, 8, 9} <= got and len(got & {2, 3}) == 1 and len(got & {4, 5}) == 1
+    assert stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_few_toxic_labels(spark, sf):
     """A handful of toxic labels is evidence enough: the pipeline's stage rejects planted toxic rows at any size."""
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
