@@ -1,7 +1,10 @@
 """Every registered query over its whole table against a plain counterpart."""
 
+import glob
 import hashlib
+import os
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -102,3 +105,15 @@ def check_packing(rows, texts, capacity=2048):
 def test_op10(spark, sf, documents):
     used, least = check_packing(run(spark, sf, "op10_packing"), dict(documents))
     assert used <= 1.02 * least + 2
+
+
+@pytest.mark.parametrize("name", sorted(llm.ORACLES))
+def test_sql(spark, sf, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    result = con.execute(llm.ORACLES[name])
+    columns = [c[0] for c in result.description]
+    df = llm.QUERIES[name](spark, sf)
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(repr, result.fetchall())) == sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())

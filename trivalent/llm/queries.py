@@ -80,5 +80,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "pipeline": corpus_pipeline.run,
 }
-#: None of these can be put as SQL whole; tests/llm holds each against brute force, a round trip or held-out rows.
-ORACLES: dict[str, str] = {}
+#: What follows from links (pairs a, b with a > b): the smallest id that each node of the table reaches.
+REACHED = """edges as (select a, b from links union all select b, a from links),
+ reach(node, seen) as (select node, node from nodes union select e.b, r.seen from reach r join edges e on e.a = r.node where r.seen < e.b),
+ named as (select node, min(seen) as component_id from reach group by 1)"""
+#: Learning, tokenising, searching and packing have no SQL form; tests/llm holds each against brute force, a round trip or held-out rows.
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard": f"""with recursive tokens as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+ shingles as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) as shingle from tokens),
+ sizes as (select doc_id, count(*) as n from shingles group by 1),
+ shared as (select x.doc_id as a, y.doc_id as b, count(*) as o from shingles x join shingles y on x.shingle = y.shingle and x.doc_id > y.doc_id group by 1, 2),
+ links as (select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * o >= 80 * (p.n + q.n - o)),
+ nodes as (select doc_id as node from documents), {REACHED}
+ select node as doc_id, coalesce(n, 0) as n_shingles, component_id from named left join sizes on doc_id = node""",
+    "op3_warc": """with p as (select page_id, url as uri, coalesce(html, '') as h from pages), d as (select page_id, uri, octet_length(encode(h)) as payload_bytes, sha1(h) as hex from p), r as (select *, max(page_id) over (partition by hex) as newest from d)
+ select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (i // 4 * 5 + 1)::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31) + 1)::int, 1)), '') as payload_digest,
+ if(page_id = newest, 'response', 'revisit') as record_type, if(page_id < newest, newest, null) as refers_to, uri from r""",
+    "op4_embedding_dedup": f"""with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+ usable as (select * from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+ links as (select x.vec_id as a, y.vec_id as b from usable x join usable y on x.vec_id > y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.95),
+ nodes as (select vec_id as node from embeddings), {REACHED}, counted as (select a, count(*) as n from edges group by 1)
+ select node as vec_id, coalesce(n, 0) as n_links, component_id, node = component_id as kept from named left join counted on a = node""",
+}
