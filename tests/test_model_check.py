@@ -58,7 +58,7 @@ def test_verdicts(spark, tmp_path):
 
 
 def test_entity_level(spark):
-    facts = check.with_facts_id(spark.createDataFrame([f for f in facts_of("m", STEP) if f[2] != "model"], check.FACTS))
+    facts = spark.createDataFrame([f for f in facts_of("m", STEP) if f[2] != "model"], check.FACTS)
     specs = spark.createDataFrame(parse_ids("w", CASES["width.ids"][0]), check.SPECIFICATION)
     found = {r.entity_id: (r.status, r.reason_code) for r in check.entity_outcomes(facts, specs, check.subjects_of(facts, specs)).collect()}
     assert found == {1: ("PASS", None), 2: ("FAIL", "ATTRIBUTE_VALUE_MISMATCH"), 3: ("INDETERMINATE", "ATTRIBUTE_EMPTY")}
@@ -72,3 +72,20 @@ def test_step_text():
 def test_empty_rules_are_refused():
     with pytest.raises(ValueError):
         parse_ids("x", b"<ids/>")
+
+
+def test_plan_has_no_products(spark):
+    from trivalent.queries import rules
+
+    plan = rules.check_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    # One scan of documents and labels for subjects, one for requirements, one of documents for the list of models.
+    assert plan.count("FileScan parquet") <= 5 and plan.count("Exchange hashpartitioning") <= 12
+
+
+def test_rules_too_large_to_broadcast(spark, monkeypatch):
+    from trivalent.queries import rules
+
+    broadcast = rules.results(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(check, "RULE_BYTES", -1)
+    assert sorted(map(str, rules.results(spark, "/root/testdata/sf0.001").collect())) == sorted(map(str, broadcast))

@@ -28,6 +28,14 @@ FACTS = "model string, entity_id bigint, kind string, scope string, name string,
 SPECIFICATION = f"ids string, ordinal int, name string, description string, instructions string, ifc_versions array<string>, min_occurs string, max_occurs string, applicability array<{FACET}>, requirements array<{FACET}>"
 ENTITY_LIMIT = 500
 ALTERNATIVES = ("enumeration", "literal")
+#: Kinds whose names are compared without regard to case.
+FOLDED = ("entity", "part_of")
+#: Rules of at most this many bytes are broadcast; larger sets of rules meet facts by shuffled joins.
+RULE_BYTES = 32 << 20
+#: Specifications meet models in this many shares.
+SHARES = 16
+#: The key of facets that list no names.
+ANY = "\x00"
 
 
 def holds(comparisons: Column, value: Column, number: Column, fold: bool = False) -> Column:
@@ -53,20 +61,47 @@ def holds(comparisons: Column, value: Column, number: Column, fold: bool = False
     return (F.coalesce(F.size(comparisons), F.lit(0)) <= 0) | (value.isNotNull() & some & F.forall(others, met))
 
 
+def rules_fit(specifications: DataFrame) -> bool:
+    """Whether specifications are small enough to broadcast, by their measured size."""
+    size = specifications.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    return (size or 0) <= RULE_BYTES
+
+
+def _rules(rules: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(rules) if small else rules
+
+
+def _folded(kind: Column) -> Column:
+    return kind.isin(*FOLDED)
+
+
+def _tested(pairs: DataFrame, present: Column) -> DataFrame:
+    """pairs of facet and fact with how far the fact gets, each column from the one before."""
+    f, none = F.col("facet"), F.lit(None).cast("double")
+    return (
+        pairs.withColumn("is_scope", present & holds(f["scope"], F.col("scope"), none, fold=True))
+        .withColumn("is_name", F.col("is_scope") & F.when(_folded(f["kind"]), holds(f["name"], F.col("fact_name"), none, fold=True)).otherwise(holds(f["name"], F.col("fact_name"), none)))
+        .withColumn("is_set", F.col("is_name") & F.coalesce(F.col("value") != "", F.lit(False)))
+        .withColumn("is_typed", F.col("is_set") & (f["data_type"].isNull() | F.col("data_type").isNull() | (F.upper(f["data_type"]) == F.upper("data_type"))))
+        .withColumn("is_good", F.when(_folded(f["kind"]), F.col("is_name") & holds(f["value"], F.col("value"), F.col("number"), fold=True)).otherwise(F.col("is_typed") & holds(f["value"], F.col("value"), F.col("number"))))
+    )
+
+
+def _fact_rows(facts: DataFrame, *more: Column) -> DataFrame:
+    return facts.select("model", "entity_id", "kind", "scope", F.col("name").alias("fact_name"), "data_type", "value", "number", *more)
+
+
 def facet_counts(subjects: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """For each subject and facet, how many of its facts get how far; keys identify the facet."""
+    """For each subject and facet, how many of its facts get how far; keys identify the facet.
+
+    Grouping keeps the keys of the join before it, so that one shuffle serves both.
+    """
     f = F.col("facet")
-    rows = facts.select("model", "entity_id", "kind", "scope", F.col("name").alias("fact_name"), "data_type", "value", "number", "fact_id")
-    joined = subjects.withColumn("kind", f["kind"]).join(rows, ["model", "entity_id", "kind"], "left")
-    scope = F.col("fact_id").isNotNull() & holds(f["scope"], F.col("scope"), F.lit(None).cast("double"), fold=True)
-    folded = f["kind"].isin("entity", "part_of")
-    name = scope & F.when(folded, holds(f["name"], F.col("fact_name"), F.lit(None).cast("double"), fold=True)).otherwise(holds(f["name"], F.col("fact_name"), F.lit(None).cast("double")))
-    set_ = name & F.coalesce(F.col("value") != "", F.lit(False))
-    typed = set_ & (f["data_type"].isNull() | F.col("data_type").isNull() | (F.upper(f["data_type"]) == F.upper("data_type")))
-    good = typed & holds(f["value"], F.col("value"), F.col("number"))
-    entity_good = name & (F.coalesce(F.size(f["value"]) <= 0, F.lit(True)) | holds(f["value"], F.col("value"), F.col("number"), fold=True))
-    counts = {"n_facts": F.col("fact_id").isNotNull(), "n_scope": scope, "n_name": name, "n_set": set_, "n_typed": typed, "n_good": F.when(folded, entity_good).otherwise(good)}
-    return joined.groupBy("model", "entity_id", *keys).agg(F.first("facet").alias("facet"), *(F.count_if(c).alias(n) for n, c in counts.items()))
+    cardinality, restricted = F.coalesce(f["cardinality"], F.lit("required")), F.coalesce(F.size(f["value"]) > 0, F.lit(False))
+    asked = subjects.select("model", "entity_id", *keys, "facet", f["kind"].alias("kind"), cardinality.alias("cardinality"), restricted.alias("restricted"))
+    joined = _tested(asked.join(_fact_rows(facts, F.lit(True).alias("is_fact")), ["model", "entity_id", "kind"], "left"), F.col("is_fact").isNotNull())
+    counts = {"n_facts": "is_fact", "n_scope": "is_scope", "n_name": "is_name", "n_set": "is_set", "n_typed": "is_typed", "n_good": "is_good"}
+    return joined.groupBy("model", "entity_id", "kind", *keys, "cardinality", "restricted").agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
 
 
 def facet_code(kind: Column, cardinality: Column, restricted: Column) -> Column:
@@ -96,59 +131,68 @@ def _cardinality() -> Column:
     return F.when(F.col("max_occurs") == "0", "prohibited").when(F.col("min_occurs") == "0", "optional").otherwise("required")
 
 
-def subjects_of(facts: DataFrame, specifications: DataFrame) -> DataFrame:
+def subjects_of(facts: DataFrame, specifications: DataFrame, small: bool | None = None) -> DataFrame:
     """ids, ordinal, model, entity_id of what each specification applies to: all its applicability facets hold.
 
-    Class names that a facet lists are an equi-join key; only facets without listed
-    names see every entity of a model.
+    An entity is whatever has facts. Facets meet facts by kind and by the names that a facet
+    lists; only facets without listed names see every fact of their kind. Facts are read once.
     """
-    facets = specifications.select("ids", "ordinal", F.size("applicability").alias("facets"), F.posexplode("applicability").alias("facet_no", "facet"))
-    listed = F.transform(F.filter(F.coalesce("facet.name", F.array().cast(COMPARISONS)), lambda c: c["operator"].isin(*ALTERNATIVES)), lambda c: F.upper(c["value"]))
-    entity_facets = facets.where("facet.kind = 'entity'").withColumn("class", F.explode_outer(listed))
-    entities = facts.where("kind = 'entity'").select("model", "entity_id", F.upper("name").alias("class"))
-    by_class = entity_facets.where("class is not null").select("ids", "ordinal", "class").distinct().join(entities, "class").select("ids", "ordinal", "model", "entity_id")
-    named = entity_facets.where("class is not null").select("ids", "ordinal").distinct()
-    unnamed = specifications.select("ids", "ordinal").join(named, ["ids", "ordinal"], "left_anti")
-    models = entities.select("model", "entity_id").withColumn("one", F.lit(1))
-    candidates = by_class.unionByName(unnamed.withColumn("one", F.lit(1)).join(models, "one").select("ids", "ordinal", "model", "entity_id")).distinct()
-    tested = facet_counts(candidates.join(facets, ["ids", "ordinal"]), facts, ["ids", "ordinal", "facets", "facet_no"])
-    return tested.groupBy("ids", "ordinal", "model", "entity_id", "facets").agg(F.count_if(F.col("n_good") > 0).alias("met")).where("met = facets").select("ids", "ordinal", "model", "entity_id")
+    facets = specifications.select("ids", "ordinal", F.size("applicability").alias("facets"), F.posexplode("applicability").alias("facet_no", "facet")).withColumn("kind", F.col("facet.kind"))
+    key = lambda name: F.when(_folded(F.col("kind")), F.upper(name)).otherwise(name)
+    listed = F.transform(F.filter(F.coalesce("facet.name", F.array().cast(COMPARISONS)), lambda c: c["operator"].isin(*ALTERNATIVES)), lambda c: key(c["value"]))
+    keyed = facets.withColumn("key", F.explode(F.when(F.size(listed) > 0, F.array_distinct(listed)).otherwise(F.array(F.lit(ANY)))))
+    rows = _fact_rows(facts, F.explode(F.array_compact(F.array(key(F.col("name")), F.lit(ANY)))).alias("key"))
+    small = rules_fit(specifications) if small is None else small
+    good = _tested(rows.join(_rules(keyed, small), ["kind", "key"]), F.lit(True)).where("is_good")
+    met = good.groupBy("ids", "ordinal", "model", "entity_id", "facets").agg(F.size(F.collect_set("facet_no")).alias("met"))
+    return met.where("met = facets").select("ids", "ordinal", "model", "entity_id")
+
+
+def _evaluated(facts: DataFrame, specifications: DataFrame, subjects: DataFrame, small: bool) -> DataFrame:
+    """entity_outcomes, and one row without requirement for each subject of which nothing is required."""
+    asked = F.when(_cardinality() != "prohibited", F.col("requirements"))
+    specs = specifications.select("ids", "ordinal", F.posexplode_outer(asked).alias("requirement", "facet"))
+    counted = facet_counts(subjects.join(_rules(specs, small), ["ids", "ordinal"]), facts, ["ids", "ordinal", "requirement"])
+    code = F.when(F.col("requirement").isNotNull(), facet_code(F.col("kind"), F.col("cardinality"), F.col("restricted")))
+    outcomes = counted.select("ids", "ordinal", "requirement", "model", "entity_id", code.alias("reason_code"))
+    return outcomes.withColumn("status", F.when(F.col("requirement").isNull(), None).when(F.col("reason_code").isNull(), "PASS").otherwise(status_of_code(F.col("reason_code"))))
 
 
 def entity_outcomes(facts: DataFrame, specifications: DataFrame, subjects: DataFrame) -> DataFrame:
     """ids, ordinal, requirement, model, entity_id, status, reason_code. Prohibited specifications evaluate no requirement."""
-    specs = specifications.where(_cardinality() != "prohibited").select("ids", "ordinal", F.posexplode("requirements").alias("requirement", "facet"))
-    counted = facet_counts(subjects.join(specs, ["ids", "ordinal"]), facts, ["ids", "ordinal", "requirement"])
-    code = facet_code(F.col("facet.kind"), F.coalesce("facet.cardinality", F.lit("required")), F.coalesce(F.size("facet.value") > 0, F.lit(False)))
-    return counted.select("ids", "ordinal", "requirement", "model", "entity_id", code.alias("reason_code")).withColumn("status", F.when(F.col("reason_code").isNull(), "PASS").otherwise(status_of_code(F.col("reason_code"))))
+    return _evaluated(facts, specifications, subjects, rules_fit(specifications)).where("requirement is not null")
 
 
-def with_facts_id(facts: DataFrame) -> DataFrame:
-    return facts.withColumn("fact_id", F.lit(1))
-
+def itemised(outcomes: DataFrame, keys: list[str], order: list[str], limit: int = ENTITY_LIMIT) -> DataFrame:
+    """The first `limit` outcomes that don't pass, of each group, with the exact number left out.
 
-def counts_by(outcomes: DataFrame, *keys: str) -> DataFrame:
-    tally = lambda s: F.count_if(F.col("status") == s)
-    return outcomes.groupBy(*keys).agg(tally("PASS").alias("passed"), tally("FAIL").alias("failed"), tally("INDETERMINATE").alias("indeterminate"))
+    Ranks are limited before the shuffle and counts are added up before it, so that a group
+    of any size leaves `limit` rows a task.
+    """
+    other = outcomes.where("status <> 'PASS'")
+    first = other.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= limit)
+    totals = other.groupBy(*keys).agg(F.greatest(F.lit(0), F.count("*") - limit).alias("omitted"))
+    return first.join(totals, keys)
 
 
-def itemised(outcomes: DataFrame, keys: list[str], order: list[str], limit: int = ENTITY_LIMIT) -> DataFrame:
-    """The first `limit` outcomes that don't pass, of each group, with the exact number left out."""
-    w = Window.partitionBy(*keys)
-    ranked = outcomes.where("status <> 'PASS'").withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("omitted", F.greatest(F.lit(0), F.count("*").over(w) - limit))
-    return ranked.where(F.col("rank") <= limit)
+def _every(specifications: DataFrame, schemas: DataFrame, small: bool) -> DataFrame:
+    """Each specification for each model: the result has a row for all of these. They meet by shares of the specifications."""
+    base = specifications.select("ids", "ordinal", "name", "ifc_versions", _cardinality().alias("cardinality"), (F.coalesce(F.size("requirements"), F.lit(0)) > 0).alias("has_requirements"))
+    shares = base.withColumn("share", F.pmod(F.xxhash64("ids", "ordinal"), F.lit(SHARES).cast("long")))
+    models = schemas.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    return models.join(_rules(shares, small), "share").drop("share")
 
 
 def specification_results(facts: DataFrame, specifications: DataFrame, schemas: DataFrame) -> DataFrame:
     """A row per model and specification: counts, applicability, status, reason code; schemas: (model, ifc_schema)."""
-    facts = with_facts_id(facts)
-    subjects = subjects_of(facts, specifications)
-    outcomes = entity_outcomes(facts, specifications, subjects)
+    small = rules_fit(specifications)
+    evaluated = _evaluated(facts, specifications, subjects_of(facts, specifications, small), small)
     key = ["ids", "ordinal", "model"]
-    base = specifications.select("ids", "ordinal", "name", "ifc_versions", _cardinality().alias("cardinality"), (F.coalesce(F.size("requirements"), F.lit(0)) > 0).alias("has_requirements")).withColumn("one", F.lit(1))
-    every = base.join(schemas.withColumn("one", F.lit(1)), "one").drop("one")
-    matched = subjects.groupBy(*key).agg(F.count("*").alias("matched"))
-    joined = every.join(matched, key, "left").join(counts_by(outcomes, *key), key, "left").fillna(0, ["matched", "passed", "failed", "indeterminate"])
+    tally = lambda s: F.count_if(F.col("status") == s)
+    counts = evaluated.groupBy(*key).agg(
+        F.count_if(F.coalesce("requirement", F.lit(0)) == 0).alias("matched"), tally("PASS").alias("passed"), tally("FAIL").alias("failed"), tally("INDETERMINATE").alias("indeterminate")
+    )
+    joined = _every(specifications, schemas, small).join(counts, key, "left").fillna(0, ["matched", "passed", "failed", "indeterminate"])
     fits = F.when(F.size("ifc_versions") > 0, F.array_contains(F.transform("ifc_versions", F.upper), F.upper("ifc_schema")))
     verdict = judge(F.col("cardinality"), F.col("matched"), fits, F.col("failed"), F.col("indeterminate"), F.col("has_requirements"))
     return joined.withColumn("verdict", verdict).select(*key, "name", "cardinality", "matched", "passed", "failed", "indeterminate", "verdict.applicability", "verdict.status", F.col("verdict.code").alias("reason_code"))

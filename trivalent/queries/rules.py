@@ -54,7 +54,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def check_three_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, specs = check.with_facts_id(facts(spark, sf_dir)), specifications(spark).where("ordinal < 2")
+    own, specs = facts(spark, sf_dir), specifications(spark).where("ordinal < 2")
     return check.entity_outcomes(own, specs, check.subjects_of(own, specs)).select("ordinal", "model", "entity_id", "status", "reason_code")
 
 
