@@ -89,3 +89,19 @@ def test_rules_too_large_to_broadcast(spark, monkeypatch):
     broadcast = rules.results(spark, "/root/testdata/sf0.001").collect()
     monkeypatch.setattr(check, "RULE_BYTES", -1)
     assert sorted(map(str, rules.results(spark, "/root/testdata/sf0.001").collect())) == sorted(map(str, broadcast))
+
+
+def test_restrictions(spark):
+    """(comparisons, value, number, whether they hold) of every restriction; null operators, values and lists included."""
+    cases = [
+        ([], None, None, True), (None, "x", None, True), ([("literal", "a")], None, None, False), ([("literal", "a"), ("enumeration", "b")], "b", None, True), ([("literal", "A")], "a", None, False),
+        ([("literal", "900.0")], "900", 900.0, True), ([("minInclusive", "2"), ("maxExclusive", "3")], "3", 3.0, False), ([("minInclusive", "2"), ("maxInclusive", "3")], "3", 3.0, True), ([("minExclusive", "2")], "x", None, False),
+        ([("length", "2")], "ab", None, True), ([("minLength", "3")], "ab", None, False), ([("maxLength", "2")], "ab", None, True), ([("pattern", "a|b")], "b", None, True), ([("pattern", "a")], "ab", None, False),
+        ([("totalDigits", "3")], "12.34", 12.34, False), ([("fractionDigits", "2")], "12.34", 12.34, True), ([("fractionDigits", "1")], "12.34", 12.34, False), ([("unknown", "1")], "a", None, False), ([(None, "1")], "1", 1.0, False),
+        ([("literal", None)], "a", None, False), ([("enumeration", "a"), ("minLength", "2")], "a", None, False),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"i int, comparisons {check.COMPARISONS}, value string, number double, expected boolean")
+    wrong = [tuple(r) for r in rows.withColumn("got", check.holds("comparisons", "value", "number")).collect() if r.got is not r.expected]
+    assert not wrong
+    folded = rows.where("i = 4").select(check.holds("comparisons", "value", fold=True)).first()[0]
+    assert folded is True

@@ -38,27 +38,24 @@ SHARES = 16
 ANY = "\x00"
 
 
-def holds(comparisons: Column, value: Column, number: Column, fold: bool = False) -> Column:
-    """Whether a value satisfies a list of comparisons; an empty list always holds, a null value never."""
-    text = F.upper(value) if fold else value
-    same = lambda c: (text == (F.upper(c["value"]) if fold else c["value"])) | F.coalesce(number == c["value"].try_cast("double"), F.lit(False))
-    listed = F.filter(comparisons, lambda c: c["operator"].isin(*ALTERNATIVES))
-    bound = lambda c: c["value"].try_cast("double")
-
-    def met(c: Column) -> Column:
-        out = F.lit(False)
-        for operator, test in (
-            ("minInclusive", number >= bound(c)), ("maxInclusive", number <= bound(c)), ("minExclusive", number > bound(c)), ("maxExclusive", number < bound(c)),
-            ("length", F.length(value) == bound(c)), ("minLength", F.length(value) >= bound(c)), ("maxLength", F.length(value) <= bound(c)),
-            ("pattern", F.regexp_like(value, F.concat(F.lit("^(?:"), c["value"], F.lit(")$")))),
-            ("totalDigits", F.length(F.regexp_replace(value, "[^0-9]", "")) <= bound(c)), ("fractionDigits", F.length(F.regexp_extract(value, r"\.([0-9]+)", 1)) <= bound(c)),
-        ):
-            out = F.when(c["operator"] == operator, F.coalesce(test, F.lit(False))).otherwise(out)
-        return out
-
-    others = F.filter(comparisons, lambda c: ~c["operator"].isin(*ALTERNATIVES))
-    some = (F.size(listed) == 0) | F.exists(listed, lambda c: F.coalesce(same(c), F.lit(False)))
-    return (F.coalesce(F.size(comparisons), F.lit(0)) <= 0) | (value.isNotNull() & some & F.forall(others, met))
+#: Each restriction as a test of value and number against the bound b, its number n.
+TESTS = {
+    "minInclusive": "{number} >= {n}", "maxInclusive": "{number} <= {n}", "minExclusive": "{number} > {n}", "maxExclusive": "{number} < {n}",
+    "length": "length({value}) = {n}", "minLength": "length({value}) >= {n}", "maxLength": "length({value}) <= {n}",
+    "pattern": "regexp_like({value}, concat('^(?:', {b}, ')$'))",
+    "totalDigits": "length(regexp_replace({value}, '[^0-9]', '')) <= {n}", "fractionDigits": "length(regexp_extract({value}, r'\\.([0-9]+)', 1)) <= {n}",
+}
+
+
+def holds(comparisons: str, value: str, number: str = "cast(null as double)", fold: bool = False) -> Column:
+    """Whether a value satisfies a list of comparisons, all given as SQL: an empty list always holds, a null value never."""
+    case = (lambda text: f"upper({text})") if fold else (lambda text: text)
+    listed = "coalesce(c.operator in ({}), false)".format(", ".join(f"'{a}'" for a in ALTERNATIVES))
+    bound = {"value": value, "number": number, "b": "c.value", "n": "try_cast(c.value as double)"}
+    same = f"coalesce({case(value)} = {case('c.value')}, false) or coalesce({number} = {bound['n']}, false)"
+    met = "case c.operator {} else false end".format(" ".join(f"when '{name}' then coalesce({test.format(**bound)}, false)" for name, test in TESTS.items()))
+    some = f"(not exists({comparisons}, c -> {listed}) or exists({comparisons}, c -> {listed} and ({same})))"
+    return F.expr(f"coalesce(size({comparisons}), 0) <= 0 or ({value} is not null and {some} and forall({comparisons}, c -> {listed} or {met}))")
 
 
 def rules_fit(specifications: DataFrame) -> bool:
@@ -77,13 +74,14 @@ def _folded(kind: Column) -> Column:
 
 def _tested(pairs: DataFrame, present: Column) -> DataFrame:
     """pairs of facet and fact with how far the fact gets, each column from the one before."""
-    f, none = F.col("facet"), F.lit(None).cast("double")
+    folded = _folded(F.col("facet.kind"))
+    types = F.col("facet.data_type").isNull() | F.col("data_type").isNull() | (F.upper("facet.data_type") == F.upper("data_type"))
     return (
-        pairs.withColumn("is_scope", present & holds(f["scope"], F.col("scope"), none, fold=True))
-        .withColumn("is_name", F.col("is_scope") & F.when(_folded(f["kind"]), holds(f["name"], F.col("fact_name"), none, fold=True)).otherwise(holds(f["name"], F.col("fact_name"), none)))
+        pairs.withColumn("is_scope", present & holds("facet.scope", "scope", fold=True))
+        .withColumn("is_name", F.col("is_scope") & F.when(folded, holds("facet.name", "fact_name", fold=True)).otherwise(holds("facet.name", "fact_name")))
         .withColumn("is_set", F.col("is_name") & F.coalesce(F.col("value") != "", F.lit(False)))
-        .withColumn("is_typed", F.col("is_set") & (f["data_type"].isNull() | F.col("data_type").isNull() | (F.upper(f["data_type"]) == F.upper("data_type"))))
-        .withColumn("is_good", F.when(_folded(f["kind"]), F.col("is_name") & holds(f["value"], F.col("value"), F.col("number"), fold=True)).otherwise(F.col("is_typed") & holds(f["value"], F.col("value"), F.col("number"))))
+        .withColumn("is_typed", F.col("is_set") & types)
+        .withColumn("is_good", F.when(folded, F.col("is_name") & holds("facet.value", "value", "number", fold=True)).otherwise(F.col("is_typed") & holds("facet.value", "value", "number")))
     )
 
 
