@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trivalent.queries import corpus, records, rules, structure, texts, transcription
+from trivalent.queries import corpus, records, rules, sources, structure, texts, transcription
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**rules.QUERIES, **corpus.QUERIES, **records.QUERIES, **structure.QUERIES, **transcription.QUERIES, **texts.QUERIES}
-ORACLES: dict[str, str] = {**rules.ORACLES, **corpus.ORACLES, **records.ORACLES, **structure.ORACLES, **transcription.ORACLES, **texts.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**rules.QUERIES, **corpus.QUERIES, **records.QUERIES, **structure.QUERIES, **transcription.QUERIES, **texts.QUERIES, **sources.QUERIES}
+ORACLES: dict[str, str] = {**rules.ORACLES, **corpus.ORACLES, **records.ORACLES, **structure.ORACLES, **transcription.ORACLES, **texts.ORACLES, **sources.ORACLES}
