@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivalent.operators import anchoring
+from trivalent.operators import anchoring, intervals, ocr_rows, windows
 from trivalent.queries.corpus import LINES, ROUTE, document_lines, page_route
 from trivalent.queries.rules import table
 
@@ -56,13 +56,51 @@ def line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchoring.greedy_alignment(lines, other, "doc_id", "place", "line", plain)
 
 
-QUERIES = {"record_anchors": record_anchors, "line_alignment": line_alignment}
+def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as recognised tokens, a document as a page: boxes as polygons and as four numbers, scores beyond both ends."""
+    n, place = F.length("line"), F.col("place")
+    left, top = (n * 37 + place * 53) % 600 + 0.5, F.floor(place / 4) * 18 + (n * 7) % 11 - 0.5
+    right, bottom = left + 5 * (n % 40) + 10, top + 8 + n % 13
+    numbers = lambda *x: F.array(*(v.cast("double") for v in x))
+    polygon = F.array(numbers(right, top), numbers(right, bottom), numbers(left, bottom), numbers(left, top))
+    made = document_lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("page"), "place", F.col("line").alias("text"), F.when(place % 2 == 1, ocr_rows.box(polygon)).otherwise(ocr_rows.flat_box(numbers(left, top, right, bottom))).alias("box"), ocr_rows.confidence(((n * 977 + place * 31) % 10500 - 200) / F.lit(10000.0)).alias("confidence"))
+    return made.select("page", "place", "text", "box.*", "confidence")
+
+
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ocr_rows.lines(recognised(spark, sf_dir))
+    return found.select("page", "line", F.sha2("text", 256).alias("text_sha256"), "left", "top", "right", "bottom", "confidence", "tokens", "first")
+
+
+def line_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping bundles of 6 to 45 lines of every document."""
+    sizes = document_lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
+    made = sizes.select("doc_id", F.explode(F.expr("sequence(0L, n div 7)")).alias("sequence")).withColumn("first", F.expr("greatest(0, sequence * 7 - sequence % 3)"))
+    return made.withColumn("last", F.expr("first + 5 + (doc_id + sequence) % 40"))
+
+
+def first_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of lines as jobs, each with the first bundle that holds it."""
+    jobs = document_lines(spark, sf_dir).where("place % 3 = 0").select("doc_id", F.expr("place div 3").alias("job"), F.col("place").cast("long").alias("start"), F.expr("place + (place * 3 + doc_id) % 9").alias("end"))
+    return intervals.first_containing(jobs, line_bundles(spark, sf_dir), "doc_id")
+
+
+def bundle_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every bundle of lines holds: lines that aren't blank as pages, all lines as nodes, numeric ones as records, sentences that run on as edges."""
+    lines = document_lines(spark, sf_dir).withColumn("place", F.col("place").cast("long"))
+    at = lines.select("doc_id", F.col("place").alias("page"), "line")
+    edges = windows.continuation_edges(lines, "doc_id", "place", "line").select("doc_id", F.col("from_place").alias("from_page"), F.col("to_place").alias("to_page"))
+    return intervals.assembled(line_bundles(spark, sf_dir), at.where("trim(line) <> ''"), at, {"numeric": at.where("line rlike '[0-9]'")}, edges, "doc_id")
+
+
+QUERIES = {"record_anchors": record_anchors, "line_alignment": line_alignment, "ocr_lines": ocr_lines, "first_bundle": first_bundle, "bundle_assembly": bundle_assembly}
 
 _PLAIN = r"trim(regexp_replace({}, '[ \t]+', ' ', 'g'))"
 _NODES = f"select doc_id as document, place // {PAGE_LINES} as page, place, doc_id || ':' || place as span, line from {LINES}"
 _RECORDS = f"""select document, record, (document + record * 3) % 8 as kind, list({{'place': place, 'page': page, 'line': line}} order by place) as own
  from (select document, record, (document * 13 + record * 29) % n as start, 1 + (document + 5 * record) % 20 as width from (select document, count(*) as n from nodes group by 1) cross join range({RECORDS}) r(record)) join nodes using (document)
  where place between start and start + width - 1 group by 1, 2, 3"""
+_BUNDLES = f"select doc_id, k as sequence, greatest(0, k * 7 - k % 3) as first, greatest(0, k * 7 - k % 3) + 5 + (doc_id + k) % 40 as last from (select doc_id, unnest(range(count(*) // 7 + 1)) as k from {LINES} group by 1)"
 ORACLES = {
     "record_anchors": f"""with nodes as materialized ({_NODES}), given as ({_RECORDS}),
  records as (select document, record, case when kind = 7 and document % 3 = 0 then [-1] when kind = 7 and document % 3 = 1 then null else list_distinct(list_transform(own, lambda o: o.page)) end as pages,
@@ -82,4 +120,19 @@ ORACLES = {
  walk as (select doc_id, -1::bigint as place, -1::bigint as cursor, null::bigint as other from (select distinct doc_id from lines) union all
   select doc_id, place, coalesce(other, cursor), other from (select w.doc_id, l.place, w.cursor, (select min(o.place) from other o where o.doc_id = w.doc_id and o.norm = l.norm and o.place > w.cursor) as other from walk w join lines l on l.doc_id = w.doc_id and l.place = w.place + 1))
  select doc_id, place, other from walk where place >= 0""",
+    "ocr_lines": f"""with recursive boxed as (select doc_id, place, line, (n * 37 + place * 53) % 600 + 0.5::double as l, (place // 4) * 18 + (n * 7) % 11 - 0.5::double as t, n % 40 as w, n % 13 as h, ((n * 977 + place * 31) % 10500 - 200) / 10000.0::double as score from (select *, length(line) as n from {LINES})),
+ given as materialized (select doc_id, place, trim(line, e' \\t\\n\\r\\x0b\\x0c') as text, greatest(0, round_even(l, 0))::int as l, greatest(0, round_even(t, 0))::int as t, greatest(0, round_even(l + 5 * w + 10, 0))::int as r, greatest(0, round_even(t + 8 + h, 0))::int as b, greatest(0, least(10000, round_even(score * 10000, 0)))::int as c from boxed),
+ tokens as materialized (select *, row_number() over (partition by doc_id order by t, l, place) as i, (t + b) / 2.0::double as m, greatest(1, b - t) as h from given where text <> ''),
+ walk as (select doc_id, 0::bigint as i, []::struct(id bigint, s double, n bigint, t int, b int)[] as open, 0::bigint as opened, null::bigint as row from (select distinct doc_id from tokens) union all
+  select doc_id, i, if(hit is null, list_append(open, {{'id': opened, 's': m, 'n': 1, 't': t, 'b': b}})[-3:], list_transform(open, lambda o: if(o.id = hit, {{'id': o.id, 's': o.s + m, 'n': o.n + 1, 't': least(o.t, x.t), 'b': greatest(o.b, x.b)}}, o))), opened + (hit is null)::int, coalesce(hit, opened)
+  from (select k.*, w.open, w.opened, list_max(list_transform(list_filter(w.open, lambda o: abs(k.m - o.s / o.n) <= greatest(k.h, o.b - o.t, 1) * 0.6::double), lambda o: o.id)) as hit from walk w join tokens k on k.doc_id = w.doc_id and k.i = w.i + 1) x),
+ placed as (select t.*, w.row, row_number() over (partition by t.doc_id order by w.row, t.l desc, t.t, t.place) - 1 as position from walk w join tokens t on t.doc_id = w.doc_id and t.i = w.i)
+ select doc_id::varchar as page, row as line, sha256(string_agg(text, ' ' order by position)) as text_sha256, min(l) as left, min(t) as top, max(r) as right, max(b) as bottom, (sum(c) // count(*))::int as confidence, count(*) as tokens, min(position) as first from placed group by 1, 2""",
+    "first_bundle": f"""with b as ({_BUNDLES}), j as (select doc_id, place // 3 as job, place as start, place + (place * 3 + doc_id) % 9 as "end" from {LINES} where place % 3 = 0)
+ select j.doc_id, job, start, "end", min(sequence) as sequence from j left join b on b.doc_id = j.doc_id and first <= start and last >= "end" group by 1, 2, 3, 4""",
+    "bundle_assembly": f"""with b as ({_BUNDLES}), l as (select *, regexp_matches(line, '[0-9]') as numeric, trim(line) <> '' as there from {LINES}),
+ e as (select doc_id, place as x from (select *, lead(place) over (partition by doc_id order by place) as following, right(rtrim(line, ' '), 1) as z from l) where following = place + 1 and z <> '' and instr('.!?:;؟؛۔', z) = 0),
+ held as (select b.doc_id, sequence, count(*) filter (there) as pages, min(place) filter (there) as first_page, max(place) filter (there) as last_page, count(place) as nodes, count(*) filter (numeric) as numeric from b left join l on l.doc_id = b.doc_id and place between first and last group by 1, 2),
+ touched as (select b.doc_id, sequence, count(*) as edges from b join e on e.doc_id = b.doc_id and (x between first and last or x + 1 between first and last) group by 1, 2)
+ select b.doc_id, sequence, first, last, first_page, last_page, pages, nodes, numeric, coalesce(edges, 0) as edges from b join held using (doc_id, sequence) left join touched using (doc_id, sequence)""",
 }
