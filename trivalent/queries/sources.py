@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trivalent.operators import anchoring, intervals, ocr_rows, windows
+from trivalent.operators import anchoring, intervals, ocr_rows, source_graph, windows
 from trivalent.queries.corpus import LINES, ROUTE, document_lines, page_route
 from trivalent.queries.rules import table
 
@@ -93,7 +93,36 @@ def bundle_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.assembled(line_bundles(spark, sf_dir), at.where("trim(line) <> ''"), at, {"numeric": at.where("line rlike '[0-9]'")}, edges, "doc_id")
 
 
-QUERIES = {"record_anchors": record_anchors, "line_alignment": line_alignment, "ocr_lines": ocr_lines, "first_bundle": first_bundle, "bundle_assembly": bundle_assembly}
+def planted_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Documents as source graphs of their lines; a line's parent is a third of its place. One document in two has a fault, by its number modulo 26."""
+    lines = source_nodes(spark, sf_dir).select("document", "page", "place", "span", F.col("line").alias("text"))
+    fault, place = F.expr("document % 26"), F.col("place")
+    name = lambda x: F.concat(F.lit("n"), x.cast("string"))
+    count = Window.partitionBy("document")
+    rows = lines.withColumn("n", F.count("*").over(count))
+    kids = F.filter(F.array(place * 3, place * 3 + 1, place * 3 + 2), lambda k: (k > 0) & (k < F.col("n")))
+    kids = F.transform(F.when(fault == 4, F.filter(kids, lambda k: k != 1)).otherwise(kids), lambda k: name(k))
+    parent = F.when(place > 0, name(F.expr("place div 3")))
+    nodes = rows.select(
+        "document", name(place).alias("node"), "page", F.when((fault == 10) & (place == F.col("n") - 1), place + 6).otherwise(place + 1).alias("place"),
+        F.when((fault == 1) & (place == 3), "nowhere").when((fault == 3) & (place == 2), None).when((fault == 9) & (place == 0) & (F.col("n") > 1), "n1").otherwise(parent).alias("parent"),
+        F.when((fault == 2) & (place == 0), F.concat(kids, F.array(F.lit("ghost")))).otherwise(kids).alias("children"),
+        F.array(F.when((fault == 7) & (place == 2), F.concat_ws(":", F.col("document").cast("string"), F.lit("1"))).otherwise(F.col("span"))).alias("spans"),
+        F.when((fault == 8) & (place == 0), F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"),
+    )
+    members = rows.groupBy("document", "page").agg(F.array_sort(F.collect_list("place")).alias("m"))
+    turned = F.when((fault == 5) & (F.col("page") == 0), F.reverse("m")).when((fault == 6) & (F.col("page") == 1), F.concat("m", F.array(F.lit(4).cast("long")))).when((fault == 12) & (F.col("page") == 0), F.concat("m", F.slice("m", 1, 1))).otherwise(F.col("m"))
+    pages = members.select("document", "page", F.transform(turned, lambda p: name(p)).alias("members"))
+    records = lines.where("text rlike '[0-9]'").select("document", F.lit("units").alias("collection"), F.concat(F.lit("u"), place.cast("string")).alias("record"), "page")
+    listed = records.withColumn("page", F.when((fault == 11) & (F.col("page") == 0), F.col("page") + 1).otherwise(F.col("page")))
+    return {"nodes": nodes, "pages": pages, "lines": lines.select("document", "page", "span", "text"), "records": records, "listed": listed}
+
+
+def audit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_graph.audit_graph(**planted_graph(spark, sf_dir)).withColumnRenamed("document", "doc_id")
+
+
+QUERIES = {"audit_graph": audit_graph, "record_anchors": record_anchors, "line_alignment": line_alignment, "ocr_lines": ocr_lines, "first_bundle": first_bundle, "bundle_assembly": bundle_assembly}
 
 _PLAIN = r"trim(regexp_replace({}, '[ \t]+', ' ', 'g'))"
 _NODES = f"select doc_id as document, place // {PAGE_LINES} as page, place, doc_id || ':' || place as span, line from {LINES}"
@@ -135,4 +164,22 @@ ORACLES = {
  held as (select b.doc_id, sequence, count(*) filter (there) as pages, min(place) filter (there) as first_page, max(place) filter (there) as last_page, count(place) as nodes, count(*) filter (numeric) as numeric from b left join l on l.doc_id = b.doc_id and place between first and last group by 1, 2),
  touched as (select b.doc_id, sequence, count(*) as edges from b join e on e.doc_id = b.doc_id and (x between first and last or x + 1 between first and last) group by 1, 2)
  select b.doc_id, sequence, first, last, first_page, last_page, pages, nodes, numeric, coalesce(edges, 0) as edges from b join held using (doc_id, sequence) left join touched using (doc_id, sequence)""",
+    "audit_graph": f"""with recursive l as materialized (select *, doc_id % 26 as fault, count(*) over (partition by doc_id) as n, place // {PAGE_LINES} as page from {LINES}),
+ nodes as materialized (select doc_id, place, page, 'n' || place as node, n, fault, if(fault = 10 and place = n - 1, place + 6, place + 1) as number, case when fault = 1 and place = 3 then 'nowhere' when fault = 3 and place = 2 then null when fault = 9 and place = 0 and n > 1 then 'n1' when place > 0 then 'n' || (place // 3) end as parent,
+  doc_id || ':' || if(fault = 7 and place = 2, 1, place) as span, if(fault = 8 and place = 0, line || '!', line) as text from l),
+ down as (select doc_id, node, 'n' || k as child from (select doc_id, node, n, fault, place, unnest([place * 3, place * 3 + 1, place * 3 + 2]) as k from nodes) where k > 0 and k < n and not (fault = 4 and k = 1) union all select doc_id, 'n0', 'ghost' from nodes where place = 0 and fault = 2),
+ members as (select doc_id, page, place, if(fault = 5 and page = 0, -place, place) as seat from l union all select doc_id, 1, 4, 1000000 from l where fault = 6 and page = 1 group by doc_id union all select doc_id, 0, 0, 1000000 from l where fault = 12 and place = 0),
+ reach as (select doc_id, node as origin, parent as up from nodes where fault = 9 union select r.doc_id, origin, n.parent from reach r join nodes n on n.doc_id = r.doc_id and n.node = r.up where n.parent is not null),
+ loops as (select distinct doc_id, origin as node from reach where origin = up), leads as (select doc_id, node from loops union select r.doc_id, r.origin from reach r join loops x on x.doc_id = r.doc_id and x.node = r.up),
+ records as (select doc_id, 'u' || place as record, page from l where regexp_matches(line, '[0-9]')), listed as (select doc_id, record, if(doc_id % 26 = 11 and page = 0, 1, page) as page from records)
+ select doc_id, 'ORDER' as breach, node as item from (select *, row_number() over (partition by doc_id order by number, node) as seat from nodes) where seat <> number
+ union all select doc_id, 'ORPHAN', node from nodes where parent = 'nowhere' union all select doc_id, 'UNKNOWN_CHILD', child from down where child = 'ghost'
+ union all select d.doc_id, 'CHILD_NOT_RECIPROCAL', child from down d join nodes c on c.doc_id = d.doc_id and c.node = d.child where c.parent is distinct from d.node
+ union all select n.doc_id, 'PARENT_NOT_RECIPROCAL', n.node from nodes n join nodes p on p.doc_id = n.doc_id and p.node = n.parent anti join down d on d.doc_id = n.doc_id and d.node = n.parent and d.child = n.node
+ union all select doc_id, 'CYCLE', node from leads
+ union all select doc_id, 'PAGE_REPEATS_NODE', 'n' || place from members group by doc_id, page, place having count(*) > 1 union all select doc_id, 'ON_SEVERAL_PAGES', 'n' || place from members group by doc_id, place having count(distinct page) > 1
+ union all select doc_id, 'PAGE_ORDER', node from (select n.doc_id, n.node, seat < lag(seat) over (partition by n.doc_id, n.page order by number, n.node) as turned from nodes n join (select doc_id, page, place, min(seat) as seat from members group by 1, 2, 3) m on m.doc_id = n.doc_id and m.page = n.page and m.place = n.place) where turned
+ union all select doc_id, 'SPAN_TWICE', span from nodes group by doc_id, span having count(*) > 1 union all select n.doc_id, 'CONTENT_DIFFERS', n.node from nodes n join l on l.doc_id = n.doc_id and n.span = l.doc_id || ':' || l.place and l.page = n.page where l.line <> n.text
+ union all select l.doc_id, 'UNCOVERED', l.doc_id || ':' || l.place from l anti join nodes n on n.doc_id = l.doc_id and n.span = l.doc_id || ':' || l.place where trim(line) <> ''
+ union all select a.doc_id, 'RECORD_NOT_LISTED', a.record from records a anti join listed b on a.doc_id = b.doc_id and a.record = b.record and a.page = b.page union all select a.doc_id, 'LISTED_WITHOUT_RECORD', a.record from listed a anti join records b on a.doc_id = b.doc_id and a.record = b.record and a.page = b.page""",
 }
