@@ -4,7 +4,7 @@ record_anchors finds where a record's own lines stand, once and contiguous, amon
 its own pages. Every range of pages gets prefix hashes of its normalised lines (a cyclic
 polynomial: line hashes turned by their place and folded by exclusive or), so that the hash of a run
 of any width is two prefixes folded and turned back. Runs of the widths that are asked for meet
-the records by an equi-join on (document, pages, width, hash) and are then compared line by line.
+the records by an equi-join on (document, pages, width, hash) and are then compared line by line (by digest).
 Work is in the lines of a range times its distinct widths, never records times lines.
 
 greedy_alignment links each canonical line to the next alternate line of the same text behind
@@ -57,40 +57,42 @@ def record_anchors(records: DataFrame, nodes: DataFrame, normalize: Callable[[Co
     a record don't count, blank lines of the source do, so a run doesn't cross them; empty tables give no rows.
     """
     valid = F.expr("pages is not null and forall(pages, p -> p is not null)")
-    own = records.select("document", "record", "pages", "text", "spans", valid.alias("valid"), F.when(valid, F.concat_ws(",", F.transform(F.array_sort(F.array_distinct("pages")), lambda p: p.cast("string")))).alias("range"))
-    own = own.withColumn("lines", F.when(F.trim(F.coalesce("text", F.lit(""))) != "", _text_lines(F.col("text"), normalize))).withColumn("width", F.size("lines"))
-    own = cut(own)
+    lines = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.transform(_text_lines(F.col("text"), normalize), lambda x: F.struct(F.xxhash64(x).alias("h"), F.md5(x).alias("d"))))
+    own = records.select("document", "record", "pages", "spans", valid.alias("valid"), F.when(valid, F.concat_ws(",", F.transform(F.array_sort(F.array_distinct("pages")), lambda p: p.cast("string")))).alias("range"), lines.alias("lines"))
+    own = cut(own.withColumn("width", F.size("lines")))
 
+    # Lines go on as a hash to meet by and a digest to be compared by; texts come back for what was found.
     ranges = own.where("valid").select("document", "range", "pages").dropDuplicates(["document", "range"])
     asked = ranges.select("document", "range", F.explode(F.array_distinct("pages")).alias("page"))
+    norm = normalize(F.col("line"))
+    bare = nodes.select("document", "page", "place", "span", F.xxhash64(norm).alias("h"), F.md5(norm).alias("d"), (norm == "").alias("blank"))
     there = nodes.select("document", "page").distinct()
     unknown = asked.join(there, ["document", "page"], "left_anti").select("document", "range").distinct().withColumn("unknown", F.lit(True))
-    lined = asked.join(nodes, ["document", "page"]).withColumn("norm", normalize(F.col("line")))
     by_place = Window.partitionBy("document", "range").orderBy("place", "span")
-    lined = lined.withColumn("at", F.row_number().over(by_place) - 1).withColumn("h", F.xxhash64("norm"))
+    lined = asked.join(bare, ["document", "page"]).withColumn("at", F.row_number().over(by_place) - 1)
     lined = lined.withColumn("upto", F.bit_xor(_turned("h", "at")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    lined = cut(lined.withColumn("before", F.lag("upto", 1, 0).over(by_place)).select("document", "range", "at", "span", "line", "norm", "upto", "before"))
+    lined = cut(lined.withColumn("before", F.lag("upto", 1, 0).over(by_place)).select("document", "range", "at", "place", "span", "d", "blank", "upto", "before"))
 
     # Runs of every width that a record without claimed spans asks for.
     fresh = own.where("valid and coalesce(size(spans), 0) <= 0 and width > 0")
     widths = fresh.select("document", "range", "width").distinct()
     starts = lined.join(widths, ["document", "range"]).select("document", "range", "width", F.col("at").alias("start"), (F.col("at") + F.col("width") - 1).alias("at"), "before")
     runs = starts.join(lined.select("document", "range", "at", "upto"), ["document", "range", "at"]).withColumn("x", F.expr("upto ^ before")).select("document", "range", "width", "start", _turned("x", "-start").alias("hash"))
-    hashed = fresh.withColumn("hash", F.expr("aggregate(transform(lines, (x, i) -> shiftleft(xxhash64(x), i % 64) | shiftrightunsigned(xxhash64(x), 64 - i % 64)), 0L, (a, x) -> a ^ x)"))
+    hashed = fresh.withColumn("hash", F.expr("aggregate(transform(lines, (x, i) -> shiftleft(x.h, i % 64) | shiftrightunsigned(x.h, 64 - i % 64)), 0L, (a, x) -> a ^ x)"))
     near = hashed.select("document", "record", "range", "width", "hash", "lines").join(runs, ["document", "range", "width", "hash"])
-    steps = near.select("document", "record", "range", "width", "start", F.posexplode("lines").alias("i", "wanted")).withColumn("at", F.col("start") + F.col("i"))
-    compared = steps.join(lined.select("document", "range", "at", "span", "line", "norm"), ["document", "range", "at"])
-    found = compared.groupBy("document", "record", "start", "width").agg(F.count_if(F.col("norm") == F.col("wanted")).alias("same"), F.collect_list(F.struct("i", "span", "line")).alias("run")).where("same = width")
+    steps = near.select("document", "record", "range", "width", "start", F.posexplode("lines.d").alias("i", "wanted")).withColumn("at", F.col("start") + F.col("i"))
+    compared = steps.join(lined.select("document", "range", "at", "place", "span", "d"), ["document", "range", "at"])
+    found = compared.groupBy("document", "record", "start", "width").agg(F.count_if(F.col("d") == F.col("wanted")).alias("same"), F.collect_list(F.struct("i", "place", "span")).alias("run")).where("same = width")
     found = found.groupBy("document", "record").agg(F.count("*").alias("matches"), F.min_by("run", "start").alias("run"))
 
     # Claimed spans: on the record's pages, a run, of the record's text.
     claimed = own.where("valid and size(spans) > 0")
-    held = claimed.select("document", "record", "range", F.posexplode("spans").alias("i", "span")).join(lined.select("document", "range", "span", "at", "line", "norm"), ["document", "range", "span"])
-    held = held.groupBy("document", "record").agg(F.count("*").alias("on_pages"), (F.count_distinct(F.expr("at - i")) == 1).alias("runs"), F.array_sort(F.collect_list(F.struct("i", "span", "line", "norm"))).alias("claimed"))
+    held = claimed.select("document", "record", "range", F.posexplode("spans").alias("i", "span")).join(lined.select("document", "range", "span", "at", "place", "d", "blank"), ["document", "range", "span"])
+    held = held.groupBy("document", "record").agg(F.count("*").alias("on_pages"), (F.count_distinct(F.expr("at - i")) == 1).alias("runs"), F.array_sort(F.collect_list(F.struct("i", "place", "span", "d", "blank"))).alias("claimed"))
 
     joined = own.join(unknown, ["document", "range"], "left").join(found, ["document", "record"], "left").join(held, ["document", "record"], "left")
     claims, odd_claims = F.expr("coalesce(size(spans), 0) > 0"), F.expr("exists(spans, s -> s is null)")
-    same_text = F.expr("filter(transform(claimed, c -> c.norm), n -> n <> '')") == F.coalesce("lines", F.expr("array()").cast("array<string>"))
+    same_text = F.expr("transform(filter(claimed, c -> not c.blank), c -> c.d) = coalesce(lines.d, cast(array() as array<string>))")
     reason = (
         F.when(~F.col("valid"), "invalid_source_page_ids").when(F.col("unknown"), "unknown_source_page").when(odd_claims, "invalid_source_span_ids")
         .when(claims & ~F.expr("coalesce(on_pages, 0) = size(spans)"), "span_not_on_source_page").when(claims & ~(F.col("runs") & same_text), "existing_spans_do_not_match_record_text").when(claims, None)
@@ -98,9 +100,14 @@ def record_anchors(records: DataFrame, nodes: DataFrame, normalize: Callable[[Co
     )
     joined = joined.withColumn("reason", reason)
     status = F.when(F.col("reason").isin("invalid_source_span_ids", "span_not_on_source_page", "existing_spans_do_not_match_record_text"), "invalid_existing_anchor").when(F.col("reason") == "multiple_exact_matches", "ambiguous").when(F.col("reason").isNotNull(), "unmatched").when(claims, "already_anchored").otherwise("anchored")
-    bare = F.transform(F.array_sort("run"), lambda r: F.struct(r["span"], r["line"]))
-    run = F.when(F.col("reason").isNull(), F.coalesce(F.when(claims, F.expr("transform(claimed, c -> struct(c.span, c.line))")), bare))
-    return joined.withColumn("run", run).select("document", "record", status.alias("status"), "reason", F.coalesce("matches", F.lit(0)).alias("matches"), F.col("run.span").alias("spans"), F.sha2(F.array_join("run.line", "\n"), 256).alias("exact_sha256"))
+    bare_run = lambda column: F.expr(f"transform(array_sort({column}), c -> struct(c.place, c.span))")
+    run = F.when(F.col("reason").isNull(), F.when(claims, bare_run("claimed")).otherwise(bare_run("run")))
+    judged = joined.select("document", "record", status.alias("status"), "reason", F.coalesce("matches", F.lit(0)).alias("matches"), run.alias("run"))
+    # Source texts, once a document, meet all its records' runs.
+    texts = nodes.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("place", "span"), "line"))).alias("texts"))
+    told = judged.where("run is not null").join(texts, "document").select("document", "record", "status", "reason", "matches", F.col("run.span").alias("spans"), F.sha2(F.array_join(F.transform("run", lambda r: F.col("texts")[r]), "\n"), 256).alias("exact_sha256"))
+    untold = judged.where("run is null").select("document", "record", "status", "reason", "matches", F.lit(None).cast("array<string>").alias("spans"), F.lit(None).cast("string").alias("exact_sha256"))
+    return told.unionByName(untold)
 
 
 def greedy_alignment(canonical: DataFrame, alternate: DataFrame, key: str, place: str, line: str, normalize: Callable[[Column], Column] = searchable) -> DataFrame:

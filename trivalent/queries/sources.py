@@ -26,12 +26,10 @@ def source_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four records of every document, of 1 to 20 of its lines: as they stand, altered, with spans claimed rightly and wrongly, without text, on pages there aren't."""
-    nodes = source_nodes(spark, sf_dir)
-    sizes = nodes.groupBy("document").agg(F.count("*").alias("n"))
-    spec = sizes.select("document", "n", F.explode(F.sequence(F.lit(0), F.lit(RECORDS - 1))).alias("record"))
-    spec = spec.select("document", "record", F.expr("(document * 13 + record * 29) % n").alias("start"), F.expr("1 + (document + 5 * record) % 20").alias("width"), F.expr("(document + record * 3) % 8").alias("kind"))
-    places = spec.select("*", F.explode(F.expr("sequence(start, start + width - 1)")).alias("place"))
-    own = places.join(nodes, ["document", "place"]).groupBy("document", "record", "kind").agg(F.array_sort(F.collect_list(F.struct("place", "page", "line"))).alias("own"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), F.split("text", "\n").alias("all")).where("all is not null").withColumn("n", F.size("all").cast("long"))
+    spec = docs.withColumn("record", F.explode(F.sequence(F.lit(0), F.lit(RECORDS - 1)))).withColumn("start", F.expr("(document * 13 + record * 29) % n"))
+    spec = spec.select("document", "record", F.expr("(document + record * 3) % 8").alias("kind"), "all", F.expr("sequence(start, least(n, start + 1 + (document + 5 * record) % 20) - 1)").alias("places"))
+    own = spec.select("document", "record", "kind", F.transform("places", lambda p: F.struct(p.alias("place"), F.floor(p / PAGE_LINES).alias("page"), F.col("all")[p.cast("int")].alias("line"))).alias("own"))
     text = F.array_join(F.transform("own.line", lambda x: F.concat(F.lit("  "), x)), "\n")
     spans = F.transform("own.place", lambda p: F.concat_ws(":", F.col("document").cast("string"), p.cast("string")))
     pages = F.array_distinct("own.page")
