@@ -146,13 +146,26 @@ def subjects_of(facts: DataFrame, specifications: DataFrame, small: bool | None
     return met.where("met = facets").select("ids", "ordinal", "model", "entity_id")
 
 
-def _evaluated(facts: DataFrame, specifications: DataFrame, subjects: DataFrame, small: bool) -> DataFrame:
+#: Why a facet is undecided on an entity that may have attributes which no fact tells.
+UNKNOWN_ATTRIBUTES = "ATTRIBUTES_UNKNOWN"
+
+
+def _undecided(counted: DataFrame, outcomes: DataFrame, open_entities: DataFrame) -> DataFrame:
+    """outcomes where an attribute's absence is no evidence: a pass of an open entity that rests on it becomes undecided."""
+    absent = counted.where("kind = 'attribute' and n_name = 0").join(open_entities.select("model", "entity_id").distinct(), ["model", "entity_id"]).select("ids", "ordinal", "requirement", "model", "entity_id", F.lit(True).alias("_open"))
+    joined = outcomes.join(absent, ["ids", "ordinal", "requirement", "model", "entity_id"], "left")
+    return joined.withColumn("reason_code", F.when(F.col("_open") & F.col("reason_code").isNull(), UNKNOWN_ATTRIBUTES).otherwise(F.col("reason_code"))).drop("_open")
+
+
+def _evaluated(facts: DataFrame, specifications: DataFrame, subjects: DataFrame, small: bool, open_entities: DataFrame | None = None) -> DataFrame:
     """entity_outcomes, and one row without requirement for each subject of which nothing is required."""
     asked = F.when(_cardinality() != "prohibited", F.col("requirements"))
     specs = specifications.select("ids", "ordinal", F.posexplode_outer(asked).alias("requirement", "facet"))
     counted = facet_counts(subjects.join(_rules(specs, small), ["ids", "ordinal"]), facts, ["ids", "ordinal", "requirement"])
     code = F.when(F.col("requirement").isNotNull(), facet_code(F.col("kind"), F.col("cardinality"), F.col("restricted")))
     outcomes = counted.select("ids", "ordinal", "requirement", "model", "entity_id", code.alias("reason_code"))
+    if open_entities is not None:
+        outcomes = _undecided(counted, outcomes, open_entities)
     return outcomes.withColumn("status", F.when(F.col("requirement").isNull(), None).when(F.col("reason_code").isNull(), "PASS").otherwise(status_of_code(F.col("reason_code"))))
 
 
@@ -181,10 +194,13 @@ def _every(specifications: DataFrame, schemas: DataFrame, small: bool) -> DataFr
     return models.join(_rules(shares, small), "share").drop("share")
 
 
-def specification_results(facts: DataFrame, specifications: DataFrame, schemas: DataFrame) -> DataFrame:
-    """A row per model and specification: counts, applicability, status, reason code; schemas: (model, ifc_schema)."""
+def specification_results(facts: DataFrame, specifications: DataFrame, schemas: DataFrame, open_entities: DataFrame | None = None) -> DataFrame:
+    """A row per model and specification: counts, applicability, status, reason code; schemas: (model, ifc_schema).
+
+    open_entities (model, entity_id): those of classes whose attributes aren't all told by facts.
+    """
     small = rules_fit(specifications)
-    evaluated = _evaluated(facts, specifications, subjects_of(facts, specifications, small), small)
+    evaluated = _evaluated(facts, specifications, subjects_of(facts, specifications, small), small, open_entities)
     key = ["ids", "ordinal", "model"]
     tally = lambda s: F.count_if(F.col("status") == s)
     counts = evaluated.groupBy(*key).agg(

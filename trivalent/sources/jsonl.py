@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivalent.functions.identity import json_object_error
+from trivalent.sources.pieces import numbered_lines
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 1), record, error. Blank lines are no records; whatever isn't one object, or repeats a key, has an error that names it.
 
-    Line numbers need a file's lines together, so a file is one task's work; many files are spread over tasks.
+    A file is read in ranges, so one file is many tasks' work.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("content"))
-    lines = files.select("file", F.posexplode(F.split("content", "\n")).alias("line", "record")).where("trim(record) <> ''")
-    checked = lines.select("file", (F.col("line") + 1).alias("line"), F.rtrim("record").alias("record"))
+    lines = numbered_lines(spark, path).where("trim(value) <> ''")
+    checked = lines.select("file", "line", F.rtrim(F.regexp_replace("value", "\r$", "")).alias("record"))
     reason = json_object_error(F.col("record"))
     return checked.withColumn("error", F.when(reason.isNotNull(), F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), reason)))
