@@ -26,18 +26,19 @@ results; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from importlib import resources
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trivalent.llm.shared import materialize, text_or_empty
+from trivalent.llm.shared import batch_rows, materialize, text_or_empty
 
 # Notices and headers of common licences; whole texts are in licence_texts.
 NOTICES = {
@@ -94,6 +95,22 @@ def templates() -> list[tuple[str, list[str]]]:
     return sorted((name, words(text)) for name, text in found)
 
 
+class Text:
+    """A text's words with sums over all words before each place: of dot products with templates, squared weights, and hashes (of a bag of words)."""
+
+    def __init__(self, every: list[str], ends: list[int], scanner: Scanner, live: list[int]):
+        self.every, self.ends = every, np.array(ends)
+        number = {w: i for i, w in enumerate(dict.fromkeys(every))}
+        codes = np.fromiter((number[w] for w in every), np.int64, len(every))
+        before = lambda table: np.concatenate([np.zeros((1, *table.shape[1:]), table.dtype), np.cumsum(table[codes], 0, dtype=table.dtype)])
+        self.dots = {}
+        for t in live:
+            vector = scanner.templates[t][2]
+            self.dots[t] = before(np.fromiter((scanner.idf[w] * vector[w] if w in vector else 0.0 for w in number), float, len(number)))
+        self.least = before(np.fromiter((scanner.idf.get(w, 1.0) ** 2 for w in number), float, len(number)))
+        self.bags = before(np.frombuffer(b"".join(hashlib.blake2b(w.encode(), digest_size=16).digest() for w in number), np.uint64).reshape(-1, 2))
+
+
 class Scanner:
     def __init__(self, texts: list[tuple[str, list[str]]], frequencies: dict[str, int], files: int, threshold: float):
         self.threshold = threshold
@@ -122,32 +139,60 @@ class Scanner:
                 covered[t] = covered.get(t, 0.0) + x
         return sorted(t for t, x in covered.items() if math.sqrt(x) >= self.threshold - SLACK)
 
-    def runs(self, every: list[str], ends: list[int], t: int) -> set[tuple[int, int]]:
-        """Runs of lines, of about a template's number of words, whose cosine can reach the threshold."""
-        _, size, vector = self.templates[t]
-        starts, out = [0, *ends[:-1]], set()
-        weight = {w: self.idf.get(w, 1.0) for w in set(every)}
+    def squares(self, bag: dict[str, int]) -> tuple[float, float]:
+        """Squared length of a bag's vector over the words of templates, and the sum of squared counts of all others."""
+        return sum((n * self.idf[w]) ** 2 for w, n in bag.items() if w in self.idf), float(sum(n * n for w, n in bag.items() if w not in self.idf))
+
+    def runs(self, text: Text, t: int) -> dict[tuple[int, int], tuple[float, float]]:
+        """Runs of lines, of about a template's number of words, whose cosine can reach the threshold, with their squares().
+
+        A count squared is no less than the count, so sums over words bound the length of a run's vector from below and
+        drop most runs at once; what is left is counted, each run for itself or all of them in one pass.
+        """
+        size, dot, out = self.templates[t][1], text.dots[t], {}
+        starts = np.concatenate([[0], text.ends[:-1]])
+        lines = np.arange(len(starts))
         for filled in (False, True):
-            counts: dict[str, int] = {}
-            a = b = 0
-            dot = norm = 0.0
-            for line, start in enumerate(starts):
-                at = bisect_left(ends, start + size) if filled else bisect_right(ends, start + size) - 1
-                end = ends[min(max(at, line), len(ends) - 1)]
-                while a < start:
-                    w = every[a]
-                    n, x = counts[w], weight[w]
-                    counts[w], norm, a = n - 1, norm - (2 * n - 1) * x * x, a + 1
-                    dot -= x * vector.get(w, 0.0)
-                while b < end:
-                    w = every[b]
-                    n, x = counts.get(w, 0), weight[w]
-                    counts[w], norm, b = n + 1, norm + (2 * n + 1) * x * x, b + 1
-                    dot += x * vector.get(w, 0.0)
-                if dot >= (self.threshold - 1e-6) * math.sqrt(max(norm, 0.0)):
-                    out.add((start, end))
+            at = np.searchsorted(text.ends, starts + size, "left" if filled else "right") - (0 if filled else 1)
+            stops = text.ends[np.clip(np.maximum(at, lines), 0, len(lines) - 1)]
+            own, least = dot[stops] - dot[starts], np.sqrt(text.least[stops] - text.least[starts])
+            left = np.flatnonzero(own >= (self.threshold - 1e-6) * least - 1e-9)
+            pairs = list(zip(starts[left].tolist(), stops[left].tolist()))
+            each = sum(b - a for a, b in pairs) <= 2 * len(text.every)
+            for i, (pair, found) in enumerate(zip(pairs, (self.squares(Counter(text.every[a:b])) for a, b in pairs) if each else self.sliding(text, pairs))):
+                if own[left[i]] >= (self.threshold - 1e-6) * math.sqrt(max(sum(found), 0.0)):
+                    out[pair] = found
         return out
 
+    def sliding(self, text: Text, pairs: list[tuple[int, int]]) -> Iterator[tuple[float, float]]:
+        """squares() of runs whose starts and stops both rise, in one pass over the words."""
+        counts: dict[str, int] = {}
+        a = b = 0
+        known = rest = 0.0
+        for start, stop in pairs:
+            if start > b:
+                counts, a, b, known, rest = {}, start, start, 0.0, 0.0
+            while a < start or b < stop:
+                step = -1 if a < start else 1
+                w = text.every[a] if step < 0 else text.every[b]
+                n, x = counts.get(w, 0), self.idf.get(w)
+                counts[w] = n + step
+                if x is None:
+                    rest += 2 * step * n + 1
+                else:
+                    known += (2 * step * n + 1) * x * x
+                a, b = (a + 1, b) if step < 0 else (a, b + 1)
+            yield known, rest
+
+    def best(self, text: Text, spans: dict[tuple[int, int], tuple[float, float]], live: list[int]) -> list[tuple[int, int]]:
+        """The spans that can have the greatest cosine of all, by bounds; of equal bags of words one."""
+        pairs, squares = np.array(list(spans)), np.array(list(spans.values()))
+        dot = np.max([text.dots[t][pairs[:, 1]] - text.dots[t][pairs[:, 0]] for t in live], axis=0)
+        least, most = (dot / np.sqrt(np.maximum(squares[:, 0], 0.0) + squares[:, 1] * x * x + 1e-30) for x in (self.rarest, 1.0))
+        keep = pairs[most >= max(self.threshold, float(least.max()) - 1e-6) - 1e-6]
+        bags = text.bags[keep[:, 1]] - text.bags[keep[:, 0]]
+        return [(int(a), int(b)) for a, b in {bag.tobytes(): pair for bag, pair in zip(bags, keep)}.values()]
+
     def candidate(self, found: list[str], live: list[int]) -> tuple[float, float, tuple]:
         """Least and greatest cosine that a bag of words can have, and what its exact cosine needs."""
         bag = Counter(found)
@@ -171,10 +216,13 @@ class Scanner:
             if found := words(line):
                 at += len(found)
                 ends.append(at)
-        spans = {(a, b) for a, b in zip([0, *ends], ends) if not self.triggers.isdisjoint(every[a:b])} | {(0, len(every))}
+        spans = {(a, b): self.squares(Counter(every[a:b])) for a, b in {*((a, b) for a, b in zip([0, *ends], ends) if not self.triggers.isdisjoint(every[a:b])), (0, len(every))}}
+        whole = Text(every, ends, self, live)
         for t in live:
-            spans |= self.runs(every, ends, t)
-        bags = {tuple(sorted(every[a:b])) for a, b in spans}
+            spans = self.runs(whole, t) | spans
+        bags = {tuple(sorted(every[a:b])) for a, b in self.best(whole, spans, live)}
+        if not bags:
+            return len(every), []
         found = [self.candidate(bag, live) for bag in bags]
         floor = max(self.threshold, max(least for least, _, _ in found)) - SLACK
         return len(every), sorted(c for _, most, c in found if most >= floor)
@@ -197,12 +245,13 @@ def scan_licences(files: DataFrame, id_column: str = "doc_id", path_column: str
             return pa.RecordBatch.from_arrays([pa.array([*totals, ""], pa.string()), pa.array([*totals.values(), files], pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in text_or_empty(batch.column("text")):
-                totals.update(set(words(text)))
-                files += 1
-                if len(totals) > COUNT_WORDS:
-                    yield counted()
-                    totals, files = Counter(), 0
+            for part in batch_rows(batch, "text"):
+                for text in text_or_empty(part.column("text")):
+                    totals.update(set(words(text)))
+                    files += 1
+                    if len(totals) > COUNT_WORDS:
+                        yield counted()
+                        totals, files = Counter(), 0
         yield counted()
 
     counted = materialize(own.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "licence-words")
@@ -212,7 +261,7 @@ def scan_licences(files: DataFrame, id_column: str = "doc_id", path_column: str
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, fields = Scanner(texts, frequencies, number, threshold), [f.name for f in CANDIDATES.value_type]
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_rows(whole, "text")):
             done = [scanner.scan(t) for t in text_or_empty(batch.column("text"))]
             found = pa.array([[dict(zip(fields, c)) for c in x] for _, x in done], CANDIDATES)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), pa.array([n for n, _ in done], pa.int64()), found], ["id", "path", "size", "found"])
