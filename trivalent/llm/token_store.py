@@ -159,7 +159,9 @@ def verify_store(spark: SparkSession, folder: str, root: str) -> None:
         raise ValueError("the recipes don't match the Merkle manifest")
 
 
-def _checked(payload: bytes, digest: bytes, unpack) -> bytes:
+def _checked(payload: bytes | None, digest: bytes, unpack) -> bytes:
+    if payload is None:
+        raise ValueError(f"chunk {digest.hex()} is lost")
     ids = unpack(payload, max_output_size=4 * MOST)
     if hashlib.blake2b(ids, digest_size=16).digest() != digest:
         raise ValueError(f"chunk {digest.hex()} doesn't match its digest")
@@ -216,18 +218,23 @@ def _document_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         first = np.asarray(parts.offsets, np.int64)
         flat = parts.values
         crcs, sizes = np.asarray(flat.field("crc"), np.int64), 4 * np.asarray(flat.field("n"), np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(joined_crc(crcs, sizes, first, tables).astype(np.int64))], ["row_id", "ids_crc32"])
+        tokens = np.diff(np.r_[0, np.cumsum(sizes // 4)][first])
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(np.diff(first)), pa.array(tokens), pa.array(joined_crc(crcs, sizes, first, tables).astype(np.int64))], ["row_id", "n_parts", "n_ids", "crc"])
 
 
 def document_digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the stored files: each chunk is read once, checked against
-    its digest and counted; a document's CRC is composed of its chunks' CRCs along the recipe."""
+    its digest and counted; a document's CRC is composed of its chunks' CRCs along the recipe. A document
+    whose recipe names a chunk that isn't stored, or whose chunks don't add up to its tokens, raises an error."""
     recipes = recipes_of(spark, folder)
     facts = chunks_of(spark, folder).mapInArrow(_chunk_facts, "digest binary, n long, crc long")
     used = recipes.select("row_id", F.posexplode("chunks").alias("pos", "digest"))
     parts = used.join(facts, "digest").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc"))).alias("parts"))
-    crcs = parts.mapInArrow(_document_crcs, "row_id long, ids_crc32 long")
-    return with_starts(spark, folder, recipes).join(crcs, "row_id").select("doc_id", "start", "n_tokens", "ids_crc32")
+    crcs = parts.mapInArrow(_document_crcs, "row_id long, n_parts long, n_ids long, crc long")
+    placed = with_starts(spark, folder, recipes.withColumn("n_chunks", F.size("chunks")).drop("chunks")).join(crcs, "row_id", "left")
+    whole = (F.col("n_parts") == F.col("n_chunks")) & (F.col("n_ids") == F.col("n_tokens"))
+    lost = F.raise_error(F.concat(F.lit("chunks are lost of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without doc_id")))).cast("long")
+    return placed.select("doc_id", "start", "n_tokens", F.when(F.coalesce(whole, F.lit(False)), F.col("crc")).otherwise(lost).alias("ids_crc32"))
 
 
 def with_starts(spark: SparkSession, folder: str, recipes: DataFrame) -> DataFrame:
@@ -243,14 +250,16 @@ def with_starts(spark: SparkSession, folder: str, recipes: DataFrame) -> DataFra
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, ids: every document put together again from its chunks."""
-    used = recipes_of(spark, folder).select("row_id", "doc_id", F.posexplode("chunks").alias("pos", "digest"))
-    joined = used.join(chunks_of(spark, folder), "digest").groupBy("row_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "payload"))).alias("parts"))
+    """doc_id, ids: every document put together again from its chunks; a lost chunk raises an error."""
+    used = recipes_of(spark, folder).select("row_id", "doc_id", "n_tokens", F.posexplode("chunks").alias("pos", "digest"))
+    joined = used.join(chunks_of(spark, folder), "digest", "left").groupBy("row_id", "doc_id", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "payload"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ids = [np.frombuffer(b"".join(_checked(p["payload"], p["digest"], unpack) for p in parts), "<i4") for parts in batch.column("parts").to_pylist()]
+            if [len(x) for x in ids] != batch.column("n_tokens").to_pylist():
+                raise ValueError("chunks don't add up to a document's tokens")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return joined.mapInArrow(run, "doc_id long, ids array<int>")
