@@ -138,11 +138,18 @@ def _of_kind(kind: str):
     return lambda span: span["kind"] == kind
 
 
-def find_secrets(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with base_spans and all_spans, arrays of (start, rank, end, kind) by start and kind."""
+def find_secrets(docs: DataFrame, text_column: str = "text", base_name: str = "base_spans", all_name: str = "all_spans") -> DataFrame:
+    """docs with base_name and all_name, arrays of (start, rank, end, kind) by start and kind."""
     text = F.coalesce(docs[text_column], F.lit(""))
-    base = docs.withColumn("base_spans", F.array_sort(F.concat(*(_spans(text, p, rank) for rank, p in enumerate(PATTERNS)))))
-    return base.withColumn("all_spans", F.array_sort(F.concat("base_spans", _entropy_spans(text, F.col("base_spans")))))
+    base = docs.withColumn(base_name, F.array_sort(F.concat(*(_spans(text, p, rank) for rank, p in enumerate(PATTERNS)))))
+    return base.withColumn(all_name, F.array_sort(F.concat(base_name, _entropy_spans(text, F.col(base_name)))))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """name, or name with as many underlines as make it none of those taken, whatever their case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -155,9 +162,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with every span replaced by mark, overlapping ones by one; other columns stay, null text stays null."""
     names = docs.columns
-    text = F.col(text_column)
+    text, base, every = F.col(text_column), _free("base_spans", names), _free("all_spans", names)
     done = F.aggregate(
-        "all_spans",
+        every,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.when(
             x["start"] >= s["at"],
@@ -165,4 +172,4 @@ def redact(docs: DataFrame, text_column: str = "text", mark: str = "[secret]") -
         ).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))),
         lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))),
     )
-    return find_secrets(docs, text_column).withColumn(text_column, F.when(F.size("all_spans") > 0, done).otherwise(text)).select(*names)
+    return find_secrets(docs, text_column, base, every).withColumn(text_column, F.when(F.size(every) > 0, done).otherwise(text)).select(*names)
