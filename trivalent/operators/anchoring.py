@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivalent.functions.text import normalize_search_text
-from trivalent.plans.lineage import cut
+from trivalent.plans.lineage import written
 
 #: What ends a line of a record's text.
 LINE_END = "\\r\\n|[\\n\\r\\u000B\\u000C\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029]"
@@ -59,7 +59,7 @@ def record_anchors(records: DataFrame, nodes: DataFrame, normalize: Callable[[Co
     valid = F.expr("pages is not null and forall(pages, p -> p is not null)")
     lines = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.transform(_text_lines(F.col("text"), normalize), lambda x: F.struct(F.xxhash64(x).alias("h"), F.md5(x).alias("d"))))
     own = records.select("document", "record", "pages", "spans", valid.alias("valid"), F.when(valid, F.concat_ws(",", F.transform(F.array_sort(F.array_distinct("pages")), lambda p: p.cast("string")))).alias("range"), lines.alias("lines"))
-    own = cut(own.withColumn("width", F.size("lines")))
+    own = written(own.withColumn("width", F.size("lines")))
 
     # Lines go on as a hash to meet by and a digest to be compared by; texts come back for what was found.
     ranges = own.where("valid").select("document", "range", "pages").dropDuplicates(["document", "range"])
@@ -71,7 +71,7 @@ def record_anchors(records: DataFrame, nodes: DataFrame, normalize: Callable[[Co
     by_place = Window.partitionBy("document", "range").orderBy("place", "span")
     lined = asked.join(bare, ["document", "page"]).withColumn("at", F.row_number().over(by_place) - 1)
     lined = lined.withColumn("upto", F.bit_xor(_turned("h", "at")).over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    lined = cut(lined.withColumn("before", F.lag("upto", 1, 0).over(by_place)).select("document", "range", "at", "place", "span", "d", "blank", "upto", "before"))
+    lined = written(lined.withColumn("before", F.lag("upto", 1, 0).over(by_place)).select("document", "range", "at", "place", "span", "d", "blank", "upto", "before"))
 
     # Runs of every width that a record without claimed spans asks for.
     fresh = own.where("valid and coalesce(size(spans), 0) <= 0 and width > 0")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivalent.operators.trees import walked
+from trivalent.plans.lineage import written
 
 
 def _rows(rows: DataFrame, breach: str, item: str) -> DataFrame:
@@ -79,7 +80,7 @@ def audit_spans(nodes: DataFrame, lines: DataFrame) -> list[DataFrame]:
         _rows(uses.where("n > 1"), "SPAN_TWICE", "span"),
         _rows(met.where("_text is null"), "UNKNOWN_SPAN", "span"),
         _rows(met.where("_spans = 1 and _text <> text"), "CONTENT_DIFFERS", "node"),
-        _rows(_anti(lines.where("trim(text) <> ''"), anchors, "document", "span"), "UNCOVERED", "span"),
+        _rows(_anti(lines.where("not blank"), anchors, "document", "span"), "UNCOVERED", "span"),
     ]
 
 
@@ -99,8 +100,11 @@ def audit_graph(nodes: DataFrame, pages: DataFrame, lines: DataFrame, records: D
 
     nodes: document, node, page, place (from 1), parent, children, spans, text. pages: document,
     page, members (nodes in order). lines: document, page, span, text. records and listed: document, collection,
-    record, page. Null lists are empty; names are strings, places and pages numbers.
+    record, page. Null lists are empty; names are strings, places and pages numbers. All are written
+    once, texts as digests, since each of the checks reads a few of their columns.
     """
+    nodes, lines = written(nodes.withColumn("text", F.md5("text"))), written(lines.select("document", "page", "span", F.md5("text").alias("text"), (F.trim("text") == "").alias("blank")))
+    pages, records, listed = written(pages), written(records), written(listed)
     found = [*audit_nodes(nodes), *audit_pages(nodes, pages), *audit_spans(nodes, lines), *audit_records(records, listed)]
     return reduce(DataFrame.unionByName, found)
 

@@ -1,18 +1,31 @@
-"""Cutting the lineage of iterated plans."""
+"""Cutting the lineage of iterated plans, and writing what many parts of a plan read."""
 
 from __future__ import annotations
 
 import getpass
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; on a machine of its own, as in tests, one below /tmp where it names none."""
+    setting = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not setting and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (setting or f"file:///tmp/checkpoints/{getpass.getuser()}").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names; on a machine of its own, as in tests, below /tmp where it names none."""
+    """df as a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        setting = context.getConf().get("spark.checkpoint.dir")
-        if not setting and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(setting or f"file:///tmp/checkpoints/{getpass.getuser()}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder: for tables that many parts of a plan read, each a few of their columns."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
