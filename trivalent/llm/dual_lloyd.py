@@ -226,5 +226,6 @@ def kmeans(vectors: DataFrame, clusters: int = 16, rounds: int = 3, size: int =
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(label.astype(np.int32)), pa.array(far), pa.array([digests[c] for c in label.tolist()], pa.string())], ["vec_id", "cluster", "distance", "centroid_sha256"])
 
     found = materialize(trees.mapInArrow(assigned, "vec_id long, cluster int, distance long, centroid_sha256 string"), "assigned")
-    inertia = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia")).crossJoin(F.broadcast(found.agg(F.sum("distance").alias("inertia"))))
-    return found.join(F.broadcast(inertia), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    sums = {r["cluster"]: int(r["d"]) for r in found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()}  # a row a cluster
+    inertia = vectors.sparkSession.createDataFrame([(c, d) for c, d in sums.items()], "cluster int, cluster_inertia long")
+    return found.join(F.broadcast(inertia), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", F.lit(sum(sums.values())).cast("long").alias("inertia"), "centroid_sha256")
