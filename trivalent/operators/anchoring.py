@@ -39,8 +39,9 @@ def _turned(hash_: str, by: str) -> Column:
 
 
 def _text_lines(text: Column, normalize: Callable[[Column], Column]) -> Column:
-    whole = F.filter(F.split(text, LINE_END), lambda x: F.trim(x) != "")
-    return F.transform(whole, normalize)
+    """The text's lines that aren't blank, normalised; the text goes through `normalize` as a whole, which leaves line feeds alone."""
+    whole = F.split(normalize(F.regexp_replace(text, LINE_END, "\n")), "\n")
+    return F.filter(F.transform(whole, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def record_anchors(records: DataFrame, nodes: DataFrame, normalize: Callable[[Column], Column] = searchable) -> DataFrame:
@@ -57,8 +58,8 @@ def record_anchors(records: DataFrame, nodes: DataFrame, normalize: Callable[[Co
     a record don't count, blank lines of the source do, so a run doesn't cross them; empty tables give no rows.
     """
     valid = F.expr("pages is not null and forall(pages, p -> p is not null)")
-    lines = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.transform(_text_lines(F.col("text"), normalize), lambda x: F.struct(F.xxhash64(x).alias("h"), F.md5(x).alias("d"))))
-    own = records.select("document", "record", "pages", "spans", valid.alias("valid"), F.when(valid, F.concat_ws(",", F.transform(F.array_sort(F.array_distinct("pages")), lambda p: p.cast("string")))).alias("range"), lines.alias("lines"))
+    lines = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.md5(x).alias("d"))))
+    own = records.withColumn("_lines", _text_lines(F.col("text"), normalize)).select("document", "record", "pages", "spans", valid.alias("valid"), F.when(valid, F.concat_ws(",", F.transform(F.array_sort(F.array_distinct("pages")), lambda p: p.cast("string")))).alias("range"), lines.alias("lines"))
     own = written(own.withColumn("width", F.size("lines")))
 
     # Lines go on as a hash to meet by and a digest to be compared by; texts come back for what was found.

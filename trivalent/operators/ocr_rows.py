@@ -23,8 +23,9 @@ BLANK = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 def confidence(score: Column) -> Column:
-    """A score from 0 to 1 as a whole number to FULL, half to even, clamped; null is 0."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(FULL), F.rint(score * FULL).cast("int"))), F.lit(0))
+    """A score from 0 to 1 as a whole number to FULL, half to even, clamped; null and NaN are 0."""
+    known = F.nanvl(F.coalesce(score.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(float(FULL)), F.rint(known * FULL))).cast("int")
 
 
 def box(points: Column) -> Column:
