@@ -1,11 +1,12 @@
 """Anchors, alignment, rows of tokens, ranges, graphs, files in ranges, projections, releases and publication on small cases."""
 
 import random
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
-from trivalent.operators import anchoring, intervals, ocr_rows, projection, publication, release, source_graph
+from trivalent.operators import anchoring, intervals, links, ocr_rows, projection, publication, release, source_graph
 from trivalent.sources.pieces import numbered_lines, passed, statements
 
 NODES = [("d", p, n, f"s{n}", line) for n, (p, line) in enumerate([(1, "one"), (1, " two  "), (1, "three"), (2, "one"), (2, "كتاب ۱۲"), (2, ""), (3, "last"), (3, "one")])]
@@ -202,3 +203,50 @@ def test_each_candidate_once(spark):
     assert {r.reason for r in publication.outcomes(**wrong).collect()} == {"VALIDATOR_RECONCILIATION_FAILED"}
     empty = given | {"merges": merges.withColumn("sources", F.expr("if(merge = 'm2', array(), sources)"))}
     assert [r.fault for r in publication.faults(**empty).collect()] == ["INVALID_SOURCES"]
+
+
+class Anchors(HTMLParser):
+    """The plain machine: (number of the anchor, href, label)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.href, self.text, self.place, self.found = None, [], 0, []
+
+    def end(self):
+        if self.href is not None:
+            self.found.append((self.place, self.href.strip(), " ".join("".join(self.text).split())))
+        self.href, self.text = None, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.end()
+            self.href, self.place = dict(attrs).get("href"), self.place + 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.end()
+
+    def handle_data(self, data):
+        self.text.append(data)
+
+
+def test_page_links(spark):
+    """Nested, unclosed and self-closed anchors, references, comments, quotes that hold >, scripts, pages without any."""
+    pages = [
+        "<a href='http://x'>one<b>two</b><a href=\"https://y?a=1&amp;b=2\">three</a>four", "<a>none</a><a href=>x</a><a href=http://q>un<!-- c --> closed &eacute; &lt;b&gt;", "<A HREF='a' href='http://last'/>after", "<a name=x href = \"http://z\" >  l \n l </a x>",
+        "x < y <a href='http://s'>a < b</a>", "<a href='http://k'><script>var a='</b>';</script>t</a>", None, "", "<abbr href='http://no'>n</abbr><a\nhref='ftp://f'>f</a>", "<p title='a > b'><a href='http://g' title='>'>g</a></p></a>", "plain",
+    ]
+    want = []
+    for key, html in enumerate(pages):
+        parser = Anchors()
+        parser.feed(html or "")
+        parser.close()
+        parser.end()
+        want += [(key, *x) for x in parser.found]
+    df = spark.createDataFrame(list(enumerate(pages)), "k long, html string")
+    assert sorted(map(tuple, links.page_links(df, "k", "html", None).collect())) == sorted(want)
+    assert {r.href for r in links.page_links(df, "k", "html").collect()} == {h for *_, h, _ in want if h.startswith("http")}

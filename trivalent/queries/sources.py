@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trivalent.operators import anchoring, intervals, ocr_rows, source_graph, windows
+from trivalent.operators import anchoring, intervals, links, ocr_rows, source_graph, windows
 from trivalent.queries.corpus import LINES, ROUTE, document_lines, page_route
 from trivalent.queries.rules import table
 
@@ -120,7 +120,13 @@ def audit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_graph.audit_graph(**planted_graph(spark, sf_dir)).withColumnRenamed("document", "doc_id")
 
 
-QUERIES = {"audit_graph": audit_graph, "record_anchors": record_anchors, "line_alignment": line_alignment, "ocr_lines": ocr_lines, "first_bundle": first_bundle, "bundle_assembly": bundle_assembly}
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor of every page; every fifth page loses its end tags, every seventh has its anchors' tags in capitals."""
+    torn = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("html", "</a>", "")).when(F.col("page_id") % 7 == 0, F.replace(F.replace("html", F.lit("<a "), F.lit("<A class='x>y' ")), F.lit("</a>"), F.lit("</A >"))).otherwise(F.col("html"))
+    return links.page_links(table(spark, sf_dir, "pages").withColumn("html", torn), "page_id", "html", None)
+
+
+QUERIES = {"audit_graph": audit_graph, "page_links": page_links, "record_anchors": record_anchors, "line_alignment": line_alignment, "ocr_lines": ocr_lines, "first_bundle": first_bundle, "bundle_assembly": bundle_assembly}
 
 _PLAIN = r"trim(regexp_replace({}, '[ \t]+', ' ', 'g'))"
 _NODES = f"select doc_id as document, place // {PAGE_LINES} as page, place, doc_id || ':' || place as span, line from {LINES}"
@@ -180,4 +186,11 @@ ORACLES = {
  union all select doc_id, 'SPAN_TWICE', span from nodes group by doc_id, span having count(*) > 1 union all select n.doc_id, 'CONTENT_DIFFERS', n.node from nodes n join l on l.doc_id = n.doc_id and n.span = l.doc_id || ':' || l.place and l.page = n.page where l.line <> n.text
  union all select l.doc_id, 'UNCOVERED', l.doc_id || ':' || l.place from l anti join nodes n on n.doc_id = l.doc_id and n.span = l.doc_id || ':' || l.place where trim(line) <> ''
  union all select a.doc_id, 'RECORD_NOT_LISTED', a.record from records a anti join listed b on a.doc_id = b.doc_id and a.record = b.record and a.page = b.page union all select a.doc_id, 'LISTED_WITHOUT_RECORD', a.record from listed a anti join records b on a.doc_id = b.doc_id and a.record = b.record and a.page = b.page""",
+    "page_links": r"""with torn as (select page_id, case when page_id % 5 = 0 then replace(html, '</a>', '') when page_id % 7 = 0 then replace(replace(html, '<a ', '<A class=''x>y'' '), '</a>', '</A >') else html end as html from pages),
+ listed as (select page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<[!?][^>]*>|(?i:<script[^>]*>.*?</script>|<style[^>]*>.*?</style>)|</?[A-Za-z](?:"[^"]*"|''[^'']*''|[^''">])*>|[^<]+|<') as a from torn),
+ tokens as (select page_id, unnest(a) as token, generate_subscripts(a, 1) as i from listed),
+ placed as (select *, regexp_matches(token, '(?i)^<a[\s/>]') as opens, regexp_matches(token, '(?i)^</a[\s/>]') or regexp_matches(token, '(?i)^<a[\s/].*/>$') as closes, sum(regexp_matches(token, '(?i)^<a[\s/>]')::int) over (partition by page_id order by i) as place from tokens),
+ held as (select *, sum(closes::int) over (partition by page_id, place order by i) as ended from placed where place > 0),
+ links as (select page_id, place, max(if(opens, regexp_extract(token, '(?i)\shref\s*=\s*"([^"]*)"', 1), null)) as href, coalesce(string_agg(regexp_replace(token, '(?is)^<(?:script|style)[^>]*>(.*)</(?:script|style)>$', '\1'), '' order by i) filter (not opens and ended = 0 and (not regexp_matches(token, '^<[!?/A-Za-z]') or regexp_matches(token, '(?i)^<(script|style)'))), '') as label from held group by 1, 2)
+ select page_id, place, replace(href, '&amp;', '&') as href, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(label, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as label from links""",
 }
