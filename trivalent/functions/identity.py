@@ -55,8 +55,8 @@ def page_of_id(identifier: Column) -> Column:
     return F.nullif(F.regexp_extract(identifier, r":page:(\d{6})(?::|$)", 1), F.lit("")).cast("int")
 
 
-def candidate_key(document: Column, record: Column, rule: Column, extraction: Column) -> Column:
-    return F.concat(F.lit("inbr-"), F.sha2(F.concat_ws("\u0000", document, record, rule, extraction), 256))
+def candidate_key(prefix: str, document: Column, record: Column, rule: Column, extraction: Column) -> Column:
+    return F.concat(F.lit(prefix), F.sha2(F.concat_ws("\u0000", document, record, rule, extraction), 256))
 
 
 def document_key_parts(key: Column) -> Column:

@@ -13,7 +13,11 @@ def qualified(records: DataFrame, scope: str, kind: str, name: str, order: str,
 
 
 def with_items(records: DataFrame, items: DataFrame, scope: str, item: str, outcome: str) -> DataFrame:
-    """Each record's outcome: that of the item of its qualified name, or else of its bare one if no other record shares that; `unprocessed` without either."""
+    """Each record's outcome: that of the item of its qualified name, or else of its bare one if no other record shares that; `unprocessed` without either.
+
+    An item that repeats has no outcome of its own: its record is `repeated_item`, and repeated_items() names it.
+    """
+    items = items.groupBy(scope, item).agg(F.when(F.count("*") == 1, F.min(outcome)).otherwise("repeated_item").alias(outcome))
     alone = records.groupBy(scope, "bare").agg(F.count("*").alias("alike"))
     named = items.select(scope, F.col(item).alias("record"), F.col(outcome).alias("by_record"))
     bare = items.select(scope, F.col(item).alias("bare"), F.col(outcome).alias("by_bare"))
@@ -21,6 +25,11 @@ def with_items(records: DataFrame, items: DataFrame, scope: str, item: str, outc
     return joined.select(scope, "record", F.coalesce("by_record", F.when(F.col("alike") == 1, F.col("by_bare")), F.lit("unprocessed")).alias("outcome"))
 
 
+def repeated_items(items: DataFrame, scope: str, item: str) -> DataFrame:
+    """Items that a scope has more than once: violations."""
+    return items.groupBy(scope, item).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def unmatched_items(records: DataFrame, items: DataFrame, scope: str, item: str) -> DataFrame:
     """Items that no record's qualified or bare name answers to: violations."""
     names = records.select(scope, F.col("record").alias(item)).union(records.select(scope, F.col("bare"))).distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trivalent.queries import corpus, publication, records, rules, sources, structure, texts, transcription, work
+from trivalent.queries import corpus, publication, records, rules, sources, structure, texts, transcription, values, work
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**rules.QUERIES, **corpus.QUERIES, **records.QUERIES, **structure.QUERIES, **transcription.QUERIES, **texts.QUERIES, **sources.QUERIES, **work.QUERIES, **publication.QUERIES}
-ORACLES: dict[str, str] = {**rules.ORACLES, **corpus.ORACLES, **records.ORACLES, **structure.ORACLES, **transcription.ORACLES, **texts.ORACLES, **sources.ORACLES, **work.ORACLES, **publication.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**rules.QUERIES, **corpus.QUERIES, **records.QUERIES, **structure.QUERIES, **transcription.QUERIES, **texts.QUERIES, **sources.QUERIES, **work.QUERIES, **publication.QUERIES, **values.QUERIES}
+ORACLES: dict[str, str] = {**rules.ORACLES, **corpus.ORACLES, **records.ORACLES, **structure.ORACLES, **transcription.ORACLES, **texts.ORACLES, **sources.ORACLES, **work.ORACLES, **publication.ORACLES, **values.ORACLES}

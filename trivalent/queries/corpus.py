@@ -35,8 +35,10 @@ def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("۱۲۳",), ("٤٥٦ م",), ("صفحه ۹۸٫۷",), ("plain 42",), ("",)]
-    return spark.createDataFrame(rows, "text string").withColumn("digits", text.ascii_digits(F.col("text")))
+    """Numbers of documents written in Persian, Arabic and ASCII digits by turns, beside letters and separators, and the ASCII view of them."""
+    plain = F.expr("cast(doc_id * 7919 + n_chars as string)")
+    written = F.when(F.col("doc_id") % 3 == 0, F.translate(plain, "0123456789", text.PERSIAN_DIGITS)).when(F.col("doc_id") % 3 == 1, F.translate(plain, "0123456789", text.ARABIC_DIGITS)).otherwise(plain)
+    return table(spark, sf_dir, "documents").select("doc_id", text.ascii_digits(F.concat(F.lit("ص "), written, F.lit("٫ م²"))).alias("digits"))
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +118,7 @@ QUERIES = {
 ORACLES = {
     "page_route": ROUTE,
     "route_counts": f"select classification, route, state, count(*) as pages from ({ROUTE}) group by all",
-    "digit_view": "select text, translate(text, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789') as digits from (values ('۱۲۳'), ('٤٥٦ م'), ('صفحه ۹۸٫۷'), ('plain 42'), ('')) v(text)",
+    "digit_view": "select doc_id, 'ص ' || (doc_id * 7919 + n_chars) || '٫ م²' as digits from documents",
     "html_project": f"select page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) as title, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as links, length({TEXT_SQL}) as text_chars from pages",
     "page_hosts": "select lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) as origin, count(*) as n_pages, sum(strlen(html))::bigint as html_bytes from pages group by 1",
     "link_diff": f"with l as (select line from {EVEN}), r as (select line from {ODD}) select line, 'left' as side, count(*) as n from (select * from l except all select * from r) group by 1 union all select line, 'right', count(*) from (select * from r except all select * from l) group by 1",

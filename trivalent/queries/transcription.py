@@ -16,9 +16,10 @@ def token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with why each holds a table-like region, if it does; brackets and signs of equality stand for shapes."""
+    """Documents with why each holds a table-like region, if it does; commas stand for shapes, and each line ends with its own length."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    reasons = transcription.table_reasons(F.regexp_count("text", F.lit("[=<>(){}]")), F.split("text", "\n"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.concat_ws(" ", x, F.length(x).cast("string")))
+    reasons = transcription.table_reasons(F.regexp_count("text", F.lit(",")), lines)
     return docs.select("doc_id", F.array_join(reasons, ",").alias("reasons"))
 
 
@@ -44,7 +45,7 @@ QUERIES = {"token_scores": token_scores, "table_regions": table_regions, "bundle
 ORACLES = {
     "token_scores": """select c_custkey, count(o_orderkey) as tokens, coalesce((sum(o_orderkey % 10001) // count(o_orderkey))::bigint, 0) as mean_confidence, count(o_orderkey) < 20 or coalesce(sum(o_orderkey % 10001) // count(o_orderkey), 0) < 6000 as dense
  from customer left join orders on o_custkey = c_custkey group by 1""",
-    "table_regions": r"""with r as (select doc_id, len(regexp_extract_all(text, '[=<>(){}]')) >= 8 as shapes, len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '[^\p{Nd}]', '', 'g')) >= 3)) >= 4 as numeric from documents where text is not null)
+    "table_regions": r"""with r as (select doc_id, len(regexp_extract_all(text, ',')) >= 8 as shapes, len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x || ' ' || length(x), '[^\p{Nd}]', '', 'g')) >= 3)) >= 4 as numeric from documents where text is not null)
  select doc_id, concat_ws(',', if(shapes, 'MANY_VECTOR_SHAPES', null), if(numeric, 'MULTIPLE_NUMERIC_LINES', null)) as reasons from r""",
     "bundle_breaches": """with p as (select user_id, row_number() over (partition by user_id order by event_id) as page, event_type = 'purchase' as failed from events),
  b as (select user_id, (page - 1) // 5 as b, min(page) as first, max(page) as last from p group by 1, 2 having (page - 1) // 5 % 4 <> 2),
