@@ -250,3 +250,28 @@ def test_page_links(spark):
     df = spark.createDataFrame(list(enumerate(pages)), "k long, html string")
     assert sorted(map(tuple, links.page_links(df, "k", "html", None).collect())) == sorted(want)
     assert {r.href for r in links.page_links(df, "k", "html").collect()} == {h for *_, h, _ in want if h.startswith("http")}
+
+
+def test_chunk_orders(spark):
+    from trivalent.operators import books
+
+    sha = "0" * 64
+    documents = spark.createDataFrame([("d", "ready", sha, 2)], "document string, state string, sha256 string, page_count long")
+    jobs = spark.createDataFrame([("a", "d", 1, sha), ("b", "d", 1, sha), ("c", "d", 4, sha)], "job string, document string, chunk_order long, source_sha256 string")
+    pages = spark.createDataFrame([(j, 1, p, f"sha256:{sha}:page:{p:06d}", o) for j, p, o in (("a", 1, False), ("b", 2, False), ("c", 2, True))], "job string, place long, page long, page_id string, overlap boolean")
+    ledger = spark.createDataFrame([(j, "completed") for j in "abc"], "job string, status string")
+    readings = pages.select("job", "place", "page_id", F.concat("job", F.lit("")).alias("text"))
+    assert sorted((r.fault, r.item) for r in books.queue_faults(documents, jobs, pages, ledger, readings).collect()) == [("CHUNK_ORDER", "a"), ("CHUNK_ORDER", "c")]
+    read = books.book_pages(jobs, pages, ledger, readings)
+    assert {(r.page, r.overlap): r.agrees for r in read.collect()} == {(1, False): None, (2, False): None, (2, True): False}
+    assert tuple(books.assembly_report(books.books(documents, read), ledger).first()) == (3, 3, 1, 1, 2, 2, 1, True)
+
+
+def test_citations(spark):
+    from trivalent.operators import contracts
+
+    rows = [(1, '{"a": 1, "a": 2}'), (2, "{}"), (3, None)]
+    got = {}
+    for r in contracts.citation_faults(spark.createDataFrame(rows, "k long, c string"), "k", "c").collect():
+        got.setdefault(r.k, set()).add(r.fault)
+    assert got[1] == {"NOT_AN_OBJECT"} and got[3] == {"NO_CITATION"} and {"NO_DOCUMENT", "NO_PAGE", "UNKNOWN_STATUS", "NO_NODES", "NO_SPANS"} <= got[2]
