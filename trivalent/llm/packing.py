@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 from trivalent.llm.shared import batch_rows, materialize, release_memory
 from trivalent.llm.word_ids import word_ids
 
+#: Distinct words that a worker keeps: fewer than the token store's, since packing follows other stages in the same workers.
+KEPT_WORDS = 300_000
+
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(tokenizer)
+        encoder = word_ids(tokenizer, KEPT_WORDS)
         for whole in batches:
             for batch in batch_rows(whole, "text", 4 << 20):
                 ids, first = encoder.encode(batch.column("text"))

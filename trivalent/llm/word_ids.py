@@ -34,7 +34,8 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = CACHE_WORDS):
+        self.keep = keep
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -98,7 +99,7 @@ class WordIds:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         distinct, sample, which = np.unique(hash_words(raw, starts, ends), return_index=True, return_inverse=True)
         keys = distinct.tolist()
-        if len(self.rows) > CACHE_WORDS:
+        if len(self.rows) > self.keep:
             self.clear()
         rows = list(map(self.rows.get, keys))
         missing = [i for i, r in enumerate(rows) if r is None]
@@ -112,5 +113,5 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, keep: int = CACHE_WORDS) -> WordIds:
+    return WordIds(path, keep)
