@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trivalent.llm.shared import batch_rows, materialize, text_or_empty
+from trivalent.llm.shared import batch_rows, materialize, release_memory, text_or_empty
 
 # Notices and headers of common licences; whole texts are in licence_texts.
 NOTICES = {
@@ -253,6 +253,8 @@ def scan_licences(files: DataFrame, id_column: str = "doc_id", path_column: str
                         yield counted()
                         totals, files = Counter(), 0
         yield counted()
+        totals.clear()
+        release_memory()
 
     counted = materialize(own.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "licence-words")
     # As many rows as the templates have words come to the driver.
@@ -265,6 +267,7 @@ def scan_licences(files: DataFrame, id_column: str = "doc_id", path_column: str
             done = [scanner.scan(t) for t in text_or_empty(batch.column("text"))]
             found = pa.array([[dict(zip(fields, c)) for c in x] for _, x in done], CANDIDATES)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), pa.array([n for n, _ in done], pa.int64()), found], ["id", "path", "size", "found"])
+        release_memory()
 
     kind = own.schema["id"].dataType.simpleString()
     rows = materialize(own.mapInArrow(scan, f"id {kind}, path string, size long, found {FOUND}").withColumn("row", F.monotonically_increasing_id()), "licence-candidates")
