@@ -4,7 +4,7 @@ record_anchors finds where a record's own lines stand, once and contiguous, amon
 its own pages. Every range of pages gets prefix hashes of its normalised lines (a cyclic
 polynomial: line hashes turned by their place and folded by exclusive or), so that the hash of a run
 of any width is two prefixes folded and turned back. Runs of the widths that are asked for meet
-the records by an equi-join on (document, pages, width, hash) and are then compared line by line (by digest).
+the records by an equi-join on (document, pages, width, hash) and are then compared line by line (by a second hash).
 Work is in the lines of a range times its distinct widths, never records times lines.
 
 greedy_alignment links each canonical line to the next alternate line of the same text behind
@@ -58,15 +58,15 @@ def record_anchors(records: DataFrame, nodes: DataFrame, normalize: Callable[[Co
     a record don't count, blank lines of the source do, so a run doesn't cross them; empty tables give no rows.
     """
     valid = F.expr("pages is not null and forall(pages, p -> p is not null)")
-    lines = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.md5(x).alias("d"))))
+    lines = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("d"))))
     own = records.withColumn("_lines", _text_lines(F.col("text"), normalize)).select("document", "record", "pages", "spans", valid.alias("valid"), F.when(valid, F.concat_ws(",", F.transform(F.array_sort(F.array_distinct("pages")), lambda p: p.cast("string")))).alias("range"), lines.alias("lines"))
     own = written(own.withColumn("width", F.size("lines")))
 
-    # Lines go on as a hash to meet by and a digest to be compared by; texts come back for what was found.
+    # Lines go on as two hashes, one to meet by and one to be compared by; texts come back for what was found.
     ranges = own.where("valid").select("document", "range", "pages").dropDuplicates(["document", "range"])
     asked = ranges.select("document", "range", F.explode(F.array_distinct("pages")).alias("page"))
     norm = normalize(F.col("line"))
-    bare = nodes.select("document", "page", "place", "span", F.xxhash64(norm).alias("h"), F.md5(norm).alias("d"), (norm == "").alias("blank"))
+    bare = nodes.select("document", "page", "place", "span", F.xxhash64(norm).alias("h"), F.xxhash64(norm, F.lit(1)).alias("d"), (norm == "").alias("blank"))
     there = nodes.select("document", "page").distinct()
     unknown = asked.join(there, ["document", "page"], "left_anti").select("document", "range").distinct().withColumn("unknown", F.lit(True))
     by_place = Window.partitionBy("document", "range").orderBy("place", "span")
@@ -93,7 +93,7 @@ def record_anchors(records: DataFrame, nodes: DataFrame, normalize: Callable[[Co
 
     joined = own.join(unknown, ["document", "range"], "left").join(found, ["document", "record"], "left").join(held, ["document", "record"], "left")
     claims, odd_claims = F.expr("coalesce(size(spans), 0) > 0"), F.expr("exists(spans, s -> s is null)")
-    same_text = F.expr("transform(filter(claimed, c -> not c.blank), c -> c.d) = coalesce(lines.d, cast(array() as array<string>))")
+    same_text = F.expr("transform(filter(claimed, c -> not c.blank), c -> c.d) = coalesce(lines.d, cast(array() as array<bigint>))")
     reason = (
         F.when(~F.col("valid"), "invalid_source_page_ids").when(F.col("unknown"), "unknown_source_page").when(odd_claims, "invalid_source_span_ids")
         .when(claims & ~F.expr("coalesce(on_pages, 0) = size(spans)"), "span_not_on_source_page").when(claims & ~(F.col("runs") & same_text), "existing_spans_do_not_match_record_text").when(claims, None)
@@ -104,6 +104,7 @@ def record_anchors(records: DataFrame, nodes: DataFrame, normalize: Callable[[Co
     bare_run = lambda column: F.expr(f"transform(array_sort({column}), c -> struct(c.place, c.span))")
     run = F.when(F.col("reason").isNull(), F.when(claims, bare_run("claimed")).otherwise(bare_run("run")))
     judged = joined.select("document", "record", status.alias("status"), "reason", F.coalesce("matches", F.lit(0)).alias("matches"), run.alias("run"))
+    judged = written(judged)
     # Source texts, once a document, meet all its records' runs.
     texts = nodes.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("place", "span"), "line"))).alias("texts"))
     told = judged.where("run is not null").join(texts, "document").select("document", "record", "status", "reason", "matches", F.col("run.span").alias("spans"), F.sha2(F.array_join(F.transform("run", lambda r: F.col("texts")[r]), "\n"), 256).alias("exact_sha256"))
