@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from trivalent.llm import licences, token_store
+from trivalent.llm import licences, token_store, warc
 from trivalent.llm import queries as llm
 
 
@@ -122,3 +122,28 @@ def test_stages_on_odd_rows(spark, sf):
     assert kept == Counter({(1, words): 1, (None, rows[2][1]): 1, (2, None): 1, (3, ""): 1, (4, "[secret] in a line"): 1})
     packed = corpus_pipeline.pack(spark, docs, sf).collect()
     assert len(packed) == 5
+
+
+def test_incomplete_captures_stay(spark, tmp_path):
+    """A capture that lost its request or metadata is as whole as its response; one that lost its response has nulls."""
+    pages = spark.createDataFrame([(n, f"http://h{n}.example/a?b={n}", f"<p>{n}</p>") for n in range(4)], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "w"))
+    records = warc.read_archive(spark, str(tmp_path / "w"))
+    torn = records.where("not (page_id = 0 and record_type = 'request') and not (page_id = 1 and record_type = 'metadata') and not (page_id = 2 and record_type = 'response')")
+    got = {r.page_id: (r.record_type, r.payload_bytes, r.uri) for r in warc.resolved(warc.assemble(torn)).collect()}
+    assert got == {0: ("response", 8, "http://h0.example/a?b=0"), 1: ("response", 8, "http://h1.example/a?b=1"), 2: (None, None, "http://h2.example/a?b=2"), 3: ("response", 8, "http://h3.example/a?b=3")}
+    assert {r.http_headers.split("\r\n")[0] for r in records.where("record_type = 'request'").collect()} == {f"GET /a?b={n} HTTP/1.1" for n in range(4)}
+
+
+def test_large_pages_in_small_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    pages = spark.createDataFrame([(n, None, str(n) * 600_000) for n in range(8)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(pages, str(tmp_path / "w"))
+    assert len(glob.glob(f"{tmp_path}/w/*.gz")) >= 4
+    got = {r.page_id: r.payload_bytes for r in warc.resolved(warc.assemble(warc.read_archive(spark, str(tmp_path / "w")))).collect()}
+    assert got == {n: 600_000 for n in range(8)}
+
+
+def test_request_blocks():
+    assert warc.request_block(None) == "GET / HTTP/1.1\r\n\r\n" and warc.request_block("http://[x") == "GET / HTTP/1.1\r\n\r\n"
+    assert warc.request_block("https://a.b:8/c d?e=f#g") == "GET /c%20d?e=f HTTP/1.1\r\nHost: a.b:8\r\n\r\n"
