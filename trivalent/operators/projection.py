@@ -64,13 +64,18 @@ def merged(snapshot: DataFrame, delta: DataFrame, keys: list[str], immutable: li
     return out.select(*keys, *names, change.alias("change"))
 
 
-def _manifests(spark: SparkSession, folder: str) -> DataFrame | None:
+def existing(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The table in a folder, None where there is none."""
     try:
-        return spark.read.parquet(f"{folder}/manifest")
+        return spark.read.parquet(folder)
     except AnalysisException:
         return None
 
 
+def _manifests(spark: SparkSession, folder: str) -> DataFrame | None:
+    return existing(spark, f"{folder}/manifest")
+
+
 def _digest(rows: DataFrame) -> tuple[int, str]:
     """Rows and a sum of their hashes, which is the same in any order."""
     counted = rows.agg(F.count("*"), F.sum(F.xxhash64(*(F.to_json(F.struct(F.col(c))) for c in sorted(rows.columns))).cast("decimal(38,0)"))).first()
