@@ -507,7 +507,11 @@ def _pairs(found: list) -> pa.Table:
 
 
 def _verify_blocks(order, size: int, threshold: int, part: pa.Table) -> pa.Table:
-    """Links between classes of two labels (or within one) of different components; rows: p, q, label, c, component, text."""
+    """Links between classes of two labels (or within one) of different components; rows: p, q, label, c, component, text.
+
+    Of the links of a pair of labels a spanning forest over their components is passed on: a link between components
+    that others have joined already tells nothing more.
+    """
     texts, own, found = _Texts(part["text"], size), order.value, []
     prefixes = [own.prefix(np.sort(own.keys(s)), threshold) for s in texts.sets]
     shared = np.array([x[1] for x in prefixes])
@@ -521,8 +525,11 @@ def _verify_blocks(order, size: int, threshold: int, part: pa.Table) -> pa.Table
         starts = np.concatenate([[0], np.cumsum(texts.sizes[right])[:-1]])
         heads, head_of = np.unique(np.concatenate([prefixes[i][0] for i in right.tolist()]), return_inverse=True)
         head_starts = np.concatenate([[0], np.cumsum([len(prefixes[i][0]) for i in right.tolist()])[:-1]]).astype(np.int64)
+        _, tree = np.unique(component[np.concatenate([left, right])], return_inverse=True)
+        tree_of, trees = dict(zip(np.concatenate([left, right]).tolist(), tree.tolist())), tree[len(left) :].copy()
+        root = np.arange(int(tree.max()) + 1)  # of each component its representative, always up to date
         for i in left.tolist():
-            ok = (component[right] != component[i]) & (texts.sizes[right] * 100 >= threshold * texts.sizes[i]) & (texts.sizes[i] * 100 >= threshold * texts.sizes[right])
+            ok = (root[trees] != root[tree_of[i]]) & (texts.sizes[right] * 100 >= threshold * texts.sizes[i]) & (texts.sizes[i] * 100 >= threshold * texts.sizes[right])
             if p[i] == q[i]:
                 ok &= c[right] > c[i]
             if not ok.any():
@@ -533,7 +540,11 @@ def _verify_blocks(order, size: int, threshold: int, part: pa.Table) -> pa.Table
                 continue
             overlap = np.add.reduceat(np.isin(vocabulary, texts.sets[i], assume_unique=True)[of].astype(np.int64), starts)
             ok &= linked(overlap, texts.sizes[right], texts.sizes[i], threshold)
-            found += [(int(c[i]), int(c[j])) for j in right[ok].tolist()]
+            for j in right[ok].tolist():
+                a, b = root[tree_of[i]], root[tree_of[j]]
+                if a != b:
+                    root[root == b] = a
+                    found.append((int(c[i]), int(c[j])))
     return _pairs(found)
 
 
