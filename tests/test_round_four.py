@@ -24,3 +24,8 @@ def test_references_cut_short(spark, tmp_path):
     got = rows_of(catalog.QUERIES["page_links"](spark, str(tmp_path)))
     assert got and got == oracle("page_links", tmp_path, "pages")
     assert ("/x?a=1&b", "one &&&amp", 1, 1) in got
+
+
+def test_graph_audit_is_read_from_parts(spark):
+    plan = catalog.QUERIES["audit_graph"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Exchange" not in plan and "Join" not in plan

@@ -7,19 +7,23 @@ documents that have an edge against their order: a parent that doesn't stand bef
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivalent.operators.trees import walked
-from trivalent.plans.lineage import written
+from trivalent.plans.lineage import gathered, written
 
 
 def _rows(rows: DataFrame, breach: str, item: str) -> DataFrame:
     return rows.select("document", F.lit(breach).alias("breach"), F.col(item).cast("string").alias("item"))
 
 
+def _cases(rows: DataFrame, cases: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Several breaches of the same rows, in one pass; cases: breach to its rule and item."""
+    told = [F.when(rule, F.struct(F.lit(breach).alias("breach"), F.col(item).cast("string").alias("item"))) for breach, (rule, item) in cases.items()]
+    return rows.select("document", F.inline(F.array_compact(F.array(*told))))
+
+
 def _anti(rows: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
     return rows.join(others.select(*keys).distinct(), list(keys), "left_anti")
 
@@ -31,9 +35,8 @@ def audit_nodes(nodes: DataFrame) -> list[DataFrame]:
     down = nodes.select("document", "node", F.explode("children").alias("child")).distinct()
     child = down.join(ids.select("document", F.col("node").alias("child"), F.col("parent").alias("_parent"), F.lit(True).alias("_known")), ["document", "child"], "left")
     up = ids.where("parent is not null").select("document", "node", "place", "parent").join(ids.select("document", F.col("node").alias("parent"), F.col("place").alias("_above")), ["document", "parent"], "left")
-    known = up.where("_above is not null")
-    listed = known.join(down.select("document", F.col("node").alias("parent"), F.col("child").alias("node")), ["document", "parent", "node"], "left_anti")
-    odd = known.where("_above >= place").select("document").distinct()
+    listed = up.join(down.select("document", F.col("node").alias("parent"), F.col("child").alias("node"), F.lit(True).alias("_listed")), ["document", "parent", "node"], "left")
+    odd = up.where("_above >= place").select("document").distinct()
     name = lambda column: F.concat_ws("\x1f", F.col("document").cast("string"), F.col(column))
     held = ids.join(odd, "document", "left_semi")
     walk = walked(held.select(name("node").alias("node"), F.when(F.col("parent").isNotNull(), name("parent")).alias("parent"))).where("state = 'cycle'")
@@ -41,10 +44,8 @@ def audit_nodes(nodes: DataFrame) -> list[DataFrame]:
     return [
         _rows(ids.where("n > 1"), "REPEATED_NODE", "node"),
         _rows(numbered.where("place is null or place <> _at"), "ORDER", "node"),
-        _rows(up.where("_above is null"), "ORPHAN", "node"),
-        _rows(child.where("_known is null"), "UNKNOWN_CHILD", "child"),
-        _rows(child.where("_known and not (_parent <=> node)"), "CHILD_NOT_RECIPROCAL", "child"),
-        _rows(listed, "PARENT_NOT_RECIPROCAL", "node"),
+        _cases(listed, {"ORPHAN": (F.expr("_above is null"), "node"), "PARENT_NOT_RECIPROCAL": (F.expr("_above is not null and _listed is null"), "node")}),
+        _cases(child, {"UNKNOWN_CHILD": (F.expr("_known is null"), "child"), "CHILD_NOT_RECIPROCAL": (F.expr("_known and not (_parent <=> node)"), "child")}),
         _rows(cyclic, "CYCLE", "node"),
     ]
 
@@ -78,8 +79,7 @@ def audit_spans(nodes: DataFrame, lines: DataFrame) -> list[DataFrame]:
     return [
         _rows(nodes.where("spans is null or size(spans) = 0"), "NO_SPAN", "node"),
         _rows(uses.where("n > 1"), "SPAN_TWICE", "span"),
-        _rows(met.where("_text is null"), "UNKNOWN_SPAN", "span"),
-        _rows(met.where("_spans = 1 and _text <> text"), "CONTENT_DIFFERS", "node"),
+        _cases(met, {"UNKNOWN_SPAN": (F.expr("_text is null"), "span"), "CONTENT_DIFFERS": (F.expr("_spans = 1 and _text <> text"), "node")}),
         _rows(_anti(lines.where("not blank"), anchors, "document", "span"), "UNCOVERED", "span"),
     ]
 
@@ -101,10 +101,9 @@ def audit_graph(nodes: DataFrame, pages: DataFrame, lines: DataFrame, records: D
     nodes: document, node, page, place (from 1), parent, children, spans, text. pages: document,
     page, members (nodes in order). lines: document, page, span, text. records and listed: document, collection,
     record, page. Null lists are empty; names are strings, places and pages numbers. All are written
-    once, texts as digests, since each of the checks reads a few of their columns.
+    once, texts as digests, since each of the checks reads a few of their columns; each check is a plan of its own.
     """
     nodes, lines = written(nodes.withColumn("text", F.md5("text"))), written(lines.select("document", "page", "span", F.md5("text").alias("text"), (F.trim("text") == "").alias("blank")))
     pages, records, listed = written(pages), written(records), written(listed)
-    found = [*audit_nodes(nodes), *audit_pages(nodes, pages), *audit_spans(nodes, lines), *audit_records(records, listed)]
-    return reduce(DataFrame.unionByName, found)
+    return gathered([*audit_nodes(nodes), *audit_pages(nodes, pages), *audit_spans(nodes, lines), *audit_records(records, listed)])
 

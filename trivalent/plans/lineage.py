@@ -29,3 +29,11 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def gathered(parts: list[DataFrame]) -> DataFrame:
+    """The rows of parts of one schema, each written by a plan of its own: the driver holds a plan whole, and again with every stage that ends."""
+    path = f"{shared_folder(parts[0].sparkSession)}/gathered-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").option("compression", "zstd").parquet(path)
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(path)
