@@ -2,6 +2,7 @@
 
 import duckdb
 
+from trivalent.operators import trees
 from trivalent.queries import catalog
 
 
@@ -29,3 +30,17 @@ def test_references_cut_short(spark, tmp_path):
 def test_graph_audit_is_read_from_parts(spark):
     plan = catalog.QUERIES["audit_graph"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_walk_writes_what_moves(spark, monkeypatch):
+    counts = []
+
+    def counted(df):
+        counts.append(df.count())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(trees, "written", counted)
+    rows = [(f"r{i}", None) for i in range(50)] + [(f"n{i}", f"n{i - 1}" if i else None) for i in range(8)]
+    found = {r.node: (r.root, r.depth, r.state) for r in trees.walked(spark.createDataFrame(rows, "node string, parent string")).collect()}
+    assert len(found) == 58 and all(found[f"n{i}"] == ("n0", i + 1, "rooted") for i in range(8))
+    assert counts == [58, 7, 6, 4]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trivalent.plans.lineage import cut
+from trivalent.plans.lineage import written
 
 #: The deepest label that opens a level of its own.
 DEEPEST = 9
@@ -30,20 +32,18 @@ def walked(nodes: DataFrame, node: str = "node", parent: str = "parent") -> Data
 
     Every round doubles the steps known, so a tree of depth d takes log2(d) rounds; what
     still moves after log2(nodes) rounds is on a cycle or leads into one, and has no depth.
+    A round writes the nodes that still move, and only those: a node that has arrived stays where it was written.
     """
-    edges = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"))
-    known = edges.select(F.col("node").alias("up"), F.lit(True).alias("_known"))
-    # up: the node `steps` above; null once the root is passed. end: the last node met.
-    steps = edges.join(known, "up", "left")
-    state = F.when(F.col("up").isNull(), "rooted").when(F.col("_known").isNull(), "orphan")
-    now = cut(steps.select("node", F.when(state.isNull(), F.col("up")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("node").alias("root"), state.alias("state")))
-    rounds = max(1, now.count()).bit_length() + 1
-    for _ in range(rounds):
-        moving = now.where("state is null")
-        if not moving.limit(1).count():
+    up = F.col(parent)
+    # up: the node `depth` above; null once the root is passed. root: the last node met.
+    now = written(nodes.select(F.col(node).alias("node"), up.alias("up"), F.lit(1).cast("long").alias("depth"), F.col(node).alias("root"), F.when(up.isNull(), "rooted").alias("state")))
+    done, moving = [now.where("state is not null")], now.where("state is null")
+    for _ in range(moving.count().bit_length() + 2):
+        if moving.isEmpty():
             break
-        above = now.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("root").alias("_root"), F.col("state").alias("_state"))
-        moved = moving.join(above, "up").select("node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_root").alias("root"), F.col("_state").alias("state"))
-        now = cut(now.where("state is not null").unionByName(moved))
-    cycle = F.col("state").isNull()
-    return now.select("node", F.when(~cycle, F.col("root")).alias("root"), F.when(~cycle, F.col("depth")).alias("depth"), F.coalesce("state", F.lit("cycle")).alias("state"))
+        above = reduce(DataFrame.unionByName, done, moving).select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("root").alias("_root"), F.col("state").alias("_state"))
+        lost = F.col("_root").isNull()
+        now = written(moving.join(above, "up", "left").select("node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0).cast("long"))).alias("depth"), F.coalesce("_root", "root").alias("root"), F.when(lost, "orphan").otherwise(F.col("_state")).alias("state")))
+        done, moving = [*done, now.where("state is not null")], now.where("state is null")
+    none = moving.select("node", F.lit(None).cast(moving.schema["root"].dataType).alias("root"), F.lit(None).cast("long").alias("depth"), F.lit("cycle").alias("state"))
+    return reduce(DataFrame.unionByName, [rows.select("node", "root", "depth", "state") for rows in done], none)
