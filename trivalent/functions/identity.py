@@ -1,11 +1,14 @@
-"""Content identities: canonical JSON and its hash, and keys derived from content."""
+"""Content identities: canonical JSON and its hash, and keys derived from content.
+
+What Spark's functions can't do are plain functions of one value: their workers hold a hundred
+values at a time whatever the table's size, and no pandas.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -31,15 +34,15 @@ def parse_object(text: str) -> dict:
     return value
 
 
-@F.pandas_udf(StringType())
-def canonical_json(values: pd.Series) -> pd.Series:
+@F.udf(StringType(), useArrow=False)
+def canonical_json(text: str | None) -> str | None:
     """Canonical form of a JSON object's text. Spark's to_json keeps insertion order, and VARIANT rewrites numbers."""
-    return values.map(lambda x: canonical(parse_object(x)), na_action="ignore")
+    return None if text is None else canonical(parse_object(text))
 
 
-@F.pandas_udf(StringType())
-def json_sha256(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: hashlib.sha256(canonical(parse_object(x)).encode()).hexdigest(), na_action="ignore")
+@F.udf(StringType(), useArrow=False)
+def json_sha256(text: str | None) -> str | None:
+    return None if text is None else hashlib.sha256(canonical(parse_object(text)).encode()).hexdigest()
 
 
 def text_sha256(text: Column) -> Column:
@@ -73,15 +76,12 @@ def is_sha256(value: Column) -> Column:
     return F.coalesce(value.rlike("^[0-9a-f]{64}$"), F.lit(False))
 
 
-@F.pandas_udf(StringType())
-def json_object_error(values: pd.Series) -> pd.Series:
+@F.udf(StringType(), useArrow=False)
+def json_object_error(text: str | None) -> str | None:
     """Why a text isn't one JSON object without repeated keys; null if it is."""
-
-    def reason(text: str) -> str | None:
-        try:
+    try:
+        if text is not None:
             parse_object(text)
-        except ValueError as error:
-            return str(error)
-        return None
-
-    return values.map(reason, na_action="ignore")
+    except ValueError as error:
+        return str(error)
+    return None
