@@ -4,7 +4,7 @@ import hashlib
 
 import duckdb
 
-from trivalent.functions import identity
+from trivalent.functions import identity, text
 from trivalent.operators import trees
 from trivalent.queries import catalog
 
@@ -57,5 +57,12 @@ def test_sidecars_hold_few_values_at_a_time(spark):
     plan = plan_of(catalog.QUERIES["sidecar_faults"](spark, "/root/testdata/sf0.001"))
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
     made = spark.createDataFrame([('{"b": 1.0, "a": "é"}',), (None,)], "t string").select(identity.canonical_json("t"), identity.json_sha256("t"), identity.json_object_error("t")).collect()
-    text = '{\n  "a": "é",\n  "b": 1.0\n}\n'
-    assert tuple(made[0]) == (text, hashlib.sha256(text.encode()).hexdigest(), None) and tuple(made[1]) == (None, None, None)
+    want = '{\n  "a": "é",\n  "b": 1.0\n}\n'
+    assert tuple(made[0]) == (want, hashlib.sha256(want.encode()).hexdigest(), None) and tuple(made[1]) == (None, None, None)
+
+
+def test_texts_hold_few_values_at_a_time(spark):
+    plan = plan_of(catalog.QUERIES["normalize_text"](spark, "/root/testdata/sf0.001"))
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    rows = spark.createDataFrame([("ﻻ é ﭐ",), ("plain é ﷻ",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(text.presentation_nfkc(rows["t"])).collect()] == ["لا é ٱ", "plain é جل جلاله", "", None]
