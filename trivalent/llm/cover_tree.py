@@ -45,7 +45,7 @@ from trivalent.llm.words import ragged
 
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
 #: Bytes of vectors (in double precision) of a block, of a file of blocks.
-BLOCK_BYTES, FILE_BYTES = 8 << 20, 128 << 20
+BLOCK_BYTES, FILE_BYTES = 8 << 20, 64 << 20
 #: Files of blocks at least, and the least and most shares of the blocks that pass by each file.
 FILES, SHARES = 3, (3, 16)
 #: Bytes of an Arrow batch while blocks pass by.
@@ -598,6 +598,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_column: str = "
                     continue
                 if held is None:
                     held, own = Held(own), []
+                    release_memory()
                     yield from held.meet(first[0], unpack(first[1]), cosine)
                     first = None
                 yield from held.meet(block, unpack(data), cosine)
